@@ -4,22 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loam.llm import chat, mixing
+from loam.llm import bpe, chat, fertility, mixing
 from loam.llm.common import table
 
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(BYTE_RANKS)
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.apply_rules(table(spark, sf_dir, "documents"), fertility.Rules(PIECE_MODEL, BYTE_RANKS, public_tokenizers.PATTERN))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op8_mixing)}
+    found = (op1_chat_formatting, op5_byte_bpe, op8_mixing, op9_tokeniser_fertility)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
