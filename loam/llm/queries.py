@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, chat, fertility, mixing
+from loam.llm import bpe, chat, fertility, mixing, ordinal
 from loam.llm.common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = ordinal.score(docs, ordinal.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("kept", F.col("p_good") >= 0.5)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,7 +40,7 @@ def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op5_byte_bpe, op8_mixing, op9_tokeniser_fertility)
+    found = (op1_chat_formatting, op5_byte_bpe, op6_ordinal_quality, op8_mixing, op9_tokeniser_fertility)
     return {f.__name__: f for f in found}
 
 
