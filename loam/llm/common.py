@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def text_digest(column: str = "text") -> Column:
+    """16 bytes that name a text; null as the empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(column).cast("binary"), F.lit(b""))))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -42,3 +48,31 @@ def word_count(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: later uses don't compute it anew."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/loam-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of the bitmap that bits_of makes: 2 MB at any size of its input.
+BITS = 1 << 24
+
+
+def bits_of(df: DataFrame, column: str) -> bytes:
+    """A bitmap of fixed size in which the binary hashes of a column are; others may be in it as well."""
+    place = F.conv(F.hex(F.substring(F.col(column), 1, 3)), 16, 10).cast("bigint")
+    marked = df.select(place.alias("place")).distinct()
+    parts = marked.groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(1 << 15))).alias("bits")).collect()
+    found = bytearray(BITS // 8)
+    for r in parts:
+        found[r["part"] << 12 : (r["part"] + 1) << 12] = r["bits"]
+    return bytes(found)
+
+
+def in_bits(bits: bytes, digest: bytes) -> bool:
+    place = int.from_bytes(digest[:3], "big")
+    return bool(bits[place >> 3] >> (place & 7) & 1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, chat, fertility, mixing, ordinal
+from loam.llm import bpe, chat, fertility, mixing, ordinal, parity
 from loam.llm.common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -39,8 +39,12 @@ def op9_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.apply_rules(table(spark, sf_dir, "documents"), fertility.Rules(PIECE_MODEL, BYTE_RANKS, public_tokenizers.PATTERN))
 
 
+def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op5_byte_bpe, op6_ordinal_quality, op8_mixing, op9_tokeniser_fertility)
+    found = (op1_chat_formatting, op5_byte_bpe, op6_ordinal_quality, op8_mixing, op9_tokeniser_fertility, op10_parity_join)
     return {f.__name__: f for f in found}
 
 
