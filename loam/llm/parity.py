@@ -33,7 +33,7 @@ SKETCH_BITS = 2048
 ORDER_SAMPLE, COMMON_DOCS, COMMON_MOST = 4096, 6, 65_536
 #: Rows of a key compared with each other at once, and rows in a task, about.
 CHUNK, TASK_ROWS = 512, 8192
-_BLOCK, _CELL = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
+_BLOCK, _CELL = np.uint64(0x9FB21C651E98DF25), 0xC2B2AE3D27D4EB4F
 _FIRST_BLOCKS = 64
 
 
@@ -64,7 +64,7 @@ def block_keys(shingles: np.ndarray, common: np.ndarray, percent: int) -> list[n
     rare = common[np.minimum(at, len(common) - 1)] != shingles if len(common) else np.ones(n, bool)
     found = []
     for b in bands:
-        salt = np.uint64(b) * _CELL
+        salt = np.uint64(b * _CELL & 0xFFFFFFFFFFFFFFFF)
         if b < _FIRST_BLOCKS:  # small sets: a block for each shingle
             keys, own = mix(shingles ^ salt), rare
         else:
@@ -124,19 +124,29 @@ def _keys(docs: DataFrame, percent: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "key bigint, node binary")
 
 
-def _sets(docs: DataFrame, needed: bytes) -> DataFrame:
-    """doc_id, digest, n_shingles and node of every row; with sketch and shingles where the node is one of those needed."""
+def _sketched(docs: DataFrame, needed: bytes) -> DataFrame:
+    """doc_id, digest, n_shingles and node of every row; with its sketch where the node is one of those needed."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, 1):
             sets = list(shingle_sets(texts))
             nodes = [node_of(s) if len(s) else None for s in sets]
-            wanted = [n is not None and in_bits(needed, n) for n in nodes]
-            sketches = [parity_sketch(s) if w else None for s, w in zip(sets, wanted, strict=True)]
-            raw = [s.tobytes() if w else None for s, w in zip(sets, wanted, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "digest", "n_shingles", "node", "sketch", "shingles"])
+            sketches = [parity_sketch(s) if n is not None and in_bits(needed, n) else None for s, n in zip(sets, nodes, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "digest", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), text_digest("text").alias("digest")).mapInArrow(tasks, "doc_id bigint, digest binary, n_shingles bigint, node binary, sketch binary, shingles binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), text_digest("text").alias("digest")).mapInArrow(tasks, "doc_id bigint, digest binary, n_shingles bigint, node binary, sketch binary")
+
+
+def _shingles(docs: DataFrame, needed: bytes) -> DataFrame:
+    """node and shingles of the sets whose node is one of those needed, once each."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            found = [(n, s.tobytes()) for s in shingle_sets(texts) if len(s) and in_bits(needed, n := node_of(s))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["node", "shingles"])
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "node binary, shingles binary").dropDuplicates(["node"])
 
 
 def _bound(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -152,17 +162,30 @@ def _unpacked(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), "u8").reshape(len(sketches), SKETCH_BITS // 64)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (node, other): sketches rule out most of the rest, shingles decide."""
+def _with_both(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The pairs (node, other) with the columns that sets has for both."""
+    for side in ("node", "other"):
+        rows = rows.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return rows.select("node", "other", *[f"{c}_{s}" for c in columns for s in ("node", "other")])
+
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (node, other) that their sketches don't rule out."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
                 far = _hamming(_unpacked(batch.column(4).to_pylist()), _unpacked(batch.column(5).to_pylist()))
                 yield batch.filter(pa.array(far <= _bound(n, m, percent))).select([0, 1])
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _with_both(pairs, sets, ("n_shingles", "sketch")).mapInArrow(tasks, "node binary, other binary")
+
+
+def _linked(docs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of the pairs (node, other), by their whole sets."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
@@ -171,13 +194,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * same >= percent * (len(a) + len(b) - same))
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    def with_both(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-        for side in ("node", "other"):
-            rows = rows.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-        return rows.select("node", "other", *[f"{c}_{s}" for c in columns for s in ("node", "other")])
-
-    near = with_both(pairs, ("n_shingles", "sketch")).mapInArrow(likely, "node binary, other binary")
-    return with_both(near, ("shingles",)).mapInArrow(verified, "node binary, other binary")
+    needed = bits_of(near.select(F.explode(F.array("node", "other")).alias("node")), "node")
+    sets = written(_shingles(docs, needed), "parity-shingles")
+    return written(_with_both(near, sets, ("shingles",)).mapInArrow(tasks, "node binary, other binary"), "parity-links")
 
 
 def _across(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -242,13 +261,13 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     keyed = _keys(docs, percent).withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)})
     met = written(keyed.filter("node <> lo").select("node", "lo", "hi").distinct(), "parity-met")
     needed = bits_of(met.select(F.explode(F.array("node", "lo")).alias("node")), "node")
-    rows = written(_sets(docs, needed), "parity-sets")
-    sets = written(rows.filter("shingles IS NOT NULL").select("node", "n_shingles", "sketch", "shingles").dropDuplicates(["node"]), "parity-nodes")
-    stars = written(_links(met.select("node", F.col("lo").alias("other")).distinct(), sets, percent), "parity-links")
+    rows = written(_sketched(docs, needed), "parity-rows")
+    sets = rows.filter("sketch IS NOT NULL").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    stars = _linked(docs, written(_near(met.select("node", F.col("lo").alias("other")).distinct(), sets, percent), "parity-near"), percent)
     labels = components(stars)
-    more = written(_links(_across(met, sets, labels, percent), sets, percent), "parity-links")
-    if not more.isEmpty():
-        labels = components(stars.unionByName(more))
+    across = written(_across(met, sets, labels, percent), "parity-near")
+    if not across.isEmpty():
+        labels = components(stars.unionByName(_linked(docs, across, percent)))
     return rows.select("doc_id", "digest", "n_shingles", "node"), labels
 
 
