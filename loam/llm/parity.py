@@ -28,11 +28,12 @@ from loam.llm.hashing import Words, chunks, mix, words_of
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 2048
+#: A parity sketch has at least so many bits, and at least so many for each shingle, rounded up to a power of two.
+LEAST_BITS, BITS_EACH = 512, 2
 #: Documents, about, whose shingles order the keys; shingles in so many of them are common; of those at most so many.
 ORDER_SAMPLE, COMMON_DOCS, COMMON_MOST = 4096, 6, 65_536
 #: Rows of a key compared with each other at once, and rows in a task, about.
-CHUNK, TASK_ROWS = 512, 8192
+CHUNK, TASK_ROWS = 512, 2048
 _BLOCK, _CELL = np.uint64(0x9FB21C651E98DF25), 0xC2B2AE3D27D4EB4F
 _FIRST_BLOCKS = 64
 
@@ -85,8 +86,17 @@ def node_of(shingles: np.ndarray) -> bytes:
 
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
-    """SKETCH_BITS bits, each the parity of the number of shingles that fall on it."""
-    return np.packbits(np.bincount((shingles >> np.uint64(40)).astype("i8") % SKETCH_BITS, minlength=SKETCH_BITS) & 1).tobytes()
+    """Bits that each hold the parity of the number of shingles that fall on them, more of them for larger sets."""
+    bits = 1 << max(LEAST_BITS, BITS_EACH * len(shingles)).bit_length()
+    return np.packbits(np.bincount((shingles >> np.uint64(20)).astype("i8") & (bits - 1), minlength=bits) & 1).tobytes()
+
+
+def folded(sketch: bytes, n_bytes: int) -> np.ndarray:
+    """The same set's sketch of n_bytes, in 64-bit words: parities of bits that fall together add up."""
+    words = np.frombuffer(sketch, "u8")
+    while 8 * len(words) > n_bytes:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
 
 
 def _common_shingles(docs: DataFrame) -> np.ndarray:
@@ -154,12 +164,10 @@ def _bound(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (n + m) * (100 - percent) // (100 + percent)
 
 
-def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype="i8")
-
-
-def _unpacked(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), "u8").reshape(len(sketches), SKETCH_BITS // 64)
+def _hamming(a: bytes, b: bytes) -> int:
+    """At most the symmetric difference of the sketches' sets."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
 def _with_both(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -176,8 +184,10 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-                far = _hamming(_unpacked(batch.column(4).to_pylist()), _unpacked(batch.column(5).to_pylist()))
-                yield batch.filter(pa.array(far <= _bound(n, m, percent))).select([0, 1])
+                alike = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                sketches = zip(batch.column(4), batch.column(5), alike, strict=True)
+                far = np.array([_hamming(a.as_py(), b.as_py()) if ok else 0 for a, b, ok in sketches])
+                yield batch.filter(pa.array(alike & (far <= _bound(n, m, percent)))).select([0, 1])
 
     return _with_both(pairs, sets, ("n_shingles", "sketch")).mapInArrow(tasks, "node binary, other binary")
 
@@ -217,20 +227,25 @@ def _across(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("at", "ascending"), ("n_shingles", "ascending")])
-        at, n = rows["at"].to_numpy(), rows["n_shingles"].to_numpy()
-        chunk, sketches = rows["chunk"].to_numpy(), _unpacked(rows["sketch"].to_pylist())
+        at, n, chunk = (rows[c].to_numpy() for c in ("at", "n_shingles", "chunk"))
+        sketches = rows["sketch"].to_pylist()
+        size = np.array([len(x) for x in sketches])
         root = np.unique(np.array([x.hex() for x in rows["root"].to_pylist()]), return_inverse=True)[1]
         edges = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
         found: list[tuple[int, int]] = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = chunk[a:b].min() != chunk[a:b].max()
-            for i in range(a, b - 1):
-                end = a + int(np.searchsorted(n[a:b], n[i] * 100 // percent, "right"))
-                other = np.arange(i + 1, end)
-                other = other[(root[other] != root[i]) & ((chunk[other] != chunk[i]) if own else True)]
-                if len(other):
-                    near = other[_hamming(sketches[other], sketches[i]) <= _bound(n[other], n[i], percent)]
-                    found += [(i, int(j)) for j in near]
+            apart = chunk[a:b].min() != chunk[a:b].max()
+            for least in np.unique(size[a:b]).tolist():
+                # sets of up to n * 100 / percent shingles have sketches of this size or twice that
+                own = a + np.flatnonzero((size[a:b] == least) | (size[a:b] == 2 * least))
+                bits = np.stack([folded(sketches[i], least) for i in own])
+                for k in range(int((size[own] == least).sum())):
+                    i, end = own[k], int(np.searchsorted(n[own], n[own[k]] * 100 // percent, "right"))
+                    other = np.arange(k + 1, end)
+                    other = other[(root[own[other]] != root[i]) & ((chunk[own[other]] != chunk[i]) if apart else True)]
+                    if len(other):
+                        far = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype="i8")
+                        found += [(int(i), int(j)) for j in own[other[far <= _bound(n[own[other]], n[i], percent)]]]
         node = rows["node"].combine_chunks()
         i, j = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
         return pa.table({"node": node.take(i), "other": node.take(j)})

@@ -85,9 +85,10 @@ def test_chains_and_common_passages(spark, monkeypatch, chunk):
 def test_sketch_distance_never_exceeds_the_symmetric_difference():
     import numpy as np
 
-    one, two = (next(parity.shingle_sets([t])) for t in (b"a b c d e f g h i j", b"a b c d e f g x i j"))
-    far = parity._hamming(parity._unpacked([parity.parity_sketch(one)]), parity._unpacked([parity.parity_sketch(two)]))
-    assert far[0] <= len(np.setxor1d(one, two))
+    for n in (10, 700, 3000):
+        one, two = (next(parity.shingle_sets([" ".join(f"w{i + d * (i % 9 == 0)}" for i in range(n + 300 * d)).encode()])) for d in (0, 1))
+        far = parity._hamming(parity.parity_sketch(one), parity.parity_sketch(two))
+        assert 0 < far <= len(np.setxor1d(one, two))
 
 
 def test_one_row_of_each_group_stays(spark):
