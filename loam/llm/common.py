@@ -62,11 +62,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BITS = 1 << 24
 
 
-def bits_of(df: DataFrame, column: str) -> bytes:
-    """A bitmap of fixed size in which the binary hashes of a column are; others may be in it as well."""
-    place = F.conv(F.hex(F.substring(F.col(column), 1, 3)), 16, 10).cast("bigint")
-    marked = df.select(place.alias("place")).distinct()
-    parts = marked.groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(1 << 15))).alias("bits")).collect()
+def bits_of(places: DataFrame) -> bytes:
+    """A bitmap of fixed size with the bits set that the column place names: the first 24 bits of hashes."""
+    parts = places.distinct().groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(1 << 15))).alias("bits")).collect()
     found = bytearray(BITS // 8)
     for r in parts:
         found[r["part"] << 12 : (r["part"] + 1) << 12] = r["bits"]
@@ -74,5 +72,6 @@ def bits_of(df: DataFrame, column: str) -> bytes:
 
 
 def in_bits(bits: bytes, digest: bytes) -> bool:
+    """Whether the bitmap has the bit of a hash; it may have it because of another one."""
     place = int.from_bytes(digest[:3], "big")
     return bool(bits[place >> 3] >> (place & 7) & 1)

@@ -85,6 +85,16 @@ def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def short_of(node: bytes) -> int:
+    """The first 64 bits of a node's name: enough to find candidates by; sets that share them all become candidates."""
+    return int.from_bytes(node[:8], "big", signed=True)
+
+
+def _place(short: str) -> Column:
+    """The bit of a node in bits_of."""
+    return F.shiftrightunsigned(short, 40)
+
+
 def parity_sketch(shingles: np.ndarray) -> bytes:
     """Bits that each hold the parity of the number of shingles that fall on them, more of them for larger sets."""
     bits = 1 << max(LEAST_BITS, BITS_EACH * len(shingles)).bit_length()
@@ -116,7 +126,7 @@ def _common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, percent: int) -> DataFrame:
-    """key and node of every text: see block_keys."""
+    """key and node (its short name) of every text: see block_keys."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +135,13 @@ def _keys(docs: DataFrame, percent: int) -> DataFrame:
             keys, nodes = [], []
             for shingles in shingle_sets(texts):
                 if len(shingles):
-                    node, own = node_of(shingles), block_keys(shingles, common, percent)
+                    node, own = short_of(node_of(shingles)), block_keys(shingles, common, percent)
                     keys += own
                     nodes += [node] * sum(map(len, own))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("i8")), pa.array(nodes, pa.binary())], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("i8")), pa.array(nodes, pa.int64())], ["key", "node"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "key bigint, node binary")
+    return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "key bigint, node bigint")
 
 
 def _sketched(docs: DataFrame, needed: bytes) -> DataFrame:
@@ -170,26 +180,28 @@ def _hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
-def _with_both(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The pairs (node, other) with the columns that sets has for both."""
+def _with_both(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...], name: str = "node") -> DataFrame:
+    """The pairs (node, other) with the columns that sets has for both; the pairs hold what sets has as `name`."""
     for side in ("node", "other"):
-        rows = rows.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        rows = rows.join(sets.select(F.col(name).alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return rows.select("node", "other", *[f"{c}_{s}" for c in columns for s in ("node", "other")])
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (node, other) that their sketches don't rule out."""
+    """The pairs (node, other) that sketches don't rule out, by their full names; pairs has the short ones."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
                 alike = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-                sketches = zip(batch.column(4), batch.column(5), alike, strict=True)
+                sketches = zip(batch.column(6), batch.column(7), alike, strict=True)
                 far = np.array([_hamming(a.as_py(), b.as_py()) if ok else 0 for a, b, ok in sketches])
-                yield batch.filter(pa.array(alike & (far <= _bound(n, m, percent)))).select([0, 1])
+                kept = batch.filter(pa.array(alike & (far <= _bound(n, m, percent))))
+                yield pa.RecordBatch.from_arrays([kept.column(2), kept.column(3)], ["node", "other"])
 
-    return _with_both(pairs, sets, ("n_shingles", "sketch")).mapInArrow(tasks, "node binary, other binary")
+    named = sets.withColumnRenamed("node", "full")
+    return _with_both(pairs, named, ("full", "n_shingles", "sketch"), "short").mapInArrow(tasks, "node binary, other binary")
 
 
 def _linked(docs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
@@ -204,17 +216,20 @@ def _linked(docs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * same >= percent * (len(a) + len(b) - same))
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    needed = bits_of(near.select(F.explode(F.array("node", "other")).alias("node")), "node")
+    short = F.conv(F.hex(F.substring("node", 1, 3)), 16, 10).cast("bigint")
+    needed = bits_of(near.select(F.explode(F.array("node", "other")).alias("node")).select(short.alias("place")))
     sets = written(_shingles(docs, needed), "parity-shingles")
     return written(_with_both(near, sets, ("shingles",)).mapInArrow(tasks, "node binary, other binary"), "parity-links")
 
 
-def _across(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node, other) of unlike components in the groups (lo, hi, node) that may still be linked."""
-    rows = groups.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_groups = rows.groupBy("lo", "hi").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n_rows")).filter("least <> most")
+def _across(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (node, other) of unlike components in the groups (lo, hi, node) that may still be linked.
+
+    Every such pair, or of each two components that meet in a task only the pair whose sketches differ least.
+    """
+    rows = groups.withColumnRenamed("node", "short").join(sets, "short").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_groups = rows.groupBy("lo", "hi").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
     left = rows.join(open_groups.select("lo", "hi"), ["lo", "hi"])
-    left = left.join(sets.select("node", "n_shingles", "sketch"), "node")
     place = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("n_shingles", "node")) - 1
     chunked = written(left.withColumn("chunk", F.floor(place / CHUNK)), "parity-open")
     size = chunked.groupBy("lo", "hi").agg(F.max("chunk").alias("last"))
@@ -232,7 +247,7 @@ def _across(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
         size = np.array([len(x) for x in sketches])
         root = np.unique(np.array([x.hex() for x in rows["root"].to_pylist()]), return_inverse=True)[1]
         edges = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int]] = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             apart = chunk[a:b].min() != chunk[a:b].max()
             for least in np.unique(size[a:b]).tolist():
@@ -245,7 +260,10 @@ def _across(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int)
                     other = other[(root[own[other]] != root[i]) & ((chunk[own[other]] != chunk[i]) if apart else True)]
                     if len(other):
                         far = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype="i8")
-                        found += [(int(i), int(j)) for j in own[other[far <= _bound(n[own[other]], n[i], percent)]]]
+                        near = far <= _bound(n[own[other]], n[i], percent)
+                        found += zip([int(i)] * int(near.sum()), own[other[near]].tolist(), far[near].tolist(), strict=True)
+        if not every:
+            found = list({(min(x := root[i], y := root[j]), max(x, y)): (i, j, f) for i, j, f in sorted(found, key=lambda p: -p[2])}.values())
         node = rows["node"].combine_chunks()
         i, j = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
         return pa.table({"node": node.take(i), "other": node.take(j)})
@@ -275,14 +293,17 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     by_key = Window.partitionBy("key")
     keyed = _keys(docs, percent).withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)})
     met = written(keyed.filter("node <> lo").select("node", "lo", "hi").distinct(), "parity-met")
-    needed = bits_of(met.select(F.explode(F.array("node", "lo")).alias("node")), "node")
+    needed = bits_of(met.select(F.explode(F.array("node", "lo")).alias("node")).select(_place("node").alias("place")))
     rows = written(_sketched(docs, needed), "parity-rows")
-    sets = rows.filter("sketch IS NOT NULL").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
-    stars = _linked(docs, written(_near(met.select("node", F.col("lo").alias("other")).distinct(), sets, percent), "parity-near"), percent)
-    labels = components(stars)
-    across = written(_across(met, sets, labels, percent), "parity-near")
-    if not across.isEmpty():
-        labels = components(stars.unionByName(_linked(docs, across, percent)))
+    short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("bigint")
+    sets = rows.filter("sketch IS NOT NULL").select("node", short.alias("short"), "n_shingles", "sketch").dropDuplicates(["node"])
+    links = _linked(docs, written(_near(met.select("node", F.col("lo").alias("other")).distinct(), sets, percent), "parity-near"), percent)
+    labels = components(links)
+    for every in (False, False, True):
+        across = written(_across(met, sets, labels, percent, every), "parity-near")
+        if not across.isEmpty():
+            links = links.unionByName(_linked(docs, across, percent))
+            labels = components(links)
     return rows.select("doc_id", "digest", "n_shingles", "node"), labels
 
 
