@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, chat, fertility, mixing, ordinal, parity, substring
+from loam.llm import bpe, chat, fertility, mixing, ordinal, parity, substring, topk
 from loam.llm.common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,6 +36,10 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("kept", F.col("p_good") >= 0.5)
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,9 +53,9 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op4_substring_dedup, op5_byte_bpe, op6_ordinal_quality, op8_mixing, op9_tokeniser_fertility, op10_parity_join)
+    found = (op1_chat_formatting, op4_substring_dedup, op5_byte_bpe, op6_ordinal_quality, op7_exact_topk, op8_mixing, op9_tokeniser_fertility, op10_parity_join)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op7_exact_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE}
