@@ -1,4 +1,4 @@
-"""Distributed training of small dense weight vectors: local passes in tasks, weighted averages between rounds."""
+"""Distributed training of dense weight vectors of fixed size: local passes in tasks, weighted averages between rounds."""
 
 from __future__ import annotations
 
@@ -8,25 +8,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+BLOCK = 1 << 16
+
 
 def train_averaged(examples: DataFrame, start: np.ndarray, local_pass: Callable[[np.ndarray, list[dict], int], np.ndarray], rounds: int) -> np.ndarray:
     """Weights after `rounds` rounds: each task improves the round's weights on its rows, and the results are averaged by row count.
 
-    examples must be a bounded sample, dealt over a few tasks; a task holds its share of it. Only one vector a task
-    comes back to the driver each round. Without rows the start stays.
+    A task holds its rows, so examples must be dealt over enough of them. The average is made block by block of the
+    vector in the tasks; the driver gets one vector a round. Without rows the start stays.
     """
-    weights = start
+    weights = start.astype("f4")
     for number in range(rounds):
         shared = examples.sparkSession.sparkContext.broadcast(weights)
 
-        def tasks(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+        def train(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
             rows = [row for batch in batches for row in batch.to_pylist()]
             if rows:
-                better = local_pass(shared.value.copy(), rows, number)
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([better.astype("<f4").tobytes()], pa.binary())], ["n", "weights"])
-
-        found = examples.mapInArrow(tasks, "n bigint, weights binary").collect()
-        total = sum(r["n"] for r in found)
-        if total:
-            weights = sum(np.frombuffer(r["weights"], "<f4").astype("f8") * (r["n"] / total) for r in found).astype("f4")
+                better = np.asarray(local_pass(shared.value.copy(), rows, number), "<f4")
+                cuts = range(0, len(better), BLOCK)
+                parts = [better[a : a + BLOCK].tobytes() for a in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK for a in cuts], pa.int32()), pa.array([len(rows)] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "weights"])
+
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for block, n, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    held = sums.setdefault(block, [0, 0.0])
+                    held[0] += n
+                    held[1] = held[1] + n * np.frombuffer(part, "<f4").astype("f8")
+            if sums:
+                means = [(total / n).astype("<f4").tobytes() for n, total in sums.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary())], ["block", "weights"])
+
+        trained = examples.mapInArrow(train, "block int, n bigint, weights binary")
+        spread = trained.repartition(max(1, min(32, -(-len(weights) // BLOCK))), "block")
+        found = sorted(spread.mapInArrow(average, "block int, weights binary").collect())
+        if found:
+            weights = np.frombuffer(b"".join(r["weights"] for r in found), "<f4").copy()
     return weights

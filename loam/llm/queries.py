@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, chat, fertility, mixing, ordinal, parity, pii, substring, topk
+from loam.llm import bpe, chat, fertility, maxent, mixing, ordinal, parity, pii, substring, topk
 from loam.llm.common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,6 +19,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.fit(docs))
@@ -59,7 +63,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op3_pii, op4_substring_dedup, op5_byte_bpe, op6_ordinal_quality, op7_exact_topk, op8_mixing, op9_tokeniser_fertility, op10_parity_join)
+    found = (op1_chat_formatting, op2_maxent_lm, op3_pii, op4_substring_dedup, op5_byte_bpe, op6_ordinal_quality, op7_exact_topk, op8_mixing, op9_tokeniser_fertility, op10_parity_join)
     return {f.__name__: f for f in found}
 
 
