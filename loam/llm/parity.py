@@ -227,17 +227,18 @@ def _across(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
 
     Every such pair, or of each two components that meet in a task only the pair whose sketches differ least.
     """
-    rows = groups.withColumnRenamed("node", "short").join(sets, "short").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = groups.withColumnRenamed("node", "short").join(sets.select("short", "node", "n_shingles"), "short").drop("short")
+    rows = named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_groups = rows.groupBy("lo", "hi").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
     left = rows.join(open_groups.select("lo", "hi"), ["lo", "hi"])
     place = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("n_shingles", "node")) - 1
-    chunked = written(left.withColumn("chunk", F.floor(place / CHUNK)), "parity-open")
+    chunked = written(left.withColumn("chunk", F.floor(place / CHUNK)), "parity-open")  # sketches come last, as they are large
     size = chunked.groupBy("lo", "hi").agg(F.max("chunk").alias("last"))
     n_tasks = max(1, chunked.count() // TASK_ROWS)
     # a chunk meets itself and each later one; the pair of chunks names where they meet
     meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda c: F.struct(F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j")))
     dealt = chunked.join(size, ["lo", "hi"]).withColumn("meet", F.explode(meets))
-    dealt = dealt.withColumn("at", F.xxhash64("lo", "hi", "meet.i", "meet.j")).select("at", "chunk", "n_shingles", "node", "root", "sketch")
+    dealt = dealt.withColumn("at", F.xxhash64("lo", "hi", "meet.i", "meet.j")).join(sets.select("node", "sketch"), "node").select("at", "chunk", "n_shingles", "node", "root", "sketch")
     task = F.pmod("at", F.lit(n_tasks)).alias("task")
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -296,10 +297,10 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     needed = bits_of(met.select(F.explode(F.array("node", "lo")).alias("node")).select(_place("node").alias("place")))
     rows = written(_sketched(docs, needed), "parity-rows")
     short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("bigint")
-    sets = rows.filter("sketch IS NOT NULL").select("node", short.alias("short"), "n_shingles", "sketch").dropDuplicates(["node"])
+    sets = written(rows.filter("sketch IS NOT NULL").select("node", short.alias("short"), "n_shingles", "sketch").dropDuplicates(["node"]), "parity-nodes")
     links = _linked(docs, written(_near(met.select("node", F.col("lo").alias("other")).distinct(), sets, percent), "parity-near"), percent)
     labels = components(links)
-    for every in (False, False, True):
+    for every in (False, True):
         across = written(_across(met, sets, labels, percent, every), "parity-near")
         if not across.isEmpty():
             links = links.unionByName(_linked(docs, across, percent))
