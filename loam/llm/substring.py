@@ -2,7 +2,7 @@
 
 Every window of words picks a minimiser, the least of the short runs of words inside it, so equal windows pick equal
 ones. Partitions count the minimisers of their documents into count-min sketches, which are merged; a count there is
-never below the number of documents with any window that picks the minimiser. A second pass groups, by 128 bits of
+never below the number of documents with any window that picks the minimiser. A second pass groups, by 96 bits of
 hash, exactly the windows whose minimiser is estimated to be in two documents or more. Hash collisions in the sketch
 let more windows through and lose none.
 """
@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import id_key, text_digest
+from loam.llm.common import id_key
 from loam.llm.hashing import Words, chunks, mix, words_of
 
 WINDOW = 50
@@ -108,7 +108,7 @@ def repeated_minimisers(docs: DataFrame, window: int = WINDOW) -> list[np.ndarra
 
 
 def _repeated_windows(docs: DataFrame, sketch: list[np.ndarray], window: int) -> DataFrame:
-    """a and b (hash), doc_id, digest and at (the first word) of each different window of a text that may be repeated."""
+    """a and b (hash), doc_id, own (hash of the row) and at (the first word) of each different window of a text that may be repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +128,14 @@ def _repeated_windows(docs: DataFrame, sketch: list[np.ndarray], window: int) ->
             at, text, a, b = at[first], text[first], a[first], b[first]
             row = pa.array(text)
             place = pa.array((at - words.first[text]).astype("i4"))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array(b.view("i8")), part.column(0).take(row), part.column(2).take(row), place], ["a", "b", "doc_id", "digest", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view("i8")), pa.array((b >> np.uint64(32)).astype("u4").view("i4")), part.column(0).take(row), part.column(2).take(row), place], ["a", "b", "doc_id", "own", "at"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), text_digest("text").alias("digest")).mapInArrow(tasks, "a bigint, b bigint, doc_id bigint, digest binary, at int")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), _own().alias("own")).mapInArrow(tasks, "a bigint, b int, doc_id bigint, own bigint, at int")
+
+
+def _own() -> Column:
+    """Tells rows of one doc_id apart that have unlike texts."""
+    return F.xxhash64(F.col("text").cast("binary"))
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -142,11 +147,11 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A row out for each row in; an empty table gives no rows; further columns don't matter.
     """
     windows = _repeated_windows(docs, repeated_minimisers(docs, window), window)
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.max(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("last_id")).filter("first_id < last_id")
-    gone = windows.join(least, ["a", "b"]).filter("doc_id IS NULL OR doc_id > first_id")
-    places = gone.groupBy(id_key("doc_id").alias("__id"), "digest").agg(F.sort_array(F.collect_set("at")).alias("places"))
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), id_key("doc_id").alias("__own"), text_digest("text").alias("__digest"))
-    rows = keyed.join(places, (F.col("__own") == F.col("__id")) & (F.col("__digest") == F.col("digest")), "left").select("doc_id", "text", "places")
+    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"))
+    gone = windows.join(least, ["a", "b"]).filter("first_id IS NOT NULL AND (doc_id IS NULL OR doc_id > first_id)")
+    places = gone.groupBy(id_key("doc_id").alias("__id"), "own").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), id_key("doc_id").alias("__own_id"), _own().alias("__own"))
+    rows = keyed.join(places, (F.col("__own_id") == F.col("__id")) & (F.col("__own") == F.col("own")), "left").select("doc_id", "text", "places")
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, 1):
