@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loam.llm.common import written
+
 #: Words with more bytes than this are merged where they occur: the fold's cost grows with the square of the length.
 FOLD_BYTES = 48
 #: Entries of the dictionary that the fold fills and every task gets; the most frequent words.
@@ -154,7 +156,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
     Null and empty texts have no tokens. Null or repeated ids and repeated rows: a row out for each row in. An empty
     table gives no rows; further columns don't matter.
     """
-    words = fold_merges(frequent(count_words(docs, pattern), dictionary), ranks)
+    counts = written(count_words(docs, pattern), "words")  # read twice: for the cut and for the words above it
+    words = fold_merges(frequent(counts, dictionary), ranks)
     folded = words.toArrow()
     known = {w: _packed(ids) for w, ids in zip(folded["word"].to_pylist(), folded["ids"].to_pylist(), strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast((known, ranks))
