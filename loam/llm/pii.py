@@ -9,6 +9,7 @@ overlap it.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -27,8 +28,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 #: Tokens in a span at most; hashed features; documents of the sample, about; its regions by document at most.
 SPAN_TOKENS, SIZE, SAMPLE, REGIONS = 16, 1 << 12, 20_000, 3
 ROUNDS, EPOCHS, TASKS = 5, 4, 6
-#: Characters that a region's seeds lie apart at most, and that it reaches beyond them at most.
-APART, BEYOND = 24, 72
+#: Characters that a region reaches beyond its first and last seed, and on to the end of a word.
+BEYOND = 72
 #: Characters in a span that the field considers, at least.
 LEAST_CHARS = 7
 #: A fitted span counts from this share of its region's probability on.
@@ -83,19 +84,45 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around seeds (digits and @) in which spans are looked for."""
-    end = 0
-    first = _SEED.search(text)
-    while first:
-        start = max(end, first.start() - BEYOND)
-        last = first.start()
-        while (after := _SEED.search(text, last + 1)) and after.start() - last <= APART:
-            last = after.start()
-        end = min(len(text), last + BEYOND)
-        if after:
-            end = min(end, after.start())
+    """Stretches around seeds (digits and @) in which spans are looked for: disjoint, in order, of whole words.
+
+    Seeds whose stretches would meet share one, so no token, and none of the words beside it, is parted from its seed.
+    """
+    start = end = -1
+    for seed in (m.start() for m in _SEED.finditer(text)):
+        if seed >= end:  # else the seed's own token ends in the stretch
+            reach = _token_start(text, seed, max(0, end)) - BEYOND
+            if reach > 0:
+                reach = _token_start(text, reach, max(0, end))
+            if reach > end:
+                if end >= 0:
+                    yield start, end
+                start = max(0, reach)
+            elif end < 0:
+                start = 0
+        if seed + BEYOND >= end:
+            end = _token_end(text, min(len(text), max(end, seed + BEYOND)))
+    if end >= 0:
         yield start, end
-        first = after
+
+
+def _token_start(text: str, at: int, least: int) -> int:
+    """Where the word of letters and digits around a place begins, looked for from `least` on."""
+    while at > least and text[at - 1].isalnum() and text[at].isalnum():
+        at -= 1
+    return at
+
+
+def _token_end(text: str, at: int) -> int:
+    while 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum():
+        at += 1
+    return at
+
+
+def sampled(text: str) -> list[str]:
+    """The regions of a text that the fit sees: those of least hash, from all over the text."""
+    found = [(zlib.crc32(f"{a}:{text[a:b]}".encode(errors="replace")), a, b) for a, b in regions(text)]
+    return [text[a:b] for _, a, b in heapq.nsmallest(REGIONS, found)]
 
 
 def _shape(text: str) -> str:
@@ -221,8 +248,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                for _, (a, b) in zip(range(REGIONS), regions(text or ""), strict=False):
-                    rows.append(text[a:b][:512])
+                rows += sampled(text or "")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows)], ["region"])
 

@@ -66,3 +66,26 @@ def test_nulls_empty_and_clashing_columns(spark):
     assert sorted((str(r["doc_id"]), r["spans"]) for r in pii.find(docs, weights).collect()) == [("1", ""), ("1", ""), ("None", "email:5:11")]
     assert sorted(tuple(map(str, r)) for r in pii.mask(docs, weights).collect()) == [("1", "", "0", "c"), ("1", "None", "None", "a"), ("None", "mail [EMAIL] now", "16", "b")]
     assert pii.find(docs.limit(0), weights).collect() == []
+
+
+def test_regions_part_no_secret_from_its_first_letters_or_the_words_beside_it():
+    for gap in range(1, 200):
+        words = ("ereth in onan thor edst " * 9)[:gap]
+        text = f'Of 7 {words} token = "beadcafe44e15917ea4e9feb9cda83477b57" or so {words} 8 end'
+        found = list(pii.regions(text))
+        assert all(a < b < c for (a, b), (c, _) in zip(found, found[1:], strict=False))
+        left, first, end = text.index("token"), text.index("bead"), text.index('" or')
+        assert [1 for a, b in found if a <= left and end < b and (first, end) in {(a + t[i][0], a + t[j - 1][1]) for t in [[m.span() for m in pii._TOKEN.finditer(text[a:b])]] for i, j in zip(*pii._candidates(text[a:b], t)[:2], strict=True)}] == [1], gap
+        assert all(any(a <= m.start() < b for a, b in found) for m in re.finditer("[0-9@]", text))
+    assert list(pii.regions("no seed")) == list(pii.regions("")) == []
+    assert list(pii.regions("a" * 900 + "1" + "b" * 900)) == [(0, 1801)]
+    assert list(pii.regions("9 x " * 50_000)) == [(0, 200_000)]
+
+
+def test_the_fit_sees_whole_regions_from_all_over_a_text():
+    words = "ereth in onan thor edst " * 9
+    text = words.join(str(i) for i in range(20))
+    own = [text[a:b] for a, b in pii.regions(text)]
+    assert len(own) == 20 and len(pii.sampled(text)) == pii.REGIONS and set(pii.sampled(text)) <= set(own)
+    assert any(own.index(x) >= pii.REGIONS for x in pii.sampled(text))
+    assert pii.sampled("9 x " * 200) == ["9 x " * 200]
