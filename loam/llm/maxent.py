@@ -1,8 +1,10 @@
 """Language model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class, history). Frequent tokens lie in classes of 64; the other
-tokens in classes by their ending. Both softmaxes over frequent tokens have hashed n-gram and skip features of the last
-three tokens; inside an ending's class a token's chance is its smoothed count. Counts cover every training document,
+P(token | history) = P(group | history) * P(class | group, history) * P(token | class, history). The tokens of the
+dictionary lie by rank in classes of 64 and these in 32 groups (of one class each for up to 2048 tokens, of up to 64
+for more); only tokens outside it are grouped by their ending. Each softmax has hashed n-gram and skip features of the
+last three tokens, whether the dictionary has these or not; inside an ending a token's chance is its smoothed count.
+The tables grow with the counted vocabulary. Counts cover every training document,
 and so do the gradient steps: each document gives a fixed share of its positions, tasks take steps on theirs, and the
 tasks' weights are averaged between rounds. Texts are scored in sparse numpy batches. Tokens outside a dictionary of
 bounded size meet their counts in a join.
@@ -29,6 +31,8 @@ END = b""
 WIDTH, WORD_CLASSES, ENDINGS = 64, 32, 32
 CLASSES, VOCABULARY = WORD_CLASSES + ENDINGS, WORD_CLASSES * WIDTH
 BOUNDARY = VOCABULARY + ENDINGS
+#: In histories, what stands before a text: no token's code.
+BEFORE = 1 << 24
 #: Tokens, at most, whose counts every task holds; the most frequent ones.
 DICTIONARY = 1 << 17
 CLASS_ROWS, TOKEN_ROWS = 1 << 13, 1 << 14
@@ -71,25 +75,52 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def slots_for(tokens: int) -> int:
+    """Places for the tokens of a dictionary: VOCABULARY, doubled until they fit."""
+    slots = VOCABULARY
+    while slots < tokens:
+        slots *= 2
+    return slots
+
+
+def _code_outside(token: bytes) -> int:
+    """The negative code of a token outside the dictionary: 26 bits of its hash and its ending."""
+    return -1 - ((zlib.crc32(token) & ((1 << 26) - 1)) * ENDINGS + ending_of(token))
+
+
 @dataclass(frozen=True)
 class Model:
-    """ids: dictionary tokens by rank; the first VOCABULARY ranks have classes of their own."""
+    """ids: dictionary tokens by rank, all of them with places of their own in the softmaxes."""
 
     ids: dict[bytes, int]
     counts: np.ndarray  # by rank
-    symbol: np.ndarray  # by rank: the rank, or VOCABULARY + ending
-    ending_total: np.ndarray  # n + number of tokens + 1, by ending
+    ending_total: np.ndarray  # n + number of tokens + 1 of the tokens outside the dictionary, by ending
     n: int
     v: int
     weights: np.ndarray | None = None
 
-    def symbols(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (-1 outside the dictionary) and symbols of tokens."""
-        ranks = np.fromiter((self.ids.get(t, -1) for t in tokens), "i4", len(tokens))
-        symbols = self.symbol[ranks]
-        for i in np.flatnonzero(ranks < 0).tolist():
-            symbols[i] = VOCABULARY + ending_of(tokens[i])
-        return ranks, symbols
+    @property
+    def slots(self) -> int:
+        return slots_for(len(self.ids))
+
+    @property
+    def times(self) -> int:
+        """How often the features' tables are as large as for few tokens: as the root of all tokens counted."""
+        times = 1
+        while times * times << 21 < self.v:
+            times *= 2
+        return times
+
+    def codes(self, tokens: list[bytes]) -> np.ndarray:
+        """Ranks of tokens; outside the dictionary their negative codes."""
+        codes = np.fromiter((self.ids.get(t, -1) for t in tokens), "i4", len(tokens))
+        for i in np.flatnonzero(codes < 0).tolist():
+            codes[i] = _code_outside(tokens[i])
+        return codes
+
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        """Ranks; outside the dictionary slots + ending."""
+        return np.where(codes >= 0, codes, self.slots + (-1 - codes) % ENDINGS)
 
 
 def _vocabulary(counts: DataFrame) -> Model:
@@ -111,108 +142,120 @@ def _vocabulary(counts: DataFrame) -> Model:
     for r in counts.groupBy(ending.cast("int").alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         total[r["ending"]] += r["n"] + r["v"]
         n, v = n + r["n"], v + r["v"]
-    own = slice(0, VOCABULARY)
-    np.subtract.at(total, ends[own], n_each[own] + 1)
-    symbol = np.where(np.arange(len(tokens)) < VOCABULARY, np.arange(len(tokens)), VOCABULARY + ends).astype("i4")
-    return Model({t: i for i, t in enumerate(tokens)}, n_each, symbol if len(symbol) else np.zeros(1, "i4"), total, n, v)
-
-
-def _class_of(symbols: np.ndarray) -> np.ndarray:
-    return np.where(symbols < VOCABULARY, symbols // WIDTH, WORD_CLASSES + symbols - VOCABULARY)
+    np.subtract.at(total, ends, n_each + 1)
+    return Model({t: i for i, t in enumerate(tokens)}, n_each, total, n, v)
 
 
-def _rows(history: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
-    """Hashed feature rows of histories (last, second last, third last symbol): n-grams and skips."""
-    h = history.astype("u8")
-    one, two, three = h[:, 0], h[:, 1], h[:, 2]
-    if classes is None:
-        features = (one, two + np.uint64(1 << 20), three + np.uint64(2 << 20), one * np.uint64(4096) + two + np.uint64(1 << 40))
-        return np.stack([mix(f) % np.uint64(CLASS_ROWS) for f in features]).astype("i4")
-    c = classes.astype("u8") << np.uint64(44)
-    return np.stack([mix(f + c) % np.uint64(TOKEN_ROWS) for f in (one, two + np.uint64(1 << 20))]).astype("i4")
+def _features(history: np.ndarray, within: np.ndarray | None, kinds: str, size: int) -> np.ndarray:
+    """Hashed feature rows of histories (codes of the last, second last, third last token), inside a group or class if any."""
+    one, two, three = history.astype("i8").astype("u8").T
+    salt = np.uint64(0) if within is None else (within.astype("u8") + np.uint64(1)) << np.uint64(44)
+    made = {"1": lambda: one, "2": lambda: two + np.uint64(1 << 36), "3": lambda: three + np.uint64(2 << 36), "p": lambda: mix(one + np.uint64(3 << 36)) + two}
+    return np.stack([mix(made[k]() + salt) % np.uint64(size) for k in kinds]).astype("i4")
 
 
-class _Softmaxes:
-    """The weights as tables: biases, then a row of WIDTH or CLASSES for each hashed feature."""
+class _Level:
+    """A softmax over some places of each group: biases by group, a row of weights for each hashed feature."""
 
-    def __init__(self, weights: np.ndarray) -> None:
-        sizes = np.cumsum([CLASSES, VOCABULARY, CLASS_ROWS * CLASSES])
-        bias, own, rows, token_rows = np.split(weights, sizes)
-        self.class_bias, self.class_rows = bias, rows.reshape(CLASS_ROWS, CLASSES)
-        self.token_bias, self.token_rows = own.reshape(WORD_CLASSES, WIDTH), token_rows.reshape(TOKEN_ROWS, WIDTH)
+    def __init__(self, bias: np.ndarray, rows: np.ndarray, kinds: str) -> None:
+        self.bias, self.rows, self.kinds = bias, rows, kinds
+        self.columns = np.arange(rows.shape[1])
 
-    @staticmethod
-    def _log(z: np.ndarray) -> np.ndarray:
+    def logs(self, rows: np.ndarray, within: np.ndarray | None) -> np.ndarray:
+        z = self.rows[rows[0]]
+        for r in rows[1:]:
+            z += self.rows[r]
+        z += self.bias[0] if within is None else self.bias[within]
         z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
-    def classes(self, rows: np.ndarray) -> np.ndarray:
-        z = self.class_rows[rows[0]]
-        for r in rows[1:]:
-            z += self.class_rows[r]
-        return self._log(z + self.class_bias)
+    def chances(self, history: np.ndarray, within: np.ndarray | None, place: np.ndarray) -> np.ndarray:
+        return self.logs(_features(history, within, self.kinds, len(self.rows)), within)[np.arange(len(place)), place]
+
+    def step(self, history: np.ndarray, within: np.ndarray | None, place: np.ndarray, rate: float) -> None:
+        rows = _features(history, within, self.kinds, len(self.rows))
+        g = -np.exp(self.logs(rows, within))
+        g[np.arange(len(place)), place] += 1
+        g *= rate
+        flat, gradient = self.rows.reshape(-1), g.ravel()
+        for r in rows:  # one-dimensional, as numpy adds these several times faster
+            np.add.at(flat, (r[:, None].astype("i8") * len(self.columns) + self.columns).ravel(), gradient)
+        if within is None:
+            self.bias[0] += 0.1 * g.sum(axis=0)
 
-    def tokens(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        z = self.token_rows[rows[0]]
-        for r in rows[1:]:
-            z += self.token_rows[r]
-        return self._log(z + self.token_bias[classes])
+
+class _Softmaxes:
+    """The weights as tables: by groups (and endings), by a group's classes if there are more than one, by a class's tokens."""
+
+    def __init__(self, weights: np.ndarray, slots: int = VOCABULARY, times: int = 1) -> None:
+        self.weights, self.slots, self.width = weights, slots, slots // WORD_CLASSES
+        each = self.width // WIDTH
+        shapes = _shapes(slots, times)
+        parts = np.split(weights, np.cumsum([a * b for a, b in shapes])[:-1])
+        bias, own, rows, token_rows, *more = (x.reshape(shape) for x, shape in zip(parts, shapes, strict=True))
+        self.groups = _Level(bias, rows, "123p")
+        self.classes = _Level(more[0], more[1], "12p") if each > 1 else None
+        self.tokens = _Level(own, token_rows, "12")
+
+    def _levels(self, history: np.ndarray, symbols: np.ndarray) -> Iterator[tuple[_Level, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
+        """Of each level: the examples that it concerns, their histories, groups and places in these."""
+        group = np.where(symbols < self.slots, symbols // self.width, WORD_CLASSES + symbols - self.slots)
+        yield self.groups, np.arange(len(symbols)), history, None, group
+        if len(word := np.flatnonzero(symbols < self.slots)):
+            h, s = history[word], symbols[word]
+            if self.classes:
+                yield self.classes, word, h, group[word], s % self.width // WIDTH
+            yield self.tokens, word, h, s // WIDTH, s % WIDTH
 
     def log_likelihood(self, history: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each symbol's chance; for an ending, of the ending's class."""
-        out = np.empty(len(symbols))
+        """Natural logarithm of each symbol's chance; for an ending, of the ending's group."""
+        out = np.zeros(len(symbols))
         for a in range(0, len(symbols), BATCH):
-            s, h = symbols[a : a + BATCH], history[a : a + BATCH]
-            c = _class_of(s)
-            found = self.classes(_rows(h))[np.arange(len(s)), c].astype("f8")
-            word = np.flatnonzero(s < VOCABULARY)
-            if len(word):
-                found[word] += self.tokens(_rows(h[word], c[word]), c[word])[np.arange(len(word)), s[word] % WIDTH]
-            out[a : a + BATCH] = found
+            for level, at, h, within, place in self._levels(history[a : a + BATCH], symbols[a : a + BATCH]):
+                out[a + at] += level.chances(h, within, place)
         return out
 
     def step(self, history: np.ndarray, symbols: np.ndarray, rate: float) -> None:
-        c = _class_of(symbols)
-        rows = _rows(history)
-        g = -np.exp(self.classes(rows))
-        g[np.arange(len(c)), c] += 1
-        g *= rate
-        for r in rows:
-            np.add.at(self.class_rows, r, g)
-        self.class_bias += 0.1 * g.sum(axis=0)
-        word = np.flatnonzero(symbols < VOCABULARY)
-        if len(word):
-            rows = _rows(history[word], c[word])
-            g = -np.exp(self.tokens(rows, c[word]))
-            g[np.arange(len(word)), symbols[word] % WIDTH] += 1
-            g *= rate
-            for r in rows:
-                np.add.at(self.token_rows, r, g)
+        for level, _, h, within, place in self._levels(history, symbols):
+            level.step(h, within, place, rate)
+
+
+def _shapes(slots: int, times: int) -> list[tuple[int, int]]:
+    """Biases of groups and tokens, rows of groups and tokens; with several classes a group, these too."""
+    each = slots // VOCABULARY
+    shapes = [(1, CLASSES), (slots // WIDTH, WIDTH), (CLASS_ROWS * times, CLASSES), (TOKEN_ROWS * times, WIDTH)]
+    return [*shapes, (WORD_CLASSES, each), (CLASS_ROWS * times, each)] if each > 1 else shapes
 
 
 def _start(model: Model) -> np.ndarray:
     """Weights under which tokens have their share of the counts."""
-    counts = np.zeros(VOCABULARY)
-    counts[: min(VOCABULARY, len(model.counts))] = model.counts[:VOCABULARY]
-    mass = np.concatenate([counts.reshape(WORD_CLASSES, WIDTH).sum(axis=1), model.ending_total])
-    rest = np.zeros(CLASS_ROWS * CLASSES + TOKEN_ROWS * WIDTH)
+    counts = np.zeros(model.slots)
+    counts[: len(model.counts)] = model.counts
+    classes = counts.reshape(-1, WIDTH).sum(axis=1)
+    shapes = _shapes(model.slots, model.times)
+    mass = np.concatenate([classes.reshape(WORD_CLASSES, -1).sum(axis=1), model.ending_total])
+    rest = [np.zeros(shapes[2]), np.zeros(shapes[3])]
+    if len(shapes) > 4:
+        rest += [np.log(np.maximum(classes, 1e-6)), np.zeros(shapes[5])]
     # slots without a token keep next to no chance
-    return np.concatenate([np.log(np.maximum(mass, 1e-6)), np.log(np.maximum(counts, 1e-6)), rest]).astype("f4")
+    return np.concatenate([x.ravel() for x in (np.log(np.maximum(mass, 1e-6)), np.log(np.maximum(counts, 1e-6)), *rest)]).astype("f4")
 
 
-def _histories(model: Model, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of texts one after another, their ranks, symbols and histories, and the number of tokens of each text."""
-    each = [tokens_of(t) for t in texts]
-    tokens = [t for own in each for t in own]
-    sizes = np.array([len(own) for own in each])
-    ranks, symbols = model.symbols(tokens)
-    history = np.full((len(tokens), 3), BOUNDARY, "i4")
-    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def _history(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The codes of the three tokens before each token of texts, which have so many tokens each, one after another."""
+    history = np.full((len(codes), 3), BEFORE, "i4")
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     for back in (1, 2, 3):
         at = np.flatnonzero(place >= back)
-        history[at, back - 1] = symbols[at - back]
-    return tokens, ranks, symbols, history, sizes
+        history[at, back - 1] = codes[at - back]
+    return history
+
+
+def _codes(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the tokens of texts one after another, and the number of tokens of each text."""
+    each = [tokens_of(t) for t in texts]
+    return model.codes([t for own in each for t in own]), np.array([len(own) for own in each])
 
 
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
@@ -222,11 +265,11 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, 1):
-            _, _, symbols, history, sizes = _histories(shared.value, texts)
+            codes, sizes = _codes(shared.value, texts)
             salt = np.repeat(np.array([zlib.crc32(x.as_py()) for x in part.column(0)], "u8"), sizes)
-            place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             at = np.flatnonzero(mix((salt << np.uint64(32)) + place.astype("u8")) % np.uint64(EVERY) == 0)
-            packed = np.concatenate([symbols[at, None], history[at]], axis=1).astype("<i2")
+            packed = np.concatenate([codes[at, None], _history(codes, sizes)[at]], axis=1).astype("<i4")
             yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64()), pa.array([packed.tobytes()], pa.binary())], ["n", "examples"])
 
     rows = docs.filter(~is_held_out()).select(text_digest("text").alias("digest"), F.col("text").cast("binary")).mapInArrow(examples, "n bigint, examples binary")
@@ -235,16 +278,16 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     dealt = dealt.repartition(max(LEAST_TASKS, total // TASK_EXAMPLES))
 
     def local_pass(weights: np.ndarray, rows: list[dict], number: int) -> np.ndarray:
-        maxent = _Softmaxes(weights)
-        data = np.frombuffer(b"".join(r["examples"] for r in rows), "<i2").reshape(-1, 4).astype("i4")
+        maxent = _Softmaxes(weights, shared.value.slots, shared.value.times)
+        data = np.frombuffer(b"".join(r["examples"] for r in rows), "<i4").reshape(-1, 4)
         order = np.random.default_rng(number).permutation(len(data))
         for a in range(0, len(data), 128):
             own = data[order[a : a + 128]]
-            maxent.step(own[:, 1:], own[:, 0], RATES[number])
-        return np.concatenate([maxent.class_bias, maxent.token_bias.ravel(), maxent.class_rows.ravel(), maxent.token_rows.ravel()])
+            maxent.step(own[:, 1:], shared.value.symbols(own[:, 0]), RATES[number])
+        return maxent.weights
 
     weights = train_averaged(dealt, _start(model), local_pass, len(RATES)) if total else _start(model)
-    return Model(model.ids, model.counts, model.symbol, model.ending_total, model.n, model.v, weights)
+    return Model(model.ids, model.counts, model.ending_total, model.n, model.v, weights)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -263,17 +306,18 @@ def score(docs: DataFrame) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        maxent = _Softmaxes(model.weights)
+        maxent = _Softmaxes(model.weights, model.slots, model.times)
         log_counts = np.append(np.log10(model.counts + 1), 0.0)
         log_totals = np.log10(model.ending_total)
         for part, texts in chunks(batches, 1):
-            _, ranks, symbols, history, sizes = _histories(model, texts)
-            known = log_counts[ranks]
-            chance = maxent.log_likelihood(history, symbols) / np.log(10)
-            other = symbols >= VOCABULARY
-            chance[other] += known[other] - log_totals[symbols[other] - VOCABULARY]
+            codes, sizes = _codes(model, texts)
+            symbols = model.symbols(codes)
+            known = log_counts[np.maximum(codes, -1)]
+            chance = maxent.log_likelihood(_history(codes, sizes), symbols) / np.log(10)
+            other = codes < 0
+            chance[other] -= log_totals[symbols[other] - model.slots]
             starts = np.cumsum(sizes) - sizes
-            sums = [np.add.reduceat(x, starts) for x in ((ranks >= 0).astype("i8"), known - scale, chance)]
+            sums = [np.add.reduceat(x, starts) for x in ((codes >= 0).astype("i8"), known - scale, chance)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), *map(pa.array, sums)], ["doc_id", "held_out", "digest", "n_tokens", "found", "base", "chance"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,3 +58,32 @@ def test_chances_sum_to_one():
     symbols = np.arange(maxent.BOUNDARY)
     history = np.tile(np.array([5, 2050, 80], "i4"), (len(symbols), 1))
     assert math.isclose(np.exp(soft.log_likelihood(history, symbols)).sum(), 1, rel_tol=1e-4)
+
+
+def _model(n):
+    return maxent.Model({b"t%d" % i: i for i in range(n)}, np.arange(n, 0, -1.0), np.ones(maxent.ENDINGS), n, n)
+
+
+def test_chances_over_a_whole_dictionary_sum_to_one():
+    model = _model(20_000)
+    weights = maxent._start(model)
+    soft = maxent._Softmaxes(weights + np.random.default_rng(1).normal(0, 0.3, len(weights)).astype("f4"), model.slots)
+    symbols = np.arange(model.slots + maxent.ENDINGS)
+    history = np.tile(np.array([5, 15_000, -80], "i4"), (len(symbols), 1))
+    assert model.slots >= 20_000 and math.isclose(np.exp(soft.log_likelihood(history, symbols)).sum(), 1, rel_tol=1e-4)
+    assert len(maxent._start(_model(1 << 17))) > len(weights)
+    assert maxent.Model({}, np.zeros(0), np.ones(1), 0, 1 << 26).times > model.times
+
+
+def test_tokens_beyond_the_first_2048_and_outside_the_dictionary_are_told_by_and_tell_what_follows():
+    model = _model(20_000)
+    soft = maxent._Softmaxes(maxent._start(model), model.slots)
+    codes = model.codes([b"rare one", b"t15000", b"rare two", b"t15001"])
+    history = np.full((4, 3), maxent.BEFORE, "i4")
+    history[1::2, 0] = codes[::2]
+    symbols = model.symbols(codes)
+    for _ in range(50):
+        soft.step(history, symbols, 0.2)
+    swapped = history[[0, 3, 2, 1]]
+    gain = soft.log_likelihood(history, symbols) - soft.log_likelihood(swapped, symbols)
+    assert codes[1] == 15_000 and codes[0] < 0 and (gain[1::2] > 1).all()
