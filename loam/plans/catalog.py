@@ -37,6 +37,12 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return lines.select((F.col("l_partkey") % 97).alias("source"), (F.col("l_suppkey") % 97).alias("target")).filter("source < target").distinct()
 
 
+def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every part and supplier that share a line, both ways: parts are the even nodes, suppliers the odd ones."""
+    lines = table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("part"), (F.col("l_suppkey") * 2 + 1).alias("supplier")).dropna().distinct()
+    return lines.select(F.explode(F.array(F.struct(F.col("part").alias("source"), F.col("supplier").alias("target")), F.struct(F.col("supplier").alias("source"), F.col("part").alias("target")))).alias("e")).select("e.*")
+
+
 def _correct() -> Column:
     return F.col("value") > 5
 
@@ -208,6 +214,11 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         lambda s, d: graphs.neighbours(_edges(s, d)),
         f"WITH e AS ({_EDGES}) SELECT source, count(*) AS degree, string_agg(CAST(target AS VARCHAR), ',' ORDER BY target) AS targets FROM e GROUP BY 1",
     ),
+    # on the whole of lineitem with its real keys; no SQL, brute force on small edges instead
+    "two_hop_paths_whole": (lambda s, d: graphs.two_hops(_whole_edges(s, d)), None),
+    "reduced_edges_whole": (lambda s, d: graphs.reduced(_whole_edges(s, d)), None),
+    "shortest_hops_whole": (lambda s, d: graphs.shortest_all(_whole_edges(s, d), 2), None),
+    "neighbour_lists_whole": (lambda s, d: graphs.neighbours(_whole_edges(s, d)), None),
     "focus_tokens": (
         lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.focus_tokens(F.col("text"), STOP, 8), " ").alias("tokens")),
         "SELECT doc_id, array_to_string(list_transform(list_filter(t, lambda x: x IS NOT NULL)[1:8], lambda x: x), ' ') AS tokens FROM (SELECT doc_id, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(a) AS w, generate_subscripts(a, 1) AS i) WHERE w NOT IN ('the', 'and', 'that') GROUP BY w)) AS t FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS a FROM documents))",
