@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as texts
@@ -43,6 +43,12 @@ def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(F.explode(F.array(F.struct(F.col("part").alias("source"), F.col("supplier").alias("target")), F.struct(F.col("supplier").alias("source"), F.col("part").alias("target")))).alias("e")).select("e.*")
 
 
+def _user_steps(spark: SparkSession, d: str) -> DataFrame:
+    """events, each with the user's event_type before it."""
+    last = F.lag("event_type", 1, "<start>").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").withColumn("previous", last)
+
+
 def _correct() -> Column:
     return F.col("value") > 5
 
@@ -163,6 +169,16 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         SELECT q.event_type, q.user_id, CASE WHEN a.n > 0 THEN 0 WHEN b.n > 0 THEN 1 WHEN c.n > 0 THEN 2 ELSE -1 END AS level, coalesce(a.n, b.n, c.n) AS n_candidates
         FROM q LEFT JOIN a ON a.event_type = q.event_type AND a.user_id = q.user_id LEFT JOIN b ON b.user_id = q.user_id CROSS JOIN c""",
     ),
+    "backoff_lookup_whole": (
+        lambda s, d: sequences.backoff(*(_user_steps(s, d).filter(f"event_id % 10 {side}") for side in ("= 0", "> 0")), [["user_id", "event_type", "previous"], ["user_id", "event_type"], ["user_id"], ["event_type"], []], "value"),
+        """WITH s AS (SELECT *, lag(event_type, 1, '<start>') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events),
+        q AS (SELECT DISTINCT user_id, event_type, previous FROM s WHERE event_id % 10 = 0), t AS (SELECT * FROM s WHERE event_id % 10 > 0),
+        a AS (SELECT user_id, event_type, previous, nullif(count(DISTINCT value), 0) AS n FROM t GROUP BY 1, 2, 3), b AS (SELECT user_id, event_type, nullif(count(DISTINCT value), 0) AS n FROM t GROUP BY 1, 2),
+        c AS (SELECT user_id, nullif(count(DISTINCT value), 0) AS n FROM t GROUP BY 1), e AS (SELECT event_type, nullif(count(DISTINCT value), 0) AS n FROM t GROUP BY 1), f AS (SELECT nullif(count(DISTINCT value), 0) AS n FROM t)
+        SELECT q.user_id, q.event_type, q.previous, CASE WHEN a.n > 0 THEN 0 WHEN b.n > 0 THEN 1 WHEN c.n > 0 THEN 2 WHEN e.n > 0 THEN 3 WHEN f.n > 0 THEN 4 ELSE -1 END AS level, coalesce(a.n, b.n, c.n, e.n, f.n, 0) AS n_candidates
+        FROM q LEFT JOIN a ON a.user_id = q.user_id AND a.event_type = q.event_type AND a.previous = q.previous LEFT JOIN b ON b.user_id = q.user_id AND b.event_type = q.event_type
+        LEFT JOIN c ON c.user_id = q.user_id LEFT JOIN e ON e.event_type = q.event_type CROSS JOIN f""",
+    ),
     "p95_stats": (
         lambda s, d: evals.percentiles(table(s, d, "events"), "event_type", "value"),
         "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, quantile_disc(value, 0.95) AS p95_rank, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS median, max(value) AS most FROM events GROUP BY 1",
