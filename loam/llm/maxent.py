@@ -5,7 +5,7 @@ dictionary lie by rank in classes of 64 and these in 32 groups (of one class eac
 for more); only tokens outside it are grouped by their ending. Each softmax has hashed n-gram and skip features of the
 last three tokens, whether the dictionary has these or not; inside an ending a token's chance is its smoothed count.
 The tables grow with the counted vocabulary. Counts cover every training document,
-and so do the gradient steps: each document gives a fixed share of its positions, tasks take steps on theirs, and the
+and so do the gradient steps: each round goes over every position of every document, tasks take steps on theirs, and the
 tasks' weights are averaged between rounds. Texts are scored in sparse numpy batches. Tokens outside a dictionary of
 bounded size meet their counts in a join.
 """
@@ -36,8 +36,8 @@ BEFORE = 1 << 24
 #: Tokens, at most, whose counts every task holds; the most frequent ones.
 DICTIONARY = 1 << 17
 CLASS_ROWS, TOKEN_ROWS = 1 << 13, 1 << 14
-#: One position in so many of every training text is an example; examples in a training task, about.
-EVERY, TASK_EXAMPLES, LEAST_TASKS = 32, 1 << 20, 6
+#: Examples in a training task, about; every position of a training text is one.
+TASK_EXAMPLES, LEAST_TASKS = 1 << 22, 6
 RATES = (0.2, 0.1, 0.05)
 BATCH, FLUSH = 2048, 400_000
 
@@ -264,29 +264,26 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, 1):
+        for _, texts in chunks(batches):
             codes, sizes = _codes(shared.value, texts)
-            salt = np.repeat(np.array([zlib.crc32(x.as_py()) for x in part.column(0)], "u8"), sizes)
-            place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.flatnonzero(mix((salt << np.uint64(32)) + place.astype("u8")) % np.uint64(EVERY) == 0)
-            packed = np.concatenate([codes[at, None], _history(codes, sizes)[at]], axis=1).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64()), pa.array([packed.tobytes()], pa.binary())], ["n", "examples"])
+            yield pa.RecordBatch.from_arrays([pa.array([sizes.astype("<i4").tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary())], ["sizes", "codes"])
 
-    rows = docs.filter(~is_held_out()).select(text_digest("text").alias("digest"), F.col("text").cast("binary")).mapInArrow(examples, "n bigint, examples binary")
-    dealt = written(rows, "maxent-examples")
-    total = dealt.agg(F.sum("n")).first()[0] or 0
-    dealt = dealt.repartition(max(LEAST_TASKS, total // TASK_EXAMPLES))
+    rows = docs.filter(~is_held_out()).select(F.col("text").cast("binary")).mapInArrow(examples, "sizes binary, codes binary")
+    dealt = written(rows.repartition(max(LEAST_TASKS, model.n // TASK_EXAMPLES)), "maxent-examples")
 
     def local_pass(weights: np.ndarray, rows: list[dict], number: int) -> np.ndarray:
         maxent = _Softmaxes(weights, shared.value.slots, shared.value.times)
-        data = np.frombuffer(b"".join(r["examples"] for r in rows), "<i4").reshape(-1, 4)
-        order = np.random.default_rng(number).permutation(len(data))
-        for a in range(0, len(data), 128):
-            own = data[order[a : a + 128]]
-            maxent.step(own[:, 1:], shared.value.symbols(own[:, 0]), RATES[number])
+        rng = np.random.default_rng(number)
+        for k in rng.permutation(len(rows)):
+            codes, sizes = (np.frombuffer(rows[k][c], "<i4") for c in ("codes", "sizes"))
+            history, symbols = _history(codes, sizes), shared.value.symbols(codes)
+            order = rng.permutation(len(codes))
+            for a in range(0, len(codes), 128):
+                own = order[a : a + 128]
+                maxent.step(history[own], symbols[own], RATES[number])
         return maxent.weights
 
-    weights = train_averaged(dealt, _start(model), local_pass, len(RATES)) if total else _start(model)
+    weights = train_averaged(dealt, _start(model), local_pass, len(RATES)) if model.n else _start(model)
     return Model(model.ids, model.counts, model.ending_total, model.n, model.v, weights)
 
 

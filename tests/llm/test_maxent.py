@@ -87,3 +87,19 @@ def test_tokens_beyond_the_first_2048_and_outside_the_dictionary_are_told_by_and
     swapped = history[[0, 3, 2, 1]]
     gain = soft.log_likelihood(history, symbols) - soft.log_likelihood(swapped, symbols)
     assert codes[1] == 15_000 and codes[0] < 0 and (gain[1::2] > 1).all()
+
+
+def test_every_position_of_a_training_text_is_stepped_on(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i} c") for i in range(40)], "doc_id bigint, text string")
+    taught = docs.filter(~maxent.is_held_out())
+    passes = []
+
+    def one_pass(examples, start, local_pass, rounds):
+        rows = [r.asDict() for r in examples.collect()]
+        with monkeypatch.context() as m:
+            m.setattr(maxent._Softmaxes, "step", lambda self, history, symbols, rate: passes.append(len(symbols)))
+            return local_pass(start.copy(), rows, 0)
+
+    monkeypatch.setattr(maxent, "train_averaged", one_pass)
+    maxent.fit(docs, maxent.count_tokens(taught).cache())
+    assert sum(passes) == 4 * taught.count()
