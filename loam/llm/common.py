@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set, as in tests."""
+    """The shared folder the cluster names; one of our own only where none is set and the session is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loam-checkpoint-")
     return found
 
@@ -58,20 +62,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bits of the bitmap that bits_of makes: 2 MB at any size of its input.
-BITS = 1 << 24
+#: Bits of a bitmap, at least and at most (64 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 
 
-def bits_of(places: DataFrame) -> bytes:
-    """A bitmap of fixed size with the bits set that the column place names: the first 24 bits of hashes."""
-    parts = places.distinct().groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(1 << 15))).alias("bits")).collect()
-    found = bytearray(BITS // 8)
+@dataclass(frozen=True)
+class Bits:
+    """A bitmap of hashes: has() may be true because of another hash, but never false for one of its own."""
+
+    table: np.ndarray
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """For each hash (unsigned, 64 bits) whether its bit is set."""
+        place = hashes & np.uint64(8 * len(self.table) - 1)
+        return (self.table[(place >> np.uint64(3)).astype("i8")] >> (place & np.uint64(7)).astype("u1") & 1).astype(bool)
+
+
+def bits_of(hashes: DataFrame, n: int) -> Bits:
+    """A bitmap of the 64-bit hashes in the column hash, of which there are n: 16 bits for each, MOST_BITS at most.
+
+    Fuller bitmaps only let more through, so what has() passes must be judged exactly afterwards.
+    """
+    size = LEAST_BITS
+    while size < min(16 * n, MOST_BITS):
+        size *= 2
+    place = hashes.select(F.col("hash").bitwiseAND(F.lit(size - 1)).alias("place"))
+    parts = place.groupBy(F.shiftright("place", 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(1 << 15))).alias("bits")).collect()
+    table = np.zeros(size // 8, "u1")
     for r in parts:
-        found[r["part"] << 12 : (r["part"] + 1) << 12] = r["bits"]
-    return bytes(found)
+        table[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], "u1")
+    return Bits(table)
+
+
+#: Rows of one key from which a join splits it, at least, and keys that are split, at most.
+HOT_ROWS, HOT_KEYS = 2000, 10_000
+
 
+def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The inner join of left and right on a column, in which keys with many rows on the left are split over tasks.
 
-def in_bits(bits: bytes, digest: bytes) -> bool:
-    """Whether the bitmap has the bit of a hash; it may have it because of another one."""
-    place = int.from_bytes(digest[:3], "big")
-    return bool(bits[place >> 3] >> (place & 7) & 1)
+    left is read twice, so it should be a written table. A key with HOT_ROWS rows or more, and at least one in HOT_KEYS
+    of all, has its rows on the left dealt over salts and its rows on the right repeated for each; there are HOT_KEYS
+    such keys at most, which is what is broadcast.
+    """
+    bar = max(HOT_ROWS, left.count() // HOT_KEYS)
+    hot = left.groupBy(key).count().filter(F.col("count") >= bar).select(F.col(key).alias("__hot"), F.ceil(F.col("count") / bar).cast("int").alias("__salts"))
+    salts = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    dealt = salts(left).withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("__salts"))).cast("int"))
+    repeated = salts(right).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    return dealt.drop("__hot", "__salts").join(repeated.drop("__hot", "__salts"), [key, "__salt"]).drop("__salt")

@@ -1,57 +1,59 @@
 """Hashes of words and word windows for a batch of texts at once, in numpy.
 
-A text's bytes are summed up against the powers of an odd base modulo 2**64, so the hash of any word, and of any run of
-words, is one difference of two prefix sums.
+A word's hash adds up its pieces of eight bytes, each mixed with a salt of its own, so no pattern inside a word (as
+those known to defeat power sums) makes two words meet; long words go through xxhash. Windows are hashed by doubling:
+that of 2w words mixes those of its two halves. Lanes have salts of their own throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+#: Pieces of eight bytes in a word that is hashed by pieces.
+PIECES = 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype="u1")
 _LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], "u8")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit of 64 over all of them."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of them; long tables aren't kept."""
-    found = _powers.get(base)
-    if found is not None and len(found[0]) >= n:
-        return found
-    size = max(n, 2 * CHUNK_BYTES)
-    tables = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        steps = np.full(size, b, "u8")
-        steps[0] = 1
-        tables.append(np.multiply.accumulate(steps))
-    if size == 2 * CHUNK_BYTES:
-        _powers[base] = tuple(tables)
-    return tuple(tables)
-
-
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of values[start:end] for each start and end."""
-    powers, inverse = _power_tables(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, "u8")
-    np.cumsum(values * powers[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+#: A row of salts for each lane: for a word's length and pieces, and for windows by the bits of their width.
+_SALTS = mix(np.arange(1, 129, dtype="u8") * _ODD).reshape(2, 64)
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes of raw[start:end] for each start and end; raw goes on for eight bytes at least after the last word."""
+    salts, sizes = _SALTS[lane], ends - starts
+    pieces = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    found = mix(sizes.astype("u8") + salts[0])
+    own = np.arange(len(starts))
+    for k in range(PIECES):
+        left = sizes[own] - 8 * k
+        found[own] += mix((pieces[starts[own] + 8 * k] & _MASKS[np.minimum(left, 8)]) ^ salts[k + 1])
+        own = own[left > 8]
+        if not len(own):
+            break
+    for i in own.tolist():
+        found[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), lane + 1)
+    return mix(found)
 
 
 @dataclass
@@ -62,34 +64,41 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
-    hashes: np.ndarray
+    lanes: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def run_hashes(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-        """Hashes of the word sequences from word start up to end; lanes are independent."""
-        return _runs(self.hashes if lane == 0 else mix(self.hashes + np.uint64(lane)), starts, ends, _BASES[1 + lane])
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        if lane not in self.lanes:
+            self.lanes[lane] = _word_hashes(self.raw, self.starts, self.ends, lane)
+        return self.lanes[lane]
 
     def windows(self, size: int, lane: int = 0) -> np.ndarray:
         """Hash of the `size` words from each word on, texts' ends not minded; 0 where fewer follow."""
-        n = len(self.hashes)
+        n = len(self.starts)
         found = np.zeros(n, "u8")
-        if n >= size:
-            at = np.arange(n - size + 1)
-            found[: n - size + 1] = self.run_hashes(at, at + size, lane)
+        if n < size:
+            return found
+        level, width, covered, so_far = self.hashes(lane), 1, 0, None
+        while covered < size:
+            if size & width:
+                part = level[covered:]
+                so_far = part if so_far is None else mix(so_far[: len(part)] * _ODD + part + _SALTS[lane, 32 + width.bit_length()])
+                covered += width
+            if covered < size:
+                level = mix(level[:-width] * _ODD + level[width:] + _SALTS[lane, 8 + width.bit_length()])
+                width *= 2
+        found[: n - size + 1] = so_far[: n - size + 1]
         return found
 
 
 def words_of(texts: list[bytes], lower: bool = False) -> Words:
-    raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", "u1")
+    raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n" * 9, "u1")
     if lower:
         raw = _LOWER[raw]
     space = _SPACE[raw]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     offsets = np.cumsum(np.fromiter((len(t) + 1 for t in texts), "i8", len(texts))) + 1
-    first = np.searchsorted(starts, np.concatenate(([1], offsets)))
-    values = raw.astype("u8")
-    values += np.uint64(1)
-    return Words(raw, starts, ends, first, _runs(values, starts, ends, _BASES[0]))
+    return Words(raw, starts, ends, np.searchsorted(starts, np.concatenate(([1], offsets))))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -7,9 +7,10 @@ blocks must then share one of the first D + 1 of them, in any one order of all p
 join. Blocks made only of shingles that a sample finds common come last in that order, so common passages seldom serve
 as keys; the sample changes the order alone, never the result.
 
-Every key's texts are compared with the key's smallest text first. Components of those links settle nearly all keys
-(a group of near copies needs one star, not all pairs); what is left of a key is compared in bounded chunks, over
-components only, by the Hamming distance of narrow parity sketches, and verified exactly.
+Keys' least and greatest texts come from a map-side aggregation, and only texts of keys that two unlike texts share go
+on. Every key's texts are compared with the key's least text first. Components of those links settle nearly all keys
+(a group of near copies needs one star, not all pairs); what is left of a key is compared in bounded tiles, over
+unlike components only, by the Hamming distance of narrow parity sketches. Candidates are verified by their real words.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import bits_of, id_key, in_bits, text_digest, written
+from loam.llm.common import Bits, bits_of, id_key, split_join, text_digest, written
 from loam.llm.components import components
 from loam.llm.hashing import Words, chunks, mix, words_of
 
@@ -46,11 +47,17 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray
         if end - first >= size:
             yield np.unique(windows[first : end - size + 1])
         elif end > first:
-            yield words.run_hashes(np.array([first]), np.array([end])) + np.uint64(end - first)
+            yield _short(words, first, end)
         else:
             yield windows[:0]
 
 
+def _short(words: Words, first: int, end: int) -> np.ndarray:
+    """The hash of a text of fewer words than a shingle."""
+    own = words.hashes()[first:end]
+    return mix(own[:1] + mix(np.array([xxhash.xxh3_64_intdigest(own.tobytes())], "u8")))
+
+
 def most_different(n: int, percent: int) -> int:
     """The largest symmetric difference of a set of n elements and any set with that Jaccard similarity to it."""
     return n * (100 - percent) // percent
@@ -90,11 +97,6 @@ def short_of(node: bytes) -> int:
     return int.from_bytes(node[:8], "big", signed=True)
 
 
-def _place(short: str) -> Column:
-    """The bit of a node in bits_of."""
-    return F.shiftrightunsigned(short, 40)
-
-
 def parity_sketch(shingles: np.ndarray) -> bytes:
     """Bits that each hold the parity of the number of shingles that fall on them, more of them for larger sets."""
     bits = 1 << max(LEAST_BITS, BITS_EACH * len(shingles)).bit_length()
@@ -125,48 +127,83 @@ def _common_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["shingle"] for r in rows], "i8").view("u8"))
 
 
-def _keys(docs: DataFrame, percent: int) -> DataFrame:
+def _keys(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     """key and node (its short name) of every text: see block_keys."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for _, texts in chunks(batches):
-            keys, nodes = [], []
+            keys, nodes, sizes, seen = [], [], [], set()
             for shingles in shingle_sets(texts):
-                if len(shingles):
-                    node, own = short_of(node_of(shingles)), block_keys(shingles, common, percent)
+                if len(shingles) and (node := short_of(node_of(shingles))) not in seen:
+                    seen.add(node)
+                    own = block_keys(shingles, common, percent)
                     keys += own
-                    nodes += [node] * sum(map(len, own))
+                    nodes.append(node)
+                    sizes.append(sum(map(len, own)))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("i8")), pa.array(nodes, pa.int64())], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("i8")), pa.array(np.repeat(np.array(nodes, "i8"), sizes))], ["key", "node"])
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "key bigint, node bigint")
 
 
-def _sketched(docs: DataFrame, needed: bytes) -> DataFrame:
-    """doc_id, digest, n_shingles and node of every row; with its sketch where the node is one of those needed."""
+def _sketched(docs: DataFrame, common: np.ndarray, wanted: Bits, percent: int) -> DataFrame:
+    """doc_id, digest, n_shingles and node of every row; with its short name, sketch and those of its keys that are wanted, if any."""
+    shared = docs.sparkSession.sparkContext.broadcast((common, wanted))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, wanted = shared.value
         for part, texts in chunks(batches, 1):
-            sets = list(shingle_sets(texts))
-            nodes = [node_of(s) if len(s) else None for s in sets]
-            sketches = [parity_sketch(s) if n is not None and in_bits(needed, n) else None for s, n in zip(sets, nodes, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "digest", "n_shingles", "node", "sketch"])
+            sizes, nodes, shorts, sketches, found = [], [], [], [], []
+            for shingles in shingle_sets(texts):
+                node = node_of(shingles) if len(shingles) else None
+                keys = np.concatenate(block_keys(shingles, common, percent)) if len(shingles) else shingles
+                keys = keys[wanted.has(keys)]
+                sizes.append(len(shingles))
+                nodes.append(node)
+                shorts.append(short_of(node) if len(keys) else None)
+                sketches.append(parity_sketch(shingles) if len(keys) else None)
+                found.append(keys.view("i8") if len(keys) else None)
+            arrays = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(shorts, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], ["doc_id", "digest", "n_shingles", "node", "short", "sketch", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), text_digest("text").alias("digest"))
+    return rows.mapInArrow(tasks, "doc_id bigint, digest binary, n_shingles bigint, node binary, short bigint, sketch binary, keys array<bigint>")
+
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), text_digest("text").alias("digest")).mapInArrow(tasks, "doc_id bigint, digest binary, n_shingles bigint, node binary, sketch binary")
+def _head(digest: str) -> Column:
+    """The first 64 bits of a digest."""
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("bigint")
 
 
-def _shingles(docs: DataFrame, needed: bytes) -> DataFrame:
-    """node and shingles of the sets whose node is one of those needed, once each."""
+def _texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """digest and text of the texts with those digests (and some others), once each."""
+    found = written(digests.select(_head("digest").alias("hash")).distinct(), "parity-digests")
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(found, found.count()))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
-            found = [(n, s.tobytes()) for s in shingle_sets(texts) if len(s) and in_bits(needed, n := node_of(s))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["node", "shingles"])
+        for batch in batches:
+            if batch.num_rows:
+                heads = np.frombuffer(b"".join(x[:8] for x in batch.column(0).to_pylist()), ">u8").astype("u8")
+                yield batch.filter(pa.array(shared.value.has(heads)))
+
+    return docs.select(text_digest("text").alias("digest"), F.col("text").cast("binary").alias("text")).mapInArrow(tasks, "digest binary, text binary").dropDuplicates(["digest"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "node binary, shingles binary").dropDuplicates(["node"])
+
+def similar(one: bytes, two: bytes, percent: int, size: int = SHINGLE) -> bool:
+    """Whether two texts link, by their words themselves: shingles are numbered step by step, not hashed."""
+    a, b = one.lower().split(), two.lower().split()
+    if min(len(a), len(b)) < size:
+        return a == b
+    known: dict[bytes, int] = {}
+    words = np.fromiter((known.setdefault(w, len(known)) for w in a + b), "i8", len(a) + len(b))
+    number = words
+    for k in range(1, size):  # runs of k + 1 words, those of k words numbered before
+        number = np.unique(number[: len(words) - k] * len(known) + words[k:], return_inverse=True)[1]
+    a_set, b_set = np.unique(number[: len(a) - size + 1]), np.unique(number[len(a) :])
+    same = len(np.intersect1d(a_set, b_set, assume_unique=True))
+    return 100 * same >= percent * (len(a_set) + len(b_set) - same)
 
 
 def _bound(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -180,15 +217,18 @@ def _hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
-def _with_both(rows: DataFrame, sets: DataFrame, columns: tuple[str, ...], name: str = "node") -> DataFrame:
-    """The pairs (node, other) with the columns that sets has for both; the pairs hold what sets has as `name`."""
-    for side in ("node", "other"):
-        rows = rows.join(sets.select(F.col(name).alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-    return rows.select("node", "other", *[f"{c}_{s}" for c in columns for s in ("node", "other")])
+def _with_both(pairs: DataFrame, values: DataFrame, name: str, columns: tuple[str, ...], sides: tuple[str, str]) -> DataFrame:
+    """The written pairs with the columns that values has for both sides, as <column>_<side>; no side is in one task alone."""
+    for side in sides:
+        pairs = split_join(pairs, values.select(F.col(name).alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        if side == sides[0]:
+            pairs = written(pairs, "parity-side")
+    return pairs
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (node, other) that sketches don't rule out, by their full names; pairs has the short ones."""
+    """node, other and their digests of the written pairs (node, other: short names) that sketches don't rule out."""
+    columns = ["name_node", "name_other", "digest_node", "digest_other"]
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,63 +238,59 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 sketches = zip(batch.column(6), batch.column(7), alike, strict=True)
                 far = np.array([_hamming(a.as_py(), b.as_py()) if ok else 0 for a, b, ok in sketches])
                 kept = batch.filter(pa.array(alike & (far <= _bound(n, m, percent))))
-                yield pa.RecordBatch.from_arrays([kept.column(2), kept.column(3)], ["node", "other"])
+                yield pa.RecordBatch.from_arrays(kept.columns[:4], ["node", "other", "digest_node", "digest_other"])
 
-    named = sets.withColumnRenamed("node", "full")
-    return _with_both(pairs, named, ("full", "n_shingles", "sketch"), "short").mapInArrow(tasks, "node binary, other binary")
+    both = _with_both(pairs, sets.withColumnRenamed("node", "name"), "short", ("name", "digest", "n_shingles", "sketch"), ("node", "other"))
+    sides = both.select(*columns, "n_shingles_node", "n_shingles_other", "sketch_node", "sketch_other")
+    return sides.mapInArrow(tasks, "node binary, other binary, digest_node binary, digest_other binary")
 
 
 def _linked(docs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of the pairs (node, other), by their whole sets."""
+    """The linked ones of the written pairs (node, other, digest_node, digest_other), by their words."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_py(), "u8") for x in (a, b))
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * same >= percent * (len(a) + len(b) - same))
+            good = [similar(a.as_py(), b.as_py(), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    short = F.conv(F.hex(F.substring("node", 1, 3)), 16, 10).cast("bigint")
-    needed = bits_of(near.select(F.explode(F.array("node", "other")).alias("node")).select(short.alias("place")))
-    sets = written(_shingles(docs, needed), "parity-shingles")
-    return written(_with_both(near, sets, ("shingles",)).mapInArrow(tasks, "node binary, other binary"), "parity-links")
+    digests = near.select(F.explode(F.array("digest_node", "digest_other")).alias("digest"))
+    texts = written(_texts(docs, digests), "parity-texts")
+    both = _with_both(near, texts, "digest", ("text",), ("digest_node", "digest_other"))
+    return written(both.select("node", "other", "text_digest_node", "text_digest_other").mapInArrow(tasks, "node binary, other binary"), "parity-links")
 
 
-def _across(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (node, other) of unlike components in the groups (lo, hi, node) that may still be linked.
+def _across(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (node, other, and their digests) of unlike components in the groups (lo, hi, node) that may still be linked.
 
     Every such pair, or of each two components that meet in a task only the pair whose sketches differ least.
     """
-    named = groups.withColumnRenamed("node", "short").join(sets.select("short", "node", "n_shingles"), "short").drop("short")
-    rows = named.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_groups = rows.groupBy("lo", "hi").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    left = rows.join(open_groups.select("lo", "hi"), ["lo", "hi"])
-    place = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("n_shingles", "node")) - 1
-    chunked = written(left.withColumn("chunk", F.floor(place / CHUNK)), "parity-open")  # sketches come last, as they are large
-    size = chunked.groupBy("lo", "hi").agg(F.max("chunk").alias("last"))
-    n_tasks = max(1, chunked.count() // TASK_ROWS)
-    # a chunk meets itself and each later one; the pair of chunks names where they meet
-    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda c: F.struct(F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j")))
-    dealt = chunked.join(size, ["lo", "hi"]).withColumn("meet", F.explode(meets))
-    dealt = dealt.withColumn("at", F.xxhash64("lo", "hi", "meet.i", "meet.j")).join(sets.select("node", "sketch"), "node").select("at", "chunk", "n_shingles", "node", "root", "sketch")
-    task = F.pmod("at", F.lit(n_tasks)).alias("task")
+    roots = sets.select("short", "node", "digest", "n_shingles").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = written(met.withColumnRenamed("node", "short").join(roots, "short").withColumn("group", F.xxhash64("lo", "hi")), "parity-members")
+    groups = rows.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least <> most")
+    tiles = written(groups.select("group", F.ceil(F.col("n") / CHUNK).alias("n_chunks"), "n"), "parity-open")
+    n_rows = tiles.agg(F.sum(F.col("n") * F.col("n_chunks"))).first()[0]
+    if n_rows is None:
+        return rows.select("node", F.col("node").alias("other"), F.col("digest").alias("digest_node"), F.col("digest").alias("digest_other")).limit(0)
+    chunked = split_join(rows, tiles, "group").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n_chunks")))
+    # a chunk meets itself and each other one in a tile, which the pair of chunks names
+    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("i"), F.greatest("chunk", c).alias("j")))
+    dealt = chunked.withColumn("meet", F.explode(meets)).withColumn("at", F.xxhash64("group", "meet.i", "meet.j"))
+    dealt = dealt.select("at", "chunk", "n_shingles", "node", "digest", "root").join(sets.select("node", "sketch"), "node")  # sketches come last, as they are large
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("at", "ascending"), ("n_shingles", "ascending")])
         at, n, chunk = (rows[c].to_numpy() for c in ("at", "n_shingles", "chunk"))
-        sketches = rows["sketch"].to_pylist()
-        size = np.array([len(x) for x in sketches])
-        root = np.unique(np.array([x.hex() for x in rows["root"].to_pylist()]), return_inverse=True)[1]
+        sketches = rows["sketch"].combine_chunks()
+        size = np.diff(np.frombuffer(sketches.buffers()[1], "i4")[sketches.offset : sketches.offset + len(sketches) + 1])
+        root = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy()
         edges = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-        found: list[tuple[int, int, int]] = []
+        found: list[np.ndarray] = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             apart = chunk[a:b].min() != chunk[a:b].max()
             for least in np.unique(size[a:b]).tolist():
                 # sets of up to n * 100 / percent shingles have sketches of this size or twice that
                 own = a + np.flatnonzero((size[a:b] == least) | (size[a:b] == 2 * least))
-                bits = np.stack([folded(sketches[i], least) for i in own])
+                bits = np.stack([folded(sketches[i].as_py(), least) for i in own.tolist()])
                 for k in range(int((size[own] == least).sum())):
                     i, end = own[k], int(np.searchsorted(n[own], n[own[k]] * 100 // percent, "right"))
                     other = np.arange(k + 1, end)
@@ -262,14 +298,20 @@ def _across(groups: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
                     if len(other):
                         far = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype="i8")
                         near = far <= _bound(n[own[other]], n[i], percent)
-                        found += zip([int(i)] * int(near.sum()), own[other[near]].tolist(), far[near].tolist(), strict=True)
-        if not every:
-            found = list({(min(x := root[i], y := root[j]), max(x, y)): (i, j, f) for i, j, f in sorted(found, key=lambda p: -p[2])}.values())
-        node = rows["node"].combine_chunks()
-        i, j = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
-        return pa.table({"node": node.take(i), "other": node.take(j)})
-
-    return dealt.withColumn("task", task).groupBy("task").applyInArrow(compare, "node binary, other binary").distinct()
+                        if near.any():
+                            found.append(np.stack([np.full(int(near.sum()), i), own[other[near]], far[near]]))
+        i, j, far = np.concatenate(found, axis=1) if found else np.zeros((3, 0), "i8")
+        if not every and len(i):
+            least, most = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            order = np.lexsort((far, most, least))
+            first = np.concatenate(([True], (least[order][1:] != least[order][:-1]) | (most[order][1:] != most[order][:-1])))
+            i, j = i[order[first]], j[order[first]]
+        node, digest = rows["node"].combine_chunks(), rows["digest"].combine_chunks()
+        return pa.table({"node": node.take(pa.array(i)), "other": node.take(pa.array(j)), "digest_node": digest.take(pa.array(i)), "digest_other": digest.take(pa.array(j))})
+
+    n_tasks = max(1, n_rows // TASK_ROWS)
+    task = F.pmod("at", F.lit(n_tasks)).alias("task")
+    return dealt.withColumn("task", task).groupBy("task").applyInArrow(compare, "node binary, other binary, digest_node binary, digest_other binary").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -291,14 +333,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, digest (of the text), n_shingles and node of every row, and the roots of nodes that have links."""
-    by_key = Window.partitionBy("key")
-    keyed = _keys(docs, percent).withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)})
-    met = written(keyed.filter("node <> lo").select("node", "lo", "hi").distinct(), "parity-met")
-    needed = bits_of(met.select(F.explode(F.array("node", "lo")).alias("node")).select(_place("node").alias("place")))
-    rows = written(_sketched(docs, needed), "parity-rows")
-    short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("bigint")
-    sets = written(rows.filter("sketch IS NOT NULL").select("node", short.alias("short"), "n_shingles", "sketch").dropDuplicates(["node"]), "parity-nodes")
-    links = _linked(docs, written(_near(met.select("node", F.col("lo").alias("other")).distinct(), sets, percent), "parity-near"), percent)
+    common = _common_shingles(docs)
+    ends = _keys(docs, common, percent).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    keys = written(ends.filter("lo <> hi"), "parity-keys")
+    rows = written(_sketched(docs, common, bits_of(keys.select(F.col("key").alias("hash")), keys.count()), percent), "parity-rows")
+    of_node = [F.first(c).alias(c) for c in ("short", "n_shingles", "sketch", "keys")]
+    sets = written(rows.filter("sketch IS NOT NULL").groupBy("node").agg(F.min("digest").alias("digest"), *of_node), "parity-nodes")
+    holders = written(sets.select(F.col("short").alias("node"), F.explode("keys").alias("key")), "parity-holders")
+    met = written(split_join(holders, keys, "key").filter("node <> lo").select("node", "lo", "hi").distinct(), "parity-met")
+    stars = written(met.select("node", F.col("lo").alias("other")).distinct(), "parity-stars")
+    links = _linked(docs, written(_near(stars, sets, percent), "parity-near"), percent)
     labels = components(links)
     for every in (False, True):
         across = written(_across(met, sets, labels, percent, every), "parity-near")

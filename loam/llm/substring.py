@@ -2,9 +2,13 @@
 
 Every window of words picks a minimiser, the least of the short runs of words inside it, so equal windows pick equal
 ones. Partitions count the minimisers of their documents into count-min sketches, which are merged; a count there is
-never below the number of documents with any window that picks the minimiser. A second pass groups, by 96 bits of
-hash, exactly the windows whose minimiser is estimated to be in two documents or more. Hash collisions in the sketch
-let more windows through and lose none.
+never below the number of documents with any window that picks the minimiser, so it overestimates that of the window's
+own documents too. A second pass groups exactly the windows whose minimiser is estimated to be in two documents or more,
+by 96 bits of two hashes with words and windows salted apart. Collisions in the sketch let more windows through and lose
+none. A third pass takes only the windows of groups that hold two documents, and cuts.
+
+The sketch has eight counters for each minimiser that the corpus may have, by its bytes, and 2 * MOST_COUNTERS bits at
+most; fuller ones filter less, and what they let through is still judged exactly.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import id_key
+from loam.llm.common import Bits, bits_of, id_key, split_join, written
 from loam.llm.hashing import Words, chunks, mix, words_of
 
 WINDOW = 50
 #: Words in a run that may be a window's minimiser.
 RUN = 8
-#: Counters in a row of the sketch, rows, and blocks of counters that are merged on their own. 16 MB of bits in all.
-COUNTERS, ROWS, BLOCKS = 1 << 26, 2, 256
+#: Counters in a row of the sketch at least and at most, rows, and blocks of counters that are merged on their own.
+LEAST_COUNTERS, MOST_COUNTERS, ROWS, BLOCKS = 1 << 20, 1 << 29, 2, 256
 #: Minimisers that a task counts before it gives out its sketch.
 FLUSH = 1 << 20
 
@@ -48,13 +52,23 @@ def _starts(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, text[at]
 
 
-def _counters(minimisers: np.ndarray, row: int) -> np.ndarray:
-    return (mix(minimisers + np.uint64(row + 1)) & np.uint64(COUNTERS - 1)).astype("u4")
+def _counters(minimisers: np.ndarray, row: int, counters: int) -> np.ndarray:
+    return (mix(minimisers + np.uint64(row + 1)) & np.uint64(counters - 1)).astype("u4")
+
+
+def counters_for(docs: DataFrame, window: int) -> int:
+    """Counters in a row: eight for each minimiser, of which words have about one in half a window."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted, counters = 8 * (n_bytes / 6) * 2 / max(2, window - RUN + 2), LEAST_COUNTERS
+    while counters < min(wanted, MOST_COUNTERS):
+        counters *= 2
+    return counters
 
 
 def repeated_minimisers(docs: DataFrame, window: int = WINDOW) -> list[np.ndarray]:
     """For each row of the merged sketch, a bitmap of the counters that reach two."""
-    size = COUNTERS // BLOCKS
+    counters = counters_for(docs, window)
+    size = counters // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -64,7 +78,7 @@ def repeated_minimisers(docs: DataFrame, window: int = WINDOW) -> list[np.ndarra
             held.clear()
             out: list[tuple] = []
             for row in range(ROWS):
-                counter, n = np.unique(_counters(found, row), return_counts=True)
+                counter, n = np.unique(_counters(found, row, counters), return_counts=True)
                 cut = np.searchsorted(counter, np.arange(BLOCKS + 1, dtype="u8") * size)
                 for b in range(BLOCKS):
                     if cut[b + 1] > cut[b]:
@@ -90,9 +104,9 @@ def repeated_minimisers(docs: DataFrame, window: int = WINDOW) -> list[np.ndarra
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counters, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for block, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 sums = merged.setdefault(block, np.zeros(size, "u1"))
-                at = np.frombuffer(counters, "<u4")
+                at = np.frombuffer(places, "<u4")
                 sums[at] = np.minimum(sums[at] + np.frombuffer(counts, "u1"), 2)
         if merged:
             bits = [np.packbits(sums > 1).tobytes() for sums in merged.values()]
@@ -100,29 +114,35 @@ def repeated_minimisers(docs: DataFrame, window: int = WINDOW) -> list[np.ndarra
 
     sketches = docs.select(F.col("text").cast("binary")).mapInArrow(count, "block int, counters binary, counts binary")
     tasks = max(8, docs.sparkSession.sparkContext.defaultParallelism)
-    found = [np.zeros(COUNTERS // 8, "u1") for _ in range(ROWS)]
-    for r in sketches.repartition(tasks, "block").mapInArrow(merge, "block int, bits binary").collect():  # ROWS * COUNTERS bits at most
+    found = [np.zeros(counters // 8, "u1") for _ in range(ROWS)]
+    for r in sketches.repartition(tasks, "block").mapInArrow(merge, "block int, bits binary").collect():  # ROWS * MOST_COUNTERS bits at most
         row, block = divmod(r["block"], BLOCKS)
         found[row][block * size // 8 : (block + 1) * size // 8] = np.frombuffer(r["bits"], "u1")
     return found
 
 
-def _repeated_windows(docs: DataFrame, sketch: list[np.ndarray], window: int) -> DataFrame:
-    """a and b (hash), doc_id, own (hash of the row) and at (the first word) of each different window of a text that may be repeated."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def _repeated_windows(docs: DataFrame, sketch: list[np.ndarray], window: int, known: Bits | None = None) -> DataFrame:
+    """a and b (hash), doc_id, own (hash of the row) and at (the first word) of each different window of a text that may be repeated.
+
+    With `known`, only those whose a it has.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((sketch, known))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, known = shared.value
         for part, texts in chunks(batches, 1):
             words = words_of(texts)
             at, text = _starts(words, window)
             least = _minimisers(words, window)[at]
             maybe = np.ones(len(at), bool)
             for row, found in enumerate(bits):
-                c = _counters(least, row)
+                c = _counters(least, row, 8 * len(found))
                 maybe &= (found[c >> 3] >> (7 - (c & 7)).astype("u1") & 1).astype(bool)
             at, text = at[maybe], text[maybe]
-            a, b = (words.run_hashes(at, at + window, lane) for lane in (0, 1))
+            a, b = (words.windows(window, lane)[at] for lane in (0, 1))
+            if known:
+                own = known.has(a)
+                at, text, a, b = at[own], text[own], a[own], b[own]
             first = np.unique(np.rec.fromarrays([text, a], names="text,a"), return_index=True)[1]
             first.sort()
             at, text, a, b = at[first], text[first], a[first], b[first]
@@ -146,9 +166,13 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     all others, and rows of it take nothing from each other. Repeated rows share their id, so they are treated alike.
     A row out for each row in; an empty table gives no rows; further columns don't matter.
     """
-    windows = _repeated_windows(docs, repeated_minimisers(docs, window), window)
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"))
-    gone = windows.join(least, ["a", "b"]).filter("first_id IS NOT NULL AND (doc_id IS NULL OR doc_id > first_id)")
+    sketch = repeated_minimisers(docs, window)
+    holders = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max(F.col("doc_id").isNull()).alias("no_id")]
+    groups = _repeated_windows(docs, sketch, window).groupBy("a", "b").agg(*holders).filter("first_id < last_id OR (no_id AND first_id IS NOT NULL)")
+    repeated = written(groups.select("a", F.col("b").alias("b_group"), "first_id"), "substring-groups")
+    known = bits_of(repeated.select(F.col("a").alias("hash")), repeated.count())
+    windows = written(_repeated_windows(docs, sketch, window, known), "substring-windows")
+    gone = split_join(windows, repeated, "a").filter("b = b_group AND (doc_id IS NULL OR doc_id > first_id)")
     places = gone.groupBy(id_key("doc_id").alias("__id"), "own").agg(F.sort_array(F.collect_set("at")).alias("places"))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), id_key("doc_id").alias("__own_id"), _own().alias("__own"))
     rows = keyed.join(places, (F.col("__own_id") == F.col("__id")) & (F.col("__own") == F.col("own")), "left").select("doc_id", "text", "places")

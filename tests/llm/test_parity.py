@@ -97,3 +97,23 @@ def test_one_row_of_each_group_stays(spark):
     groups = parity.jaccard_components(docs).filter("n_shingles > 0").select("component_id").distinct()
     assert kept.count() == groups.count()
     assert kept.select("doc_id").exceptAll(groups.select(F.col("component_id").alias("doc_id"))).count() == 0
+
+
+def test_patterned_words_are_told_apart(spark):
+    """Words that every power sum modulo a power of two takes for one another: alone, and inside shingles."""
+    rows = []
+    for length in (1024, 2048, 4096):
+        word = "a"
+        while len(word) < length:
+            word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        tail = " ".join(f"t{length}x{i}" for i in range(6))
+        rows += [(length, word), (length + 1, other), (length + 2, f"{word} {tail}"), (length + 3, f"{other} {tail}"), (length + 4, f"{word} {tail}".upper())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(parity.jaccard_components(docs)) == brute_force(rows)
+
+
+def test_verification_counts_words_themselves():
+    for a, b in (("a b c d e f", "a b c d e f g"), ("x", "x"), ("x", "y"), ("a b c d e", "A B C D E"), ("a a a a a a a a", "a a a a a"), ("a b", "a b c d e f")):
+        one, two = shingles(a), shingles(b)
+        assert parity.similar(a.encode(), b.encode(), 75) == (100 * len(one & two) >= 75 * len(one | two))

@@ -45,3 +45,20 @@ def test_nulls_ties_repeats_and_long_texts(spark, size):
 
 def test_empty_table(spark):
     assert cut_repeats(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("length", [1024, 2048, 4096])
+def test_patterned_words_are_told_apart(spark, length):
+    """Words that every power sum modulo a power of two takes for one another."""
+    one, two = thue_morse(length)
+    common = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{one} {common}"), (2, f"{two} {common}"), (3, f"{common} {one}"), (4, f"{' '.join([one, two] * 40)}"), (5, f"{' '.join([two, one] * 40)}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((tuple(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, r)) for r in cut_repeats(docs).collect()), key=str) == brute_force(rows, 50)
