@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.averaging import train_averaged
+from loam.llm.averaging import BLOCK, train_averaged
 from loam.llm.common import checkpoint
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -255,12 +255,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     picked = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1 << 30)) < int(share * (1 << 30)))
     examples = checkpoint(picked.select("text").mapInArrow(cut, "region string").repartition(TASKS))
 
-    def local_pass(w: np.ndarray, rows: list[dict], number: int) -> np.ndarray:
+    def local_pass(w: np.ndarray, rows: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
+        texts = rows["region"].to_pylist()
         weights = w.reshape(len(KINDS), SIZE)
         seen = np.full(weights.shape, 1.0)
         rng = np.random.default_rng(number)
-        for k in np.concatenate([rng.permutation(len(rows)) for _ in range(EPOCHS)]):
-            text = rows[k]["region"]
+        for k in np.concatenate([rng.permutation(len(texts)) for _ in range(EPOCHS)]):
+            text = texts[k]
             tokens, first, end, features, scores, _, forward, backward = _chart(weights, text)
             if not len(first):
                 continue
@@ -274,7 +275,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                 at = np.flatnonzero(g)
                 seen[kind, at] += g[at] ** 2
                 weights[kind, at] += 0.5 * g[at] / np.sqrt(seen[kind, at])
-        return weights.ravel()
+        return weights.ravel(), np.full(-(-weights.size // BLOCK), len(texts))
 
     start = np.zeros((len(KINDS), SIZE), "f8")
     start[:, zlib.crc32(b"bias") % SIZE] = -2.0
