@@ -2,8 +2,9 @@
 
 The distinct words (matches of the split pattern) of the corpus are counted, and Spark's higher-order functions fold
 the ranked merges over the byte arrays of the frequent ones, against a literal rank map. That dictionary has a bounded
-number of entries and goes to every task; what is not in it (rare or long words) is merged where it occurs by the same
-rule, so no word is left out. Decoding concatenates the binary pieces of the ids.
+number of entries and goes to every task; a text's distinct words outside it are folded by the same functions where they
+occur. Only words of more than FOLD_BYTES bytes are merged by a heap in the task, as the fold's cost grows with the
+square of the length. Decoding looks up the binary pieces of the ids in a literal array and concatenates them, in Spark.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import heapq
 import json
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +24,10 @@ from pyspark.sql import types as T
 
 from loam.llm.common import written
 
-#: Words with more bytes than this are merged where they occur: the fold's cost grows with the square of the length.
+#: Words with more bytes than this are merged by a heap.
 FOLD_BYTES = 48
 #: Entries of the dictionary that the fold fills and every task gets; the most frequent words.
-DICTIONARY = 1 << 17
+DICTIONARY = 1 << 18
 RANK_BUCKETS = 8192
 NO_RANK = 2**31 - 1
 FLUSH = 200_000
@@ -77,46 +79,68 @@ def frequent(counts: DataFrame, limit: int) -> DataFrame:
     return counts.filter(level >= cut) if cut is not None else counts.filter(F.lit(False))
 
 
-def fold_merges(words: DataFrame, ranks: dict[bytes, int], tasks: int | None = None) -> DataFrame:
-    """word and ids: the ranked merges folded over the bytes of each word, one merge a step, lowest rank and leftmost first.
+def _rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal. Bytes are pairs of hex digits here, so that a map can be keyed by them.
 
-    Bytes are pairs of hex digits here, so that a literal map can be keyed by them. The map is an array of small maps
-    by checksum, as Spark goes through a map's keys one by one.
+    It is an array of small maps by checksum, as Spark goes through a map's keys one by one.
     """
-    spark = words.sparkSession
     buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
     for token, rank in ranks.items():
         digits = token.hex().upper()
         buckets[zlib.crc32(digits.encode()) % RANK_BUCKETS][digits] = rank
-    rank_map = F.from_json(F.lit(json.dumps(buckets)), T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
+    return F.from_json(F.lit(json.dumps(buckets)), T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: a lambda variable holds it by reference, where an expression would be repeated."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    def rank_of(token: Column, known: Column) -> Column:
+def fold_word(word: Column, known: Column) -> Column:
+    """The ids of a word: ranked merges folded over its bytes, one merge a step, lowest rank and leftmost first."""
+
+    def rank_of(token: Column) -> Column:
         return F.try_element_at(F.element_at(known, (F.crc32(token.cast("binary")) % RANK_BUCKETS + 1).cast("int")), token)
 
-    def merge_once(state: Column, known: Column) -> Column:
-        parts = state["parts"]
-        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(F.coalesce(rank_of(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1)), known), F.lit(NO_RANK)).alias("rank"), i.alias("at")))
+    def pair_rank(one: Column, two: Column) -> Column:
+        return F.coalesce(rank_of(F.concat(one, two)), F.lit(NO_RANK))
+
+    def merge_once(state: Column) -> Column:
+        """The state with its best pair merged; of the pairs' ranks only those beside it change."""
+        parts, pairs, at = state["parts"], state["pairs"], state["at"]
+
+        def merged(token: Column) -> Column:
+            left = F.when(at > 1, F.array(pair_rank(F.try_element_at(parts, at - 1), token))).otherwise(F.array().cast("array<int>"))
+            right = F.when(at < F.size(pairs), F.array(pair_rank(token, F.try_element_at(parts, at + 2)))).otherwise(F.array().cast("array<int>"))
+            new_parts = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(token), F.slice(parts, at + 2, F.size(parts)))
+            new_pairs = F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(pairs, at + 2, F.size(pairs)))
+            return _with(new_pairs, lambda found: F.struct(new_parts.alias("parts"), found.alias("pairs"), best_of(found).alias("at")))
+
+        return F.when(at == 0, state).otherwise(_with(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1)), merged))
 
-        def merged(best: Column) -> Column:
-            at = best["at"]
-            joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))), F.slice(parts, at + 2, F.size(parts)))
-            found = best["rank"] < NO_RANK
-            return F.struct(F.when(found, joined).otherwise(parts).alias("parts"), (~found | (F.size(parts) < 3)).alias("done"))
+    def best_of(pairs: Column) -> Column:
+        """The place of the lowest rank, the leftmost one; 0 if no pair has a rank."""
+        return _with(F.coalesce(F.array_min(pairs), F.lit(NO_RANK)), lambda least: F.when(least == NO_RANK, F.lit(0)).otherwise(F.array_position(pairs, least).cast("int")))
 
-        return F.when(state["done"], state).otherwise(F.element_at(F.transform(F.array(F.array_min(pairs)), merged), 1))
+    def folded(raw: Column) -> Column:
+        n_bytes = (F.octet_length(raw) / 2).cast("int")
+        single = F.transform(F.sequence(F.lit(1), n_bytes), lambda i: F.substring(raw, 2 * i - 1, F.lit(2)))
 
-    raw = F.hex(F.encode("word", "UTF-8"))
-    single = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.substring(raw, 2 * i - 1, F.lit(2)))
+        def from_bytes(parts: Column) -> Column:
+            places = F.when(n_bytes > 1, F.sequence(F.lit(1), n_bytes - 1)).otherwise(F.array().cast("array<int>"))
+            pairs = F.transform(places, lambda i: pair_rank(F.element_at(parts, i), F.element_at(parts, i + 1)))
+            start = _with(pairs, lambda found: F.struct(parts.alias("parts"), found.alias("pairs"), best_of(found).alias("at")))
+            return F.transform(F.aggregate(places, start, lambda state, _: merge_once(state))["parts"], rank_of)
 
-    def ids(known: Column) -> Column:
-        whole = rank_of(raw, known)
-        start = F.struct(single.alias("parts"), (F.octet_length("word") < 2).alias("done"))
-        folded = F.aggregate(F.sequence(F.lit(1), F.octet_length("word")), start, lambda state, _: merge_once(state, known))["parts"]
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, lambda part: rank_of(part, known)))
+        return _with(rank_of(raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(_with(single, from_bytes)))
 
-    # a lambda variable holds the literal map by reference; a column would be copied into every row
-    coded = F.element_at(F.transform(F.array(rank_map), ids), 1)
-    return words.filter("word <> ''").repartition(tasks or min(32, spark.sparkContext.defaultParallelism)).select("word", coded.alias("ids"))
+    return _with(F.hex(F.encode(word, "UTF-8")), folded)
+
+
+def fold_merges(words: DataFrame, ranks: dict[bytes, int], tasks: int | None = None) -> DataFrame:
+    """word and ids of every word that is not empty: see fold_word."""
+    coded = _with(_rank_map(ranks), lambda known: fold_word(F.col("word"), known))
+    return words.filter("word <> ''").repartition(tasks or min(32, words.sparkSession.sparkContext.defaultParallelism)).select("word", coded.alias("ids"))
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -151,14 +175,13 @@ def _packed(ids: list[int]) -> bytes:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: int = DICTIONARY) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every whole text of docs.
+    """doc_id, n_tokens, tokens (ids as an array) and ids (little-endian unsigned 32-bit integers) of every whole text of docs.
 
     Null and empty texts have no tokens. Null or repeated ids and repeated rows: a row out for each row in. An empty
     table gives no rows; further columns don't matter.
     """
     counts = written(count_words(docs, pattern), "words")  # read twice: for the cut and for the words above it
-    words = fold_merges(frequent(counts, dictionary), ranks)
-    folded = words.toArrow()
+    folded = fold_merges(frequent(counts, dictionary), ranks).toArrow()
     known = {w: _packed(ids) for w, ids in zip(folded["word"].to_pylist(), folded["ids"].to_pylist(), strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast((known, ranks))
 
@@ -167,42 +190,53 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
 
         find = regex.compile(pattern).findall
         known, ranks = shared.value
-        rare: dict[str, bytes] = {}
 
-        def ids_of(word: str) -> bytes:
-            if (found := rare.get(word)) is None:
-                if len(rare) > FLUSH:
-                    rare.clear()
-                found = rare[word] = _packed(merge_word(word.encode(), ranks))
-            return found
+        def parts_of(text: str | None) -> tuple[list[bytes], list[int], list[str]]:
+            """The ids around the words to fold, the place of each such word among the distinct ones (from 1), and these."""
+            found = find(text) if text else []
+            coded = list(map(known.get, found))
+            if None not in coded:
+                return [b"".join(coded)], [], []
+            parts, which, rare, start = [], [], {}, 0
+            for i, (word, ids) in enumerate(zip(found, coded, strict=True)):
+                if ids is None:
+                    if len(word) * 4 > FOLD_BYTES and len(raw := word.encode()) > FOLD_BYTES:
+                        coded[i] = _packed(merge_word(raw, ranks))
+                        continue
+                    parts.append(b"".join(coded[start:i]))
+                    which.append(rare.setdefault(word, len(rare) + 1))
+                    start = i + 1
+            return [*parts, b"".join(coded[start:])], which, list(rare)
+
+        def lists(values: list[list], flat: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), flat)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = []
-                for text in part.column(1).to_pylist():
-                    found = find(text) if text else []
-                    coded = list(map(known.get, found))
-                    if None in coded:
-                        coded = [ids_of(w) if c is None else c for w, c in zip(found, coded, strict=True)]
-                    ids.append(b"".join(coded))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tasks, "doc_id bigint, n_tokens bigint, ids binary")
+                rows = [parts_of(text) for text in part.column(1).to_pylist()]
+                pieces = [x for parts, _, _ in rows for x in parts]
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in pieces)]), pa.int32()), pa.array(np.frombuffer(b"".join(pieces), "<i4")))
+                which = lists([w for _, w, _ in rows], pa.array([x for _, w, _ in rows for x in w], pa.int32()))
+                rare = lists([r for _, _, r in rows], pa.array([x for _, _, r in rows for x in r], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists([p for p, _, _ in rows], ids), which, rare], ["doc_id", "parts", "which", "rare"])
 
+    split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tasks, "doc_id bigint, parts array<array<int>>, which array<int>, rare array<string>")
+    fold = _with(_rank_map(ranks), lambda ranked: F.transform("rare", lambda word: fold_word(word, ranked)))
+    filled = _with(fold, lambda folded: F.flatten(F.zip_with("parts", "which", lambda part, k: F.when(k.isNull(), part).otherwise(F.concat(part, F.element_at(folded, k))))))
+    coded = split.select("doc_id", F.when(F.size("rare") > 0, filled).otherwise(F.flatten("parts")).alias("tokens"))
+    packed = _looked_up(F.col("tokens"), [i.to_bytes(4, "little") for i in range(max(ranks.values(), default=0) + 1)])
+    return coded.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens", packed.alias("ids"))
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """The columns of encoded and decoded: the bytes of its ids, one after another. Null ids: no bytes."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
-    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+def _looked_up(tokens: Column, pieces: list[bytes]) -> Column:
+    """The pieces of the tokens, which are places in the list, one after another."""
+    table = F.from_json(F.lit(json.dumps([x.hex() for x in pieces])), T.ArrayType(T.StringType()))
+    return _with(table, lambda digits: F.unhex(F.array_join(F.transform(tokens, lambda i: F.element_at(digits, i + 1)), "")))
 
-        pieces = {rank: token for token, rank in shared.value.items()}
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(tasks, schema)
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """The columns of encoded and decoded: the bytes of its tokens (an array of ids), one after another. Null tokens: null."""
+    by_rank = {rank: token for token, rank in ranks.items()}
+    pieces = [by_rank.get(i, b"") for i in range(max(by_rank, default=0) + 1)]
+    return encoded.withColumn("decoded", _looked_up(F.col("tokens"), pieces))

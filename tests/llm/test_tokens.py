@@ -31,7 +31,7 @@ def test_whole_table_equals_the_library(spark):
 def test_odd_texts_with_any_dictionary(spark):
     ranks = bpe.read_ranks(BYTE_RANKS)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(None, "a b", "x")], "doc_id bigint, text string, ids string")
-    for size in (0, 1 << 17):
+    for size in (0, 3, 1 << 17):
         out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, size), ranks).collect()
         assert len(out) == len(ODD) + 1
         for r in out:
