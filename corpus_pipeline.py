@@ -38,7 +38,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (of the text, little-endian unsigned 32-bit) and whether they decode to the text's bytes."""
+    """doc_id, n_tokens, ids (of the text, little-endian unsigned 32-bit) and the sha256 of the bytes that they decode to.
+
+    Repeated rows (the mix repeats documents), null ids and null texts: a row out for each row in.
+    """
     ranks = bpe.read_ranks(BYTE_RANKS)
     decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
