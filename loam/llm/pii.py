@@ -14,6 +14,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from loam.llm.averaging import BLOCK, train_averaged
 from loam.llm.common import checkpoint
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Tokens in a span at most; hashed features; documents of the sample, about; its regions by document at most.
-SPAN_TOKENS, SIZE, SAMPLE, REGIONS = 16, 1 << 12, 20_000, 3
+#: Tokens in a span at most; hashed features; documents of the fit's sample, about, and the regions of each that it
+#: sees at most, those of least hash over the whole text. Both bound the fit alone; every region of every text is searched.
+SPAN_TOKENS, SIZE, SAMPLE, REGIONS, LONGEST = 16, 1 << 12, 20_000, 3, 2000
 ROUNDS, EPOCHS, TASKS = 5, 4, 6
 #: Characters that a region reaches beyond its first and last seed, and on to the end of a word.
 BEYOND = 72
@@ -42,6 +44,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|token)\s?=\s?\"?([A-Za-z0-9]{8,64})(?![A-Za-z0-9])")
+#: Words that secrets follow.
+_MARKS = ("password", "token", "key")
 _SEED = re.compile("[0-9@]")
 _TOKEN = re.compile(r"[^\W_]+|[^\s\w]|_")
 Span = tuple[str, int, int]
@@ -120,8 +124,8 @@ def _token_end(text: str, at: int) -> int:
 
 
 def sampled(text: str) -> list[str]:
-    """The regions of a text that the fit sees: those of least hash, from all over the text."""
-    found = [(zlib.crc32(f"{a}:{text[a:b]}".encode(errors="replace")), a, b) for a, b in regions(text)]
+    """The regions of a text that the fit sees: those of least hash, from all over the text, of up to LONGEST characters."""
+    found = [(zlib.crc32(f"{a}:{text[a:b]}".encode(errors="replace")), a, b) for a, b in regions(text) if b - a <= LONGEST]
     return [text[a:b] for _, a, b in heapq.nsmallest(REGIONS, found)]
 
 
@@ -134,29 +138,32 @@ def _shape(text: str) -> str:
     return "".join(out)[:24]
 
 
-def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[int]:
+def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> tuple[int, ...]:
     """Hashed features of the span of tokens i up to j of a region's text."""
     start, end = tokens[i][0], tokens[j - 1][1]
-    span = text[start:end]
-    digits = _digits(span)
-    left = text[max(0, start - 12) : start]
     before = text[tokens[i - 1][0] : tokens[i - 1][1]].lower() if i else "^"
     two = text[tokens[i - 2][0] : tokens[i - 2][1]].lower() if i > 1 else "^"
-    after = text[end : end + 1] or "$"
+    before = before[:12] if not before.isalnum() or before in _MARKS else "word"
+    return _span_features(text[start:end], text[max(0, start - 1) : start], before, two[:12] if two in (*_MARKS, "=") else "", text[end : end + 1] or "$")
+
+
+@lru_cache(1 << 16)
+def _span_features(span: str, left: str, before: str, two: str, after: str) -> tuple[int, ...]:
+    digits = _digits(span)
     shape, n = _shape(span), len(span)
     plain = span.isalnum()
-    lengths = "-".join(str(len(text[a:b])) for a, b in tokens[i:j] if text[a].isalnum())[:24]
+    lengths = "-".join(str(len(m.group())) for m in _TOKEN.finditer(span) if m.group()[0].isalnum())[:24]
     parts = [
         "bias",
         f"shape {shape if len(shape) < 12 else 'mixed'} {min(n, 48) // 4}",
         f"parts {_shape(span[:1])}{'' if plain else re.sub('[^@.()+= -]', '', span)[:12]} {lengths if not plain else n // 4}",
         f"digits {min(len(digits), 20)} plain {plain}",
         f"luhn {12 <= len(digits) <= 19 and _luhn(digits)} {shape[:3]}",
-        f"before {before[:12] if not before.isalnum() or before in ('password', 'token', 'key') else 'word'} {two[:12] if two in ('password', 'token', 'key', '=') else ''} {plain}",
-        f"edges {_shape(left[-1:]) or '^'} {_shape(after)} {shape[:2]}",
+        f"before {before} {two} {plain}",
+        f"edges {_shape(left) or '^'} {_shape(after)} {shape[:2]}",
         f"case {span.isupper()} {span.islower()} {len(digits) * 4 // max(1, n)} {min(n, 48) // 4} {plain}",
     ]
-    return [zlib.crc32(p.encode()) % SIZE for p in parts]
+    return tuple(zlib.crc32(p.encode()) % SIZE for p in parts)
 
 
 def _candidates(text: str, tokens: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,6 +247,18 @@ def _gold(text: str) -> list[Span]:
     return found
 
 
+def _varied(text: str, rng: np.random.Generator) -> str | None:
+    """A region with its first marked secret cut to another length and, half the time, without quotes; None without one."""
+    found = next((m for m in _SECRET.finditer(text) if m.group(1)), None)
+    if found is None:
+        return None
+    a, b = found.span(1)
+    end = a + int(rng.integers(12, max(13, b - a)))
+    if rng.random() < 0.5:
+        return text[:a].rstrip('"') + text[a:end] + text[b:].removeprefix('"')
+    return text[:a] + text[a:end] + text[b:]
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights by kind and feature, fitted on a sample of about `sample` documents. Without regions: all zero."""
     share = min(1.0, sample / max(1, docs.count()))
@@ -256,10 +275,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     examples = checkpoint(picked.select("text").mapInArrow(cut, "region string").repartition(TASKS))
 
     def local_pass(w: np.ndarray, rows: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
-        texts = rows["region"].to_pylist()
         weights = w.reshape(len(KINDS), SIZE)
         seen = np.full(weights.shape, 1.0)
         rng = np.random.default_rng(number)
+        texts = rows["region"].to_pylist()
+        texts += [t for t in (_varied(text, rng) for text in texts for _ in range(2)) if t is not None]
         for k in np.concatenate([rng.permutation(len(texts)) for _ in range(EPOCHS)]):
             text = texts[k]
             tokens, first, end, features, scores, _, forward, backward = _chart(weights, text)
@@ -298,7 +318,9 @@ def joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base and spans (kind:start:end, comma-joined) of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone (of the patterns), n_added (spans of the field), base and spans of every row.
+
+    base and spans are kind:start:end, comma-joined.
 
     Places are code points, ends exclusive; order is by start, then kind as in KINDS. Null text: empty. Null or repeated
     ids and repeated rows: a row out for each row in. An empty table gives no rows; further columns don't matter.
@@ -309,9 +331,10 @@ def find(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             found = [all_spans(shared.value, x or "") for x in batch.column(1).to_pylist()]
             counts = [pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS[:4]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *(pa.array([joined(x[i]) for x in found], pa.string()) for i in (0, 1))], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "spans"])
+            counts.append(pa.array([len(spans) - len(base) for base, spans in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *(pa.array([joined(x[i]) for x in found], pa.string()) for i in (0, 1))], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "n_added", "base", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tasks, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tasks, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_added bigint, base string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -325,7 +348,11 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def mask(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The rows of docs, with its columns, with personal data in text masked and n_chars, where there is one, renewed."""
+    """The rows of docs, with its columns, with personal data in text masked and n_chars, where there is one, renewed.
+
+    A null text stays null. Null or repeated ids and repeated rows: a row out for each row in. An empty table stays
+    empty; further columns come along, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,8 @@ def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.fit(docs))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    counts = ("n_email", "n_ip", "n_card", "n_phone", "n_added")
+    return found.select("doc_id", *counts, sum(map(F.col, counts)).alias("n_spans"), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
