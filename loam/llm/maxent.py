@@ -1,13 +1,15 @@
 """Language model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(group | history) * P(class | group, history) * P(token | class, history). The tokens of the
-dictionary lie by rank in classes of 64 and these in 32 groups (of one class each for up to 2048 tokens, of up to 64
-for more); only tokens outside it are grouped by their ending. Each softmax has hashed n-gram and skip features of the
-last three tokens, whether the dictionary has these or not; inside an ending a token's chance is its smoothed count.
-The tables grow with the counted vocabulary. Counts cover every training document,
-and so do the gradient steps: each round goes over every position of every document, tasks take steps on theirs, and the
-tasks' weights are averaged between rounds. Texts are scored in sparse numpy batches. Tokens outside a dictionary of
-bounded size meet their counts in a join.
+P(token | history) = P(class | history) * P(token | class, history). Classes are those of the last two bytes of tokens.
+The first factor is a softmax over the classes, the second a chain of two-way softmaxes down the class's tree, in which
+each side of a fork has about half of the counts. Both have hashed n-gram and skip features of the four tokens before,
+by the tokens themselves (whether the dictionary has these or not) and by their classes; a fork's share of the counts is
+its bias, so without features a token has its share. Tokens outside a dictionary of bounded size are one leaf of their
+class, inside which a token's chance is its smoothed count, met in a join.
+
+Counts cover every training document, and so do the gradient steps: every position of every training text gives one,
+the texts being dealt over the rounds; tasks take steps on theirs, and the tasks' weights are averaged between rounds, by
+what each task has seen of a feature. Tables grow with the counted vocabulary. Texts are scored in sparse numpy batches.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +30,17 @@ from loam.llm.hashing import chunks, mix
 
 #: The end of a text, as a token; no word is empty.
 END = b""
-WIDTH, WORD_CLASSES, ENDINGS = 64, 32, 32
-CLASSES, VOCABULARY = WORD_CLASSES + ENDINGS, WORD_CLASSES * WIDTH
-BOUNDARY = VOCABULARY + ENDINGS
-#: In histories, what stands before a text: no token's code.
-BEFORE = 1 << 24
+CLASSES = 64
+#: In histories, what stands before a text: no token's code, and a class of its own.
+BEFORE = 1 << 27
+HISTORY = 4
 #: Tokens, at most, whose counts every task holds; the most frequent ones.
 DICTIONARY = 1 << 17
-CLASS_ROWS, TOKEN_ROWS = 1 << 13, 1 << 14
+#: Weights of forks, for few tokens; rows of class weights for each kind of feature of the softmax over classes.
+FORK_WEIGHTS, CLASS_ROWS = 1 << 21, 1 << 12
 #: Examples in a training task, about; every position of a training text is one.
-TASK_EXAMPLES, LEAST_TASKS = 1 << 22, 6
-RATES = (0.2, 0.1, 0.05)
+TASK_EXAMPLES, LEAST_TASKS = 1 << 24, 6
+ROUNDS, CLASS_RATE, FORK_RATE = 3, 0.5, 0.2
 BATCH, FLUSH = 2048, 400_000
 
 
@@ -50,8 +52,8 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def ending_of(token: bytes) -> int:
-    return zlib.crc32(token[-2:]) % ENDINGS
+def class_of(token: bytes) -> int:
+    return zlib.crc32(token[-2:]) % CLASSES
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -75,42 +77,24 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def slots_for(tokens: int) -> int:
-    """Places for the tokens of a dictionary: VOCABULARY, doubled until they fit."""
-    slots = VOCABULARY
-    while slots < tokens:
-        slots *= 2
-    return slots
-
-
 def _code_outside(token: bytes) -> int:
-    """The negative code of a token outside the dictionary: 26 bits of its hash and its ending."""
-    return -1 - ((zlib.crc32(token) & ((1 << 26) - 1)) * ENDINGS + ending_of(token))
+    """The negative code of a token outside the dictionary: 24 bits of its hash and its class."""
+    return -1 - ((zlib.crc32(token) & ((1 << 24) - 1)) * CLASSES + class_of(token))
 
 
 @dataclass(frozen=True)
 class Model:
-    """ids: dictionary tokens by rank, all of them with places of their own in the softmaxes."""
+    """ids: dictionary tokens by rank. Leaves are the dictionary's tokens by rank, and then the others of each class."""
 
     ids: dict[bytes, int]
     counts: np.ndarray  # by rank
-    ending_total: np.ndarray  # n + number of tokens + 1 of the tokens outside the dictionary, by ending
+    outside: np.ndarray  # n + number of tokens + 1 of the tokens outside the dictionary, by class
     n: int
     v: int
+    classes: np.ndarray  # by leaf
+    forks: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # see _trees
     weights: np.ndarray | None = None
 
-    @property
-    def slots(self) -> int:
-        return slots_for(len(self.ids))
-
-    @property
-    def times(self) -> int:
-        """How often the features' tables are as large as for few tokens: as the root of all tokens counted."""
-        times = 1
-        while times * times << 21 < self.v:
-            times *= 2
-        return times
-
     def codes(self, tokens: list[bytes]) -> np.ndarray:
         """Ranks of tokens; outside the dictionary their negative codes."""
         codes = np.fromiter((self.ids.get(t, -1) for t in tokens), "i4", len(tokens))
@@ -118,9 +102,36 @@ class Model:
             codes[i] = _code_outside(tokens[i])
         return codes
 
-    def symbols(self, codes: np.ndarray) -> np.ndarray:
-        """Ranks; outside the dictionary slots + ending."""
-        return np.where(codes >= 0, codes, self.slots + (-1 - codes) % ENDINGS)
+    def leaves(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes >= 0, codes, len(self.ids) + (-1 - codes) % CLASSES)
+
+
+def _trees(classes: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trees over the leaves of each class, halving their mass: where each leaf's path begins (one more place at the end),
+    the forks and sides (0 or 1) of the paths, and the logarithm of side 1's mass over side 0's for each fork."""
+    order = np.lexsort((-mass, classes))
+    total = np.concatenate(([0.0], np.cumsum(mass[order])))
+    edges = np.flatnonzero(np.diff(classes[order])) + 1
+    low, high = np.concatenate(([0], edges)), np.concatenate((edges, [len(order)]))
+    leaf, fork, side, bias = [], [], [], []
+    n = 0
+    while len(low := low[own := high - low > 1]):
+        high = high[own]
+        middle = np.clip(np.searchsorted(total, (total[low] + total[high]) / 2, "right") - 1, low + 1, high - 1)
+        places = np.concatenate([np.arange(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        number = np.repeat(np.arange(len(low)), high - low)
+        leaf.append(order[places])
+        fork.append(n + number)
+        side.append(places >= middle[number])
+        bias.append(np.log((total[high] - total[middle]) / (total[middle] - total[low])))
+        n += len(low)
+        low, high = np.concatenate((low, middle)), np.concatenate((middle, high))
+    if not leaf:
+        return np.zeros(len(mass) + 1, "i8"), np.zeros(0, "i4"), np.zeros(0, "i1"), np.zeros(0, "f4")
+    at = np.concatenate(leaf)
+    by_leaf = np.argsort(at, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(mass)))))
+    return starts, np.concatenate(fork)[by_leaf].astype("i4"), np.concatenate(side)[by_leaf].astype("i1"), np.concatenate(bias).astype("f4")
 
 
 def _vocabulary(counts: DataFrame) -> Model:
@@ -135,118 +146,121 @@ def _vocabulary(counts: DataFrame) -> Model:
     rows = sorted(chosen.collect(), key=lambda r: (-r["n"], r["token"]))  # DICTIONARY at most
     tokens = [bytes(r["token"]) for r in rows]
     n_each = np.array([r["n"] for r in rows], "f8")
-    ends = np.array([ending_of(t) for t in tokens], "i4")
-    ending = F.crc32(F.substring("token", -2, 2)) % ENDINGS
-    total = np.ones(ENDINGS)
+    classes = np.array([class_of(t) for t in tokens], "i4")
+    ending = F.crc32(F.substring("token", -2, 2)) % CLASSES
+    outside = np.ones(CLASSES)
     n = v = 0
     for r in counts.groupBy(ending.cast("int").alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        total[r["ending"]] += r["n"] + r["v"]
+        outside[r["ending"]] += r["n"] + r["v"]
         n, v = n + r["n"], v + r["v"]
-    np.subtract.at(total, ends, n_each + 1)
-    return Model({t: i for i, t in enumerate(tokens)}, n_each, total, n, v)
-
-
-def _features(history: np.ndarray, within: np.ndarray | None, kinds: str, size: int) -> np.ndarray:
-    """Hashed feature rows of histories (codes of the last, second last, third last token), inside a group or class if any."""
-    one, two, three = history.astype("i8").astype("u8").T
-    salt = np.uint64(0) if within is None else (within.astype("u8") + np.uint64(1)) << np.uint64(44)
-    made = {"1": lambda: one, "2": lambda: two + np.uint64(1 << 36), "3": lambda: three + np.uint64(2 << 36), "p": lambda: mix(one + np.uint64(3 << 36)) + two}
-    return np.stack([mix(made[k]() + salt) % np.uint64(size) for k in kinds]).astype("i4")
-
-
-class _Level:
-    """A softmax over some places of each group: biases by group, a row of weights for each hashed feature."""
-
-    def __init__(self, bias: np.ndarray, rows: np.ndarray, kinds: str) -> None:
-        self.bias, self.rows, self.kinds = bias, rows, kinds
-        self.columns = np.arange(rows.shape[1])
-
-    def logs(self, rows: np.ndarray, within: np.ndarray | None) -> np.ndarray:
-        z = self.rows[rows[0]]
+    np.subtract.at(outside, classes, n_each + 1)
+    return model_of(tokens, n_each, outside, n, v)
+
+
+def model_of(tokens: list[bytes], counts: np.ndarray, outside: np.ndarray, n: int, v: int) -> Model:
+    """The model before any step, of dictionary tokens by falling count."""
+    classes = np.concatenate((np.array([class_of(t) for t in tokens], "i4"), np.arange(CLASSES, dtype="i4")))
+    return Model({t: i for i, t in enumerate(tokens)}, counts, outside, n, v, classes, _trees(classes, np.concatenate((counts, outside))))
+
+
+class _Weights:
+    """The weights: class biases, rows of class weights by kind of feature, and the forks'; and how they are used."""
+
+    KINDS = 3
+
+    def __init__(self, model: Model, weights: np.ndarray) -> None:
+        self.model, self.weights = model, weights
+        self.rows = CLASS_ROWS * _times(model)
+        self.bias, flat, self.forks = np.split(weights, [CLASSES, CLASSES + self.KINDS * self.rows * CLASSES])
+        self.table = flat.reshape(-1, CLASSES)
+        self.starts, self.fork, self.side, self.fork_bias = model.forks
+
+    def _context(self, history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of what features look at, for classes and for forks: a row for each kind."""
+        codes = history.astype("i8")
+        classes = np.where(codes == BEFORE, CLASSES, self.model.classes[np.minimum(self.model.leaves(codes), len(self.model.classes) - 1)]).astype("u8")
+        codes = codes.astype("u8")
+        c1, c2, c3, c4 = classes.T
+        near = [codes[:, 0], c1 * np.uint64(128) + c2, c3 * np.uint64(128) + c4]
+        far = [codes[:, 0], mix(codes[:, 0] * np.uint64(3) + np.uint64(1)) + codes[:, 1], c2 * np.uint64(128) + c3]
+        salted = lambda parts, kind: [mix(x + (np.uint64(k + kind) << np.uint64(40))) for k, x in enumerate(parts)]
+        return np.stack(salted(near, 1)), np.stack(salted(far, 11))
+
+    def _class_logs(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = (near % np.uint64(self.rows)).astype("i8") + np.arange(self.KINDS)[:, None] * self.rows
+        z = self.table[rows[0]]
         for r in rows[1:]:
-            z += self.rows[r]
-        z += self.bias[0] if within is None else self.bias[within]
+            z += self.table[r]
+        z += self.bias
         z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
-
-    def chances(self, history: np.ndarray, within: np.ndarray | None, place: np.ndarray) -> np.ndarray:
-        return self.logs(_features(history, within, self.kinds, len(self.rows)), within)[np.arange(len(place)), place]
-
-    def step(self, history: np.ndarray, within: np.ndarray | None, place: np.ndarray, rate: float) -> None:
-        rows = _features(history, within, self.kinds, len(self.rows))
-        g = -np.exp(self.logs(rows, within))
-        g[np.arange(len(place)), place] += 1
-        g *= rate
-        flat, gradient = self.rows.reshape(-1), g.ravel()
-        for r in rows:  # one-dimensional, as numpy adds these several times faster
-            np.add.at(flat, (r[:, None].astype("i8") * len(self.columns) + self.columns).ravel(), gradient)
-        if within is None:
-            self.bias[0] += 0.1 * g.sum(axis=0)
-
-
-class _Softmaxes:
-    """The weights as tables: by groups (and endings), by a group's classes if there are more than one, by a class's tokens."""
-
-    def __init__(self, weights: np.ndarray, slots: int = VOCABULARY, times: int = 1) -> None:
-        self.weights, self.slots, self.width = weights, slots, slots // WORD_CLASSES
-        each = self.width // WIDTH
-        shapes = _shapes(slots, times)
-        parts = np.split(weights, np.cumsum([a * b for a, b in shapes])[:-1])
-        bias, own, rows, token_rows, *more = (x.reshape(shape) for x, shape in zip(parts, shapes, strict=True))
-        self.groups = _Level(bias, rows, "123p")
-        self.classes = _Level(more[0], more[1], "12p") if each > 1 else None
-        self.tokens = _Level(own, token_rows, "12")
-
-    def _levels(self, history: np.ndarray, symbols: np.ndarray) -> Iterator[tuple[_Level, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
-        """Of each level: the examples that it concerns, their histories, groups and places in these."""
-        group = np.where(symbols < self.slots, symbols // self.width, WORD_CLASSES + symbols - self.slots)
-        yield self.groups, np.arange(len(symbols)), history, None, group
-        if len(word := np.flatnonzero(symbols < self.slots)):
-            h, s = history[word], symbols[word]
-            if self.classes:
-                yield self.classes, word, h, group[word], s % self.width // WIDTH
-            yield self.tokens, word, h, s // WIDTH, s % WIDTH
-
-    def log_likelihood(self, history: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each symbol's chance; for an ending, of the ending's group."""
-        out = np.zeros(len(symbols))
-        for a in range(0, len(symbols), BATCH):
-            for level, at, h, within, place in self._levels(history[a : a + BATCH], symbols[a : a + BATCH]):
-                out[a + at] += level.chances(h, within, place)
+        return z, rows
+
+    def _paths(self, leaves: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the forks on the leaves' paths: the example, the signed logit, the sign, and the places of their weights."""
+        sizes = self.starts[leaves + 1] - self.starts[leaves]
+        owner = np.repeat(np.arange(len(leaves)), sizes)
+        at = np.arange(len(owner)) + (self.starts[leaves] - (np.cumsum(sizes) - sizes))[owner]
+        fork = self.fork[at]
+        places = far[:, owner]
+        places += fork.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
+        places *= np.uint64(0xD1342543DE82EF95)
+        places = (places >> np.uint64(65 - len(self.forks).bit_length())).astype("i8")
+        sign = (2 * self.side[at] - 1).astype("f4")
+        return owner, sign * (self.fork_bias[fork] + self.forks[places].sum(axis=0)), sign, places, sizes
+
+    def log_likelihood(self, history: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each leaf's chance."""
+        out = np.zeros(len(leaves))
+        for a in range(0, len(leaves), BATCH):
+            own = slice(a, a + BATCH)
+            near, far = self._context(history[own])
+            logs, _ = self._class_logs(near)
+            owner, z, _, _, _ = self._paths(leaves[own], far)
+            n = len(logs)
+            out[own] = logs[np.arange(n), self.model.classes[leaves[own]]] - np.bincount(owner, np.logaddexp(0, -z), n)
         return out
 
-    def step(self, history: np.ndarray, symbols: np.ndarray, rate: float) -> None:
-        for level, _, h, within, place in self._levels(history, symbols):
-            level.step(h, within, place, rate)
-
-
-def _shapes(slots: int, times: int) -> list[tuple[int, int]]:
-    """Biases of groups and tokens, rows of groups and tokens; with several classes a group, these too."""
-    each = slots // VOCABULARY
-    shapes = [(1, CLASSES), (slots // WIDTH, WIDTH), (CLASS_ROWS * times, CLASSES), (TOKEN_ROWS * times, WIDTH)]
-    return [*shapes, (WORD_CLASSES, each), (CLASS_ROWS * times, each)] if each > 1 else shapes
+    def step(self, history: np.ndarray, leaves: np.ndarray, seen_rows: np.ndarray, seen_forks: np.ndarray) -> None:
+        """One gradient step for some examples; rates fall with the squared gradients that are summed up by row and by fork's weight."""
+        near, far = self._context(history)
+        logs, rows = self._class_logs(near)
+        g = -np.exp(logs)
+        g[np.arange(len(leaves)), self.model.classes[leaves]] += 1
+        self.bias += 0.002 * g.sum(axis=0)
+        own, number = np.unique(rows.ravel(), return_inverse=True)
+        # bincount adds rows up several times faster than reduceat or add.at
+        places = (number[:, None] * CLASSES + np.arange(CLASSES)).ravel()
+        sums = np.bincount(places, np.tile(g, (self.KINDS, 1)).ravel(), len(own) * CLASSES).reshape(-1, CLASSES).astype("f4")
+        seen_rows[own] += (sums * sums).sum(axis=1)
+        self.table[own] += sums * (CLASS_RATE / np.sqrt(1 + seen_rows[own]))[:, None]
+        _, z, sign, places, _ = self._paths(leaves, far)
+        g = sign / (1 + np.exp(np.minimum(z, 30)))
+        for p in places:
+            np.add.at(seen_forks, p, g * g)
+            np.add.at(self.forks, p, FORK_RATE * g / np.sqrt(np.float32(0.1) + seen_forks[p]))
+
+
+def _times(model: Model) -> int:
+    """How often the features' tables are as large as for few tokens: as the root of all tokens counted."""
+    times = 1
+    while times * times << 18 < model.v:
+        times *= 2
+    return times
 
 
 def _start(model: Model) -> np.ndarray:
     """Weights under which tokens have their share of the counts."""
-    counts = np.zeros(model.slots)
-    counts[: len(model.counts)] = model.counts
-    classes = counts.reshape(-1, WIDTH).sum(axis=1)
-    shapes = _shapes(model.slots, model.times)
-    mass = np.concatenate([classes.reshape(WORD_CLASSES, -1).sum(axis=1), model.ending_total])
-    rest = [np.zeros(shapes[2]), np.zeros(shapes[3])]
-    if len(shapes) > 4:
-        rest += [np.log(np.maximum(classes, 1e-6)), np.zeros(shapes[5])]
-    # slots without a token keep next to no chance
-    return np.concatenate([x.ravel() for x in (np.log(np.maximum(mass, 1e-6)), np.log(np.maximum(counts, 1e-6)), *rest)]).astype("f4")
+    mass = np.bincount(model.classes, np.concatenate((model.counts, model.outside)), CLASSES)
+    rest = np.zeros(_Weights.KINDS * CLASS_ROWS * _times(model) * CLASSES + FORK_WEIGHTS * _times(model))
+    return np.concatenate((np.log(np.maximum(mass, 1e-6)), rest)).astype("f4")
 
 
 def _history(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The codes of the three tokens before each token of texts, which have so many tokens each, one after another."""
-    history = np.full((len(codes), 3), BEFORE, "i4")
+    """The codes of the tokens before each token of texts, which have so many tokens each, one after another."""
+    history = np.full((len(codes), HISTORY), BEFORE, "i4")
     place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    for back in (1, 2, 3):
+    for back in range(1, HISTORY + 1):
         at = np.flatnonzero(place >= back)
         history[at, back - 1] = codes[at - back]
     return history
@@ -271,20 +285,23 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     rows = docs.filter(~is_held_out()).select(F.col("text").cast("binary")).mapInArrow(examples, "sizes binary, codes binary")
     dealt = written(rows.repartition(max(LEAST_TASKS, model.n // TASK_EXAMPLES)), "maxent-examples")
 
-    def local_pass(weights: np.ndarray, rows: list[dict], number: int) -> np.ndarray:
-        maxent = _Softmaxes(weights, shared.value.slots, shared.value.times)
+    def local_pass(weights: np.ndarray, rows: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
+        model = shared.value
+        own = _Weights(model, weights)
+        seen_rows, seen_forks = np.zeros(len(own.table), "f4"), np.zeros(len(own.forks), "f4")
         rng = np.random.default_rng(number)
-        for k in rng.permutation(len(rows)):
-            codes, sizes = (np.frombuffer(rows[k][c], "<i4") for c in ("codes", "sizes"))
-            history, symbols = _history(codes, sizes), shared.value.symbols(codes)
+        for k in rng.permutation(np.arange(number, rows.num_rows, ROUNDS)).tolist():  # each text in one round
+            codes, sizes = (np.frombuffer(rows[c][k].as_py(), "<i4") for c in ("codes", "sizes"))
+            history, leaves = _history(codes, sizes), model.leaves(codes)
             order = rng.permutation(len(codes))
-            for a in range(0, len(codes), 128):
-                own = order[a : a + 128]
-                maxent.step(history[own], symbols[own], RATES[number])
-        return maxent.weights
+            for a in range(0, len(codes), BATCH):
+                at = order[a : a + BATCH]
+                own.step(history[at], leaves[at], seen_rows, seen_forks)
+        return weights, np.concatenate((np.full(CLASSES, rows.num_rows), np.repeat(seen_rows, CLASSES), seen_forks))
 
-    weights = train_averaged(dealt, _start(model), local_pass, len(RATES)) if model.n else _start(model)
-    return Model(model.ids, model.counts, model.ending_total, model.n, model.v, weights)
+    start = _start(model)
+    weights = train_averaged(dealt, start, local_pass, ROUNDS, 1) if model.n else start
+    return replace(model, weights=weights)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -303,16 +320,16 @@ def score(docs: DataFrame) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        maxent = _Softmaxes(model.weights, model.slots, model.times)
+        maxent = _Weights(model, model.weights)
         log_counts = np.append(np.log10(model.counts + 1), 0.0)
-        log_totals = np.log10(model.ending_total)
+        log_totals = np.log10(model.outside)
         for part, texts in chunks(batches, 1):
             codes, sizes = _codes(model, texts)
-            symbols = model.symbols(codes)
+            leaves = model.leaves(codes)
             known = log_counts[np.maximum(codes, -1)]
-            chance = maxent.log_likelihood(_history(codes, sizes), symbols) / np.log(10)
+            chance = maxent.log_likelihood(_history(codes, sizes), leaves) / np.log(10)
             other = codes < 0
-            chance[other] -= log_totals[symbols[other] - model.slots]
+            chance[other] -= log_totals[leaves[other] - len(model.ids)]
             starts = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, starts) for x in ((codes >= 0).astype("i8"), known - scale, chance)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), *map(pa.array, sums)], ["doc_id", "held_out", "digest", "n_tokens", "found", "base", "chance"])

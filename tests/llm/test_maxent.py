@@ -31,7 +31,7 @@ def test_counts_and_held_out_gain(spark):
     found = [tuple(r) for r in op2_maxent_lm(spark, sf).collect()]
     compare(found, base(rows))
     held = [r for r in found if r[1]]
-    assert sum(r[6] for r in held) > sum(r[5] for r in held) + 0.01 * abs(sum(r[5] for r in held))
+    assert sum(r[6] for r in held) > sum(r[5] for r in held) + 0.05 * abs(sum(r[5] for r in held))
 
 
 def test_small_dictionary_nulls_and_repeats(spark, monkeypatch):
@@ -51,55 +51,87 @@ def test_empty_and_nothing_to_learn_from(spark):
     assert (row["train_tokens"], row["n_known"], row["base_score"]) == (0, 0, 0.0)
 
 
-def test_chances_sum_to_one():
-    """Over all symbols, and inside an ending over its tokens and one unknown token."""
-    rng = np.random.default_rng(1)
-    soft = maxent._Softmaxes(rng.normal(0, 0.3, maxent.CLASSES + maxent.VOCABULARY + maxent.CLASS_ROWS * maxent.CLASSES + maxent.TOKEN_ROWS * maxent.WIDTH).astype("f4"))
-    symbols = np.arange(maxent.BOUNDARY)
-    history = np.tile(np.array([5, 2050, 80], "i4"), (len(symbols), 1))
-    assert math.isclose(np.exp(soft.log_likelihood(history, symbols)).sum(), 1, rel_tol=1e-4)
-
-
 def _model(n):
-    return maxent.Model({b"t%d" % i: i for i in range(n)}, np.arange(n, 0, -1.0), np.ones(maxent.ENDINGS), n, n)
+    return maxent.model_of([b"", *(b"t%d" % i for i in range(1, n))], np.arange(n, 0, -1.0), np.full(maxent.CLASSES, 2.5), n, n)
 
 
-def test_chances_over_a_whole_dictionary_sum_to_one():
+def test_chances_over_all_leaves_sum_to_one():
+    """Over the dictionary's tokens and, for each class, the tokens outside it; with weights of any value."""
     model = _model(20_000)
-    weights = maxent._start(model)
-    soft = maxent._Softmaxes(weights + np.random.default_rng(1).normal(0, 0.3, len(weights)).astype("f4"), model.slots)
-    symbols = np.arange(model.slots + maxent.ENDINGS)
-    history = np.tile(np.array([5, 15_000, -80], "i4"), (len(symbols), 1))
-    assert model.slots >= 20_000 and math.isclose(np.exp(soft.log_likelihood(history, symbols)).sum(), 1, rel_tol=1e-4)
-    assert len(maxent._start(_model(1 << 17))) > len(weights)
-    assert maxent.Model({}, np.zeros(0), np.ones(1), 0, 1 << 26).times > model.times
-
-
-def test_tokens_beyond_the_first_2048_and_outside_the_dictionary_are_told_by_and_tell_what_follows():
+    start = maxent._start(model)
+    for noise in (0.0, 0.3):
+        weights = maxent._Weights(model, (start + noise * np.random.default_rng(1).normal(size=len(start))).astype("f4"))
+        leaves = np.arange(20_000 + maxent.CLASSES)
+        for past in ([5, 15_000, -80, 7], [maxent.BEFORE] * 4):
+            history = np.tile(np.array(past, "i4"), (len(leaves), 1))
+            chances = np.exp(weights.log_likelihood(history, leaves))
+            assert math.isclose(chances.sum(), 1, rel_tol=1e-4)
+            if not noise:  # each token has its share of the counts
+                assert np.allclose(chances, np.concatenate((model.counts, model.outside)) / (model.counts.sum() + model.outside.sum()), rtol=1e-3)
+
+
+def test_inside_the_leaf_of_others_chances_sum_to_one(spark):
+    """The tokens outside a dictionary of one, by their smoothed counts, and one token never seen, for each class."""
+    docs = spark.createDataFrame([(i, f"a b c the the {'x' * (i % 5)} w{i} w{i % 7} A") for i in range(60)], "doc_id bigint, text string")
+    counts = {bytes(r["token"]): r["n"] for r in maxent.count_tokens(docs).collect()}
+    model = maxent._vocabulary(maxent.count_tokens(docs))
+    inside = {c: sum(n + 1 for t, n in counts.items() if t not in model.ids and maxent.class_of(t) == c) + 1 for c in range(maxent.CLASSES)}
+    assert [inside[c] for c in range(maxent.CLASSES)] == model.outside.tolist()
+
+
+def test_one_token_or_none():
+    for n in (0, 1):
+        model = maxent.model_of([b""][:n], np.ones(n), np.ones(maxent.CLASSES), n, n)
+        leaves = np.arange(n + maxent.CLASSES)
+        found = maxent._Weights(model, maxent._start(model)).log_likelihood(np.full((len(leaves), 4), maxent.BEFORE, "i4"), leaves)
+        assert math.isclose(np.exp(found).sum(), 1, rel_tol=1e-4)
+
+
+def test_rare_tokens_tell_and_are_told():
+    """Tokens far down the dictionary and outside it are predicted, and predict, by themselves."""
     model = _model(20_000)
-    soft = maxent._Softmaxes(maxent._start(model), model.slots)
+    weights = maxent._Weights(model, maxent._start(model))
+    rows, forks = np.zeros(len(weights.table), "f4"), np.zeros(len(weights.forks), "f4")
     codes = model.codes([b"rare one", b"t15000", b"rare two", b"t15001"])
-    history = np.full((4, 3), maxent.BEFORE, "i4")
+    history = np.full((4, maxent.HISTORY), maxent.BEFORE, "i4")
     history[1::2, 0] = codes[::2]
-    symbols = model.symbols(codes)
+    leaves = model.leaves(codes)
     for _ in range(50):
-        soft.step(history, symbols, 0.2)
+        weights.step(history, leaves, rows, forks)
     swapped = history[[0, 3, 2, 1]]
-    gain = soft.log_likelihood(history, symbols) - soft.log_likelihood(swapped, symbols)
+    gain = weights.log_likelihood(history, leaves) - weights.log_likelihood(swapped, leaves)
     assert codes[1] == 15_000 and codes[0] < 0 and (gain[1::2] > 1).all()
 
 
-def test_every_position_of_a_training_text_is_stepped_on(spark, monkeypatch):
+def test_every_position_of_a_training_text_is_stepped_on_once(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b{i} c") for i in range(40)], "doc_id bigint, text string")
     taught = docs.filter(~maxent.is_held_out())
-    passes = []
+    steps = []
 
-    def one_pass(examples, start, local_pass, rounds):
-        rows = [r.asDict() for r in examples.collect()]
+    def all_rounds(examples, start, local_pass, rounds, width):
+        rows = examples.toArrow()
         with monkeypatch.context() as m:
-            m.setattr(maxent._Softmaxes, "step", lambda self, history, symbols, rate: passes.append(len(symbols)))
-            return local_pass(start.copy(), rows, 0)
+            m.setattr(maxent._Weights, "step", lambda self, history, leaves, *seen: steps.append(len(leaves)))
+            for number in range(rounds):
+                weights, say = local_pass(start.copy(), rows, number)
+                assert len(weights) == len(say) * width
+        return start
 
-    monkeypatch.setattr(maxent, "train_averaged", one_pass)
+    monkeypatch.setattr(maxent, "train_averaged", all_rounds)
     maxent.fit(docs, maxent.count_tokens(taught).cache())
-    assert sum(passes) == 4 * taught.count()
+    assert sum(steps) == 4 * taught.count()
+
+
+def test_averages_keep_what_only_one_task_has_learned(spark):
+    from loam.llm.averaging import BLOCK, train_averaged
+
+    def local_pass(weights, rows, number):
+        say = np.zeros(len(weights))
+        for k in rows["k"].to_pylist():
+            weights[k] += 1 + k
+            say[k] += 1
+        return weights, say
+
+    examples = spark.createDataFrame([(k,) for k in (0, 1, BLOCK + 2)], "k bigint").repartition(3)
+    found = train_averaged(examples, np.zeros(BLOCK + 5), local_pass, 2, 1)
+    assert (found[0], found[1], found[2], found[BLOCK + 2]) == (2, 4, 0, 2 * (BLOCK + 3))
