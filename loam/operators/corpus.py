@@ -86,14 +86,30 @@ def duplicate_profile(docs: DataFrame, by: str) -> DataFrame:
     return texts.groupBy(by).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct"), F.sum(F.col("n") - 1).alias("n_surplus"))
 
 
+#: Word runs of probes that are broadcast as hashes, at most (16 MB); beyond, documents' runs are joined by a shuffle.
+BROADCAST_RUNS = 1 << 20
+
+
 def contamination(docs: DataFrame, probes: DataFrame, size: int = 8) -> DataFrame:
-    """For each probe, the number of documents that share a run of `size` words with it: an equi-join on word runs."""
+    """For each probe, the number of documents that share a run of `size` words with it.
 
-    def runs(rows: DataFrame, key: str) -> DataFrame:
-        words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        at = F.when(F.size("words") >= size, F.sequence(F.lit(1), F.size("words") - size + 1)).otherwise(F.array().cast("array<int>"))
-        hashed = rows.select(key, words.alias("words")).select(key, F.explode(F.transform(at, lambda i: F.array_join(F.slice("words", i, F.lit(size)), " "))).alias("run"))
-        return hashed.select(key, F.md5(F.col("run").cast("binary")).alias("run")).distinct()
+    Documents' runs meet the probes' by 64-bit hashes, on the map side as long as these are few; only the runs that meet
+    are spelled out and compared word by word.
+    """
+    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words")
 
-    met = runs(probes, "item_id").join(runs(docs, "doc_id"), "run").select("item_id", "doc_id").distinct()
-    return met.groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    def places(rows: DataFrame, key: str) -> DataFrame:
+        at = F.when(F.size("words") >= size, F.sequence(F.lit(1), F.size("words") - size + 1)).otherwise(F.array().cast("array<int>"))
+        return rows.select(key, words).select(key, F.posexplode(F.transform(at, lambda i: F.xxhash64(F.slice("words", i, F.lit(size))))).alias("place", "hash"))
+
+    def spelled(met: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+        """The runs at the places of met."""
+        own = met.groupBy(key).agg(F.collect_set("place").alias("places"))
+        runs = rows.select(key, words).join(own, key).select(key, F.explode(F.transform("places", lambda i: F.array_join(F.slice("words", i + 1, F.lit(size)), " "))).alias("run"))
+        return runs.distinct()
+
+    known = places(probes, "item_id").select("hash").distinct()
+    few = known.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    met = places(docs, "doc_id").join(F.broadcast(known) if few else known, "hash", "left_semi")
+    found = spelled(met, docs, "doc_id").join(spelled(places(probes, "item_id"), probes, "item_id"), "run").select("item_id", "doc_id").distinct()
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"))

@@ -6,15 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of a group's values that are counted before its percentiles are picked.
+RANGES = 4096
+
+
 def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, nearest-rank and interpolated 95th percentile, median and largest, by group."""
-    return rows.groupBy(by).agg(
-        F.count(value).alias("n"),
-        F.round(F.avg(value), 4).alias("mean"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_rank"),
-        F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"),
-        F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"),
-        F.max(value).alias("most"),
+    """Mean, nearest-rank and interpolated 95th percentile, median and largest, by group; exact.
+
+    Values are counted, then the counts of RANGES equal ranges between a group's least and largest value tell in which
+    ranges the wanted ranks lie; only those ranges' values are put in order. So no task holds a whole group.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    sums = rows.groupBy(F.col(by).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    groups = sums.select(F.col("g").alias("h"), "n", "least", "most")
+    ranks = {"rank": F.ceil(0.95 * F.col("n")) - 1, "low": F.floor(0.95 * (F.col("n") - 1)), "high": F.ceil(0.95 * (F.col("n") - 1)), "under": F.floor(0.5 * (F.col("n") - 1)), "over": F.ceil(0.5 * (F.col("n") - 1))}
+    span = F.coalesce(F.try_divide(F.col("v") - F.col("least"), F.col("most") - F.col("least")), F.lit(0.0))
+    placed = counts.join(groups, F.col("g").eqNullSafe(F.col("h"))).withColumn("range", F.least(F.floor(span * RANGES), F.lit(RANGES - 1)))
+    before = Window.partitionBy("h").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    ranges = placed.groupBy("h", "range", "n").agg(F.sum("k").alias("inside")).withColumn("base", F.coalesce(F.sum("inside").over(before), F.lit(0)))
+    holds = lambda start, size: [(start <= r) & (r < start + size) for r in ranks.values()]
+    some = holds(F.col("base"), F.col("inside"))
+    wanted = ranges.filter(some[0] | some[1] | some[2] | some[3] | some[4]).select(F.col("h").alias("q"), F.col("range").alias("r"), "base")
+    own = placed.join(wanted, F.col("g").eqNullSafe(F.col("q")) & (F.col("range") == F.col("r")))
+    start = F.col("base") + F.coalesce(F.sum("k").over(Window.partitionBy("g", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = own.withColumn("start", start).groupBy(F.col("g").alias("p")).agg(*[F.max(F.when(here, F.col("v"))).alias(name) for name, here in zip(ranks, holds(F.col("start"), F.col("k")), strict=True)])
+    between = lambda low, high, share: F.col(low) + (F.col(high) - F.col(low)) * (share * (F.col("n") - 1) - F.floor(share * (F.col("n") - 1)))
+    return sums.join(picked, F.col("g").eqNullSafe(F.col("p")), "left").select(
+        F.col("g").alias(by), "n", F.round("mean", 4).alias("mean"), F.col("rank").alias("p95_rank"), F.round(between("low", "high", 0.95), 6).alias("p95"), F.round(between("under", "over", 0.5), 6).alias("median"), "most"
     )
 
 
@@ -56,5 +74,41 @@ def until_first_error(rows: DataFrame, trace: str, order: list[str], correct: Co
 
 
 def ordered_counts(rows: DataFrame, by: str) -> DataFrame:
-    """Counts by value, null as unknown."""
-    return rows.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
+    """Counts by value, null as unknown: the largest first, then by value."""
+    counts = rows.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "value")
+
+
+def thresholds(curve: DataFrame, goals: list[float]) -> DataFrame:
+    """For each goal, the first rank of a cover curve that covers so much; null if none does."""
+    picked = curve.agg(*[F.min(F.when(F.col("covered") >= g, F.col("rank"))).alias(f"r{i}") for i, g in enumerate(goals)])
+    return picked.select(F.explode(F.array(*[F.struct(F.lit(float(g)).alias("goal"), F.col(f"r{i}").alias("rank")) for i, g in enumerate(goals)])).alias("x")).select("x.*")
+
+
+def best_by(rows: DataFrame, group: str, order: list[str], key: str) -> DataFrame:
+    """Of each group the row that is least by the order columns (null last), then by key."""
+    rank = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))], F.col(key))
+    return rows.groupBy(group).agg(F.min_by(F.struct(key, *order), rank).alias("best")).select(group, "best.*")
+
+
+def best_probe(rows: DataFrame, features: list[str], target: str, train: Column) -> DataFrame:
+    """The feature whose lookup probe is most accurate on held-out rows, the first one on ties, and its lift."""
+    probes = [lookup_probe(rows, f, target, train).withColumn("feature", F.lit(f)).withColumn("order", F.lit(i)) for i, f in enumerate(features)]
+    every = probes[0]
+    for p in probes[1:]:
+        every = every.unionByName(p)
+    return every.orderBy(F.desc("accuracy"), "order").limit(1).select("feature", "n", "accuracy", "lift")
+
+
+def compared(rows: DataFrame, side: str, one: str, two: str, metrics: dict[str, tuple[Column, bool]]) -> DataFrame:
+    """metric, its value on both sides and the winner; a metric says whether more is better. Equal or missing: tie."""
+    sums = rows.filter(F.col(side).isin(one, two)).agg(*[F.round(F.avg(F.when(F.col(side) == s, m)), 6).alias(f"{name}_{i}") for name, (m, _) in metrics.items() for i, s in enumerate((one, two))])
+    parts = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"{name}_0").alias("a"), F.col(f"{name}_1").alias("b"), F.lit(more).alias("more")) for name, (_, more) in metrics.items()])
+    out = sums.select(F.explode(parts).alias("x")).select("x.*")
+    ahead = F.when(F.col("more"), F.col("a") > F.col("b")).otherwise(F.col("a") < F.col("b"))
+    return out.select("metric", "a", "b", F.when(ahead, one).when(F.col("a") != F.col("b"), two).otherwise("tie").alias("winner"))
+
+
+def present_mean(rows: DataFrame, by: str, metric: Column) -> DataFrame:
+    """The mean of a metric over the rows that have it, and how many these are."""
+    return rows.groupBy(by).agg(F.count(metric).alias("n_present"), F.round(F.avg(metric), 6).alias("mean"))

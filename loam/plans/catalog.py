@@ -25,16 +25,30 @@ _SPLIT = f"(CASE WHEN {_UNIT.format(seed=0, id='doc_id')} < 0.1 THEN 'val' ELSE
 _RECORDS = f"SELECT doc_id, source AS corpus, {_SPLIT} AS split, CAST(length(text) AS BIGINT) AS char_length, CAST(strlen(text) AS BIGINT) AS byte_length, sha256(text) AS text_sha256 FROM documents"
 _PACKED = f"SELECT {_SPLIT} AS split, count(*) AS n_docs, CAST(sum(strlen(text) + 1) AS BIGINT) AS document_tokens FROM documents GROUP BY 1"
 _OFFSETS = f"SELECT doc_id, split, n, CAST(sum(n) OVER (PARTITION BY split ORDER BY doc_id) - n AS BIGINT) AS start FROM (SELECT doc_id, {_SPLIT} AS split, strlen(text) + 1 AS n FROM documents)"
-_EDGES = "SELECT DISTINCT l_partkey % 97 AS source, l_suppkey % 97 AS target FROM lineitem WHERE l_partkey % 97 < l_suppkey % 97 AND l_linenumber <= 2"
+_LINKS = """SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+  UNION SELECT 's' || s_suppkey, 'r' || n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").filter("l_linenumber <= 2")
-    return lines.select((F.col("l_partkey") % 97).alias("source"), (F.col("l_suppkey") % 97).alias("target")).filter("source < target").distinct()
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers to their nations, nations to their regions, and suppliers to their regions at once."""
+    node = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    nations = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    suppliers = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    parts = [
+        table(spark, d, "customer").select(node("c", "c_custkey").alias("source"), node("n", "c_nationkey").alias("target")),
+        table(spark, d, "supplier").select(node("s", "s_suppkey").alias("source"), node("n", "s_nationkey").alias("target")),
+        nations.select(node("n", "n_nationkey").alias("source"), node("r", "n_regionkey").alias("target")),
+        suppliers.select(node("s", "s_suppkey").alias("source"), node("r", "n_regionkey").alias("target")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
 
 
 def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -130,11 +144,11 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         f"SELECT i AS position, (i * {_M} + {_S}) % {PERMUTED} AS item, i // {BATCH} AS batch_id, (i % {BATCH}) // {BATCH // RANKS} AS rank, i % {BATCH // RANKS} AS slot FROM range({PERMUTED}) AS t(i)",
     ),
     "bigram_nll": (
-        lambda s, d: packing.bigram_nll(_docs(s, d), 0.5, 256),
-        f"""WITH p AS (SELECT split, substr(text, i, 2) AS pair, count(*) AS n FROM (SELECT {_SPLIT} AS split, text, unnest(range(1, length(text))) AS i FROM documents) GROUP BY 1, 2),
-        t AS (SELECT pair, n FROM p WHERE split = 'train'), c AS (SELECT substr(pair, 1, 1) AS first, sum(n) AS context FROM t GROUP BY 1)
+        lambda s, d: packing.bigram_nll(_docs(s, d), 0.5),
+        f"""WITH h AS (SELECT {_SPLIT} AS split, hex(encode(text)) AS x FROM documents), p AS (SELECT split, substr(x, 2 * i - 1, 4) AS pair, count(*) AS n FROM (SELECT split, x, unnest(range(1, length(x) // 2)) AS i FROM h) GROUP BY 1, 2),
+        t AS (SELECT pair, n FROM p WHERE split = 'train'), c AS (SELECT substr(pair, 1, 2) AS first, sum(n) AS context FROM t GROUP BY 1)
         SELECT CAST(sum(p.n) AS BIGINT) AS n_pairs, round(sum(-ln((coalesce(t.n, 0) + 0.5::DOUBLE) / (coalesce(context, 0) + 128.0::DOUBLE)) * p.n) / sum(p.n), 6) AS nll
-        FROM p LEFT JOIN t ON t.pair = p.pair LEFT JOIN c ON c.first = substr(p.pair, 1, 1) WHERE p.split = 'val'""",
+        FROM p LEFT JOIN t ON t.pair = p.pair LEFT JOIN c ON c.first = substr(p.pair, 1, 2) WHERE p.split = 'val'""",
     ),
     "prev_action_lag": (
         lambda s, d: sequences.previous(table(s, d, "conversations"), *_STEPS),
@@ -163,8 +177,8 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         FROM events AS e WHERE event_id % 10 = 0 GROUP BY 1""",
     ),
     "backoff_lookup": (
-        lambda s, d: sequences.backoff(table(s, d, "events").filter("event_id % 10 = 0"), table(s, d, "events").filter("event_id % 10 = 1"), [["event_type", "user_id"], ["user_id"], []], "value"),
-        """WITH q AS (SELECT DISTINCT event_type, user_id FROM events WHERE event_id % 10 = 0), t AS (SELECT * FROM events WHERE event_id % 10 = 1),
+        lambda s, d: sequences.backoff(table(s, d, "events").filter("event_id % 10 = 0"), table(s, d, "events").filter("event_id % 10 > 0"), [["event_type", "user_id"], ["user_id"], []], "value"),
+        """WITH q AS (SELECT DISTINCT event_type, user_id FROM events WHERE event_id % 10 = 0), t AS (SELECT * FROM events WHERE event_id % 10 > 0),
         a AS (SELECT event_type, user_id, count(DISTINCT value) AS n FROM t GROUP BY 1, 2), b AS (SELECT user_id, count(DISTINCT value) AS n FROM t GROUP BY 1), c AS (SELECT count(DISTINCT value) AS n FROM t)
         SELECT q.event_type, q.user_id, CASE WHEN a.n > 0 THEN 0 WHEN b.n > 0 THEN 1 WHEN c.n > 0 THEN 2 ELSE -1 END AS level, coalesce(a.n, b.n, c.n) AS n_candidates
         FROM q LEFT JOIN a ON a.event_type = q.event_type AND a.user_id = q.user_id LEFT JOIN b ON b.user_id = q.user_id CROSS JOIN c""",
@@ -212,32 +226,32 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     ),
     "ordered_counts": (
         lambda s, d: evals.ordered_counts(_docs(s, d), "lang"),
-        "SELECT coalesce(lang, 'unknown') AS value, count(*) AS n FROM documents GROUP BY 1",
+        "SELECT coalesce(lang, 'unknown') AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1",
     ),
     "two_hop_paths": (
-        lambda s, d: graphs.two_hops(_edges(s, d)),
-        f"WITH e AS ({_EDGES}) SELECT DISTINCT a.source, a.target AS middle, b.target FROM e AS a JOIN e AS b ON a.target = b.source",
+        lambda s, d: graphs.two_hops(_links(s, d)),
+        f"WITH e AS ({_LINKS}) SELECT DISTINCT a.source, a.target AS middle, b.target FROM e AS a JOIN e AS b ON a.target = b.source",
     ),
     "reduced_edges": (
-        lambda s, d: graphs.reduced(_edges(s, d)),
-        f"WITH e AS ({_EDGES}) SELECT source, target FROM e EXCEPT SELECT a.source, b.target FROM e AS a JOIN e AS b ON a.target = b.source",
+        lambda s, d: graphs.reduced(_links(s, d)),
+        f"WITH e AS ({_LINKS}) SELECT source, target FROM e EXCEPT SELECT a.source, b.target FROM e AS a JOIN e AS b ON a.target = b.source",
     ),
     "shortest_hops": (
-        lambda s, d: graphs.shortest(_edges(s, d), 1, 6),
-        f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hops UNION SELECT e.target, hops + 1 FROM r JOIN e ON e.source = r.node WHERE hops < 6) SELECT node, min(hops) AS hops FROM r GROUP BY 1",
+        lambda s, d: graphs.shortest_all(_both_ways(_links(s, d)), "r0"),
+        f"WITH RECURSIVE o AS ({_LINKS}), e AS (SELECT source, target FROM o UNION SELECT target, source FROM o), r AS (SELECT 'r0' AS node, 0 AS hops UNION SELECT e.target, hops + 1 FROM r JOIN e ON e.source = r.node WHERE hops < 12) SELECT node, min(hops) AS hops FROM r GROUP BY 1",
     ),
     "neighbour_lists": (
-        lambda s, d: graphs.neighbours(_edges(s, d)),
-        f"WITH e AS ({_EDGES}) SELECT source, count(*) AS degree, string_agg(CAST(target AS VARCHAR), ',' ORDER BY target) AS targets FROM e GROUP BY 1",
+        lambda s, d: graphs.neighbours(_links(s, d)),
+        f"WITH e AS ({_LINKS}) SELECT source, count(*) AS degree, string_agg(CAST(target AS VARCHAR), ',' ORDER BY target) AS targets FROM e GROUP BY 1",
     ),
-    # on the whole of lineitem with its real keys; no SQL, brute force on small edges instead
+    # parts and suppliers that share a line, both ways; no SQL, as paths grow with the square of the degrees: brute force on small edges
     "two_hop_paths_whole": (lambda s, d: graphs.two_hops(_whole_edges(s, d)), None),
     "reduced_edges_whole": (lambda s, d: graphs.reduced(_whole_edges(s, d)), None),
     "shortest_hops_whole": (lambda s, d: graphs.shortest_all(_whole_edges(s, d), 2), None),
     "neighbour_lists_whole": (lambda s, d: graphs.neighbours(_whole_edges(s, d)), None),
     "focus_tokens": (
         lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.focus_tokens(F.col("text"), STOP, 8), " ").alias("tokens")),
-        "SELECT doc_id, array_to_string(list_transform(list_filter(t, lambda x: x IS NOT NULL)[1:8], lambda x: x), ' ') AS tokens FROM (SELECT doc_id, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(a) AS w, generate_subscripts(a, 1) AS i) WHERE w NOT IN ('the', 'and', 'that') GROUP BY w)) AS t FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS a FROM documents))",
+        "SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(t, lambda x: x IS NOT NULL)[1:8], lambda x: x), ' '), '') AS tokens FROM (SELECT doc_id, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(a) AS w, generate_subscripts(a, 1) AS i) WHERE w NOT IN ('the', 'and', 'that') GROUP BY w)) AS t FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS a FROM documents))",
     ),
     "keyword_tags": (
         lambda s, d: _docs(s, d).select("doc_id", texts.keyword_hits(F.col("text"), KEYWORDS).alias("hits"), texts.first_tag(F.col("text"), TAGS, "none").alias("tag")),

@@ -5,28 +5,33 @@ import os
 import duckdb
 import pytest
 
-from loam.plans.catalog import CATALOG
+from loam.plans import catalog, shapes
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+CATALOG = catalog.CATALOG | shapes.CATALOG
+#: Queries whose rare cases only show on more rows.
+MORE = ("focus_tokens", "numeric_fragments", "score_buckets", "path_prefixes", "p95_stats")
 
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for path in glob.glob(f"{SMALL}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    return con
+    found = {}
+    for folder in (SMALL, MIDDLE):
+        found[folder] = duckdb.connect()
+        for path in glob.glob(f"{folder}/*.parquet"):
+            found[folder].execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    return found
 
 
 def plain(rows):
     return sorted((tuple(round(float(x), 4) if isinstance(x, float) else None if x is None else str(x).removesuffix("+00:00") for x in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", [n for n, (_, sql) in CATALOG.items() if sql])
-def test_equals_sql(spark, duck, name):
+@pytest.mark.parametrize("name,folder", [(n, SMALL) for n, (_, sql) in CATALOG.items() if sql] + [(n, MIDDLE) for n in MORE])
+def test_equals_sql(spark, duck, name, folder):
     query, sql = CATALOG[name]
-    df = query(spark, SMALL)
-    cursor = duck.execute(sql)
+    df = query(spark, folder)
+    cursor = duck[folder].execute(sql)
     names = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(names)
     want = [tuple(r[names.index(c)] for c in sorted(names)) for r in cursor.fetchall()]
