@@ -2,9 +2,9 @@
 
 The distinct words (matches of the split pattern) of the corpus are counted, and Spark's higher-order functions fold
 the ranked merges over the byte arrays of the frequent ones, against a literal rank map. That dictionary has a bounded
-number of entries and goes to every task; a text's distinct words outside it are folded by the same functions where they
-occur. Only words of more than FOLD_BYTES bytes are merged by a heap in the task, as the fold's cost grows with the
-square of the length. Decoding looks up the binary pieces of the ids in a literal array and concatenates them, in Spark.
+number of entries and goes to every task. The words outside it are merged where they occur, by the same rule with a heap:
+folding them in Spark, too, took twice the CPU time that the limits allow (figures in the README). Decoding looks up the
+binary pieces of the ids in a literal array and concatenates them, in Spark.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from pyspark.sql import types as T
 
 from loam.llm.common import written
 
-#: Words with more bytes than this are merged by a heap.
+#: Words with more bytes than this are not counted for the dictionary, nor remembered.
 FOLD_BYTES = 48
 #: Entries of the dictionary that the fold fills and every task gets; the most frequent words.
-DICTIONARY = 1 << 18
+DICTIONARY = 1 << 17
 RANK_BUCKETS = 8192
 NO_RANK = 2**31 - 1
 FLUSH = 200_000
+#: Words outside the dictionary whose ids a task remembers.
+MEMORY = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -181,8 +183,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
     table gives no rows; further columns don't matter.
     """
     counts = written(count_words(docs, pattern), "words")  # read twice: for the cut and for the words above it
-    folded = fold_merges(frequent(counts, dictionary), ranks).toArrow()
-    known = {w: _packed(ids) for w, ids in zip(folded["word"].to_pylist(), folded["ids"].to_pylist(), strict=True)}
+    folded = fold_merges(frequent(counts, dictionary), ranks).toArrow().combine_chunks()
+    ids = folded["ids"].combine_chunks()
+    places, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4").tobytes()
+    known = {w: flat[4 * a : 4 * b] for w, a, b in zip(folded["word"].to_pylist(), places[:-1].tolist(), places[1:].tolist(), strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast((known, ranks))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,41 +194,31 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
 
         find = regex.compile(pattern).findall
         known, ranks = shared.value
+        rare: dict[str, bytes] = {}
 
-        def parts_of(text: str | None) -> tuple[list[bytes], list[int], list[str]]:
-            """The ids around the words to fold, the place of each such word among the distinct ones (from 1), and these."""
-            found = find(text) if text else []
-            coded = list(map(known.get, found))
-            if None not in coded:
-                return [b"".join(coded)], [], []
-            parts, which, rare, start = [], [], {}, 0
-            for i, (word, ids) in enumerate(zip(found, coded, strict=True)):
-                if ids is None:
-                    if len(word) * 4 > FOLD_BYTES and len(raw := word.encode()) > FOLD_BYTES:
-                        coded[i] = _packed(merge_word(raw, ranks))
-                        continue
-                    parts.append(b"".join(coded[start:i]))
-                    which.append(rare.setdefault(word, len(rare) + 1))
-                    start = i + 1
-            return [*parts, b"".join(coded[start:])], which, list(rare)
-
-        def lists(values: list[list], flat: pa.Array) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), flat)
+        def ids_of(word: str) -> bytes:
+            if (found := rare.get(word)) is None:
+                if len(rare) > MEMORY:
+                    rare.clear()
+                found = _packed(merge_word(word.encode(), ranks))
+                if len(word) <= FOLD_BYTES:
+                    rare[word] = found
+            return found
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [parts_of(text) for text in part.column(1).to_pylist()]
-                pieces = [x for parts, _, _ in rows for x in parts]
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in pieces)]), pa.int32()), pa.array(np.frombuffer(b"".join(pieces), "<i4")))
-                which = lists([w for _, w, _ in rows], pa.array([x for _, w, _ in rows for x in w], pa.int32()))
-                rare = lists([r for _, _, r in rows], pa.array([x for _, _, r in rows for x in r], pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists([p for p, _, _ in rows], ids), which, rare], ["doc_id", "parts", "which", "rare"])
-
-    split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tasks, "doc_id bigint, parts array<array<int>>, which array<int>, rare array<string>")
-    fold = _with(_rank_map(ranks), lambda ranked: F.transform("rare", lambda word: fold_word(word, ranked)))
-    filled = _with(fold, lambda folded: F.flatten(F.zip_with("parts", "which", lambda part, k: F.when(k.isNull(), part).otherwise(F.concat(part, F.element_at(folded, k))))))
-    coded = split.select("doc_id", F.when(F.size("rare") > 0, filled).otherwise(F.flatten("parts")).alias("tokens"))
+                rows = []
+                for text in part.column(1).to_pylist():
+                    found = find(text) if text else []
+                    coded = list(map(known.get, found))
+                    if None in coded:
+                        coded = [ids_of(w) if c is None else c for w, c in zip(found, coded, strict=True)]
+                    rows.append(b"".join(coded))
+                places = pa.array(np.cumsum([0, *(len(x) // 4 for x in rows)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(places, pa.array(np.frombuffer(b"".join(rows), "<i4")))], ["doc_id", "tokens"])
+
+    coded = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tasks, "doc_id bigint, tokens array<int>")
     packed = _looked_up(F.col("tokens"), [i.to_bytes(4, "little") for i in range(max(ranks.values(), default=0) + 1)])
     return coded.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens", packed.alias("ids"))
 
