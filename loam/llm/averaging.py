@@ -29,7 +29,7 @@ def train_averaged(examples: DataFrame, start: np.ndarray, local_pass: Callable[
             if held:
                 better, say = local_pass(shared.value.copy(), pa.Table.from_batches(held), number)
                 for a in range(0, len(better), BLOCK):
-                    own = np.asarray(say[a // width : -(-min(a + BLOCK, len(better)) // width)], "<f4")
+                    own = np.minimum(say[a // width : -(-min(a + BLOCK, len(better)) // width)], 6e4).astype("<f2")  # half as much to move
                     if own.any():
                         parts = (pa.array([x], t) for x, t in ((a // BLOCK, pa.int32()), (own.tobytes(), pa.binary()), (np.asarray(better[a : a + BLOCK], "<f4").tobytes(), pa.binary())))
                         yield pa.RecordBatch.from_arrays(list(parts), ["block", "say", "weights"])
@@ -38,7 +38,7 @@ def train_averaged(examples: DataFrame, start: np.ndarray, local_pass: Callable[
             sums: dict[int, list] = {}
             for batch in batches:
                 for block, own, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    own, part = np.frombuffer(own, "<f4").astype("f8"), np.frombuffer(part, "<f4")
+                    own, part = np.frombuffer(own, "<f2").astype("f8"), np.frombuffer(part, "<f4")
                     held = sums.setdefault(block, [0.0, 0.0])
                     held[0] = held[0] + own
                     held[1] = held[1] + np.repeat(own, width)[: len(part)] * part

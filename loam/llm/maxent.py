@@ -37,10 +37,10 @@ HISTORY = 4
 #: Tokens, at most, whose counts every task holds; the most frequent ones.
 DICTIONARY = 1 << 17
 #: Weights of forks, for few tokens; rows of class weights for each kind of feature of the softmax over classes.
-FORK_WEIGHTS, CLASS_ROWS = 1 << 21, 1 << 12
+FORK_WEIGHTS, CLASS_ROWS = 1 << 20, 1 << 12
 #: Examples in a training task, about; every position of a training text is one.
 TASK_EXAMPLES, LEAST_TASKS = 1 << 24, 6
-ROUNDS, CLASS_RATE, FORK_RATE = 3, 0.5, 0.2
+ROUNDS, CLASS_RATE, FORK_RATE = 2, 1.0, 0.15
 BATCH, FLUSH = 2048, 400_000
 
 
@@ -182,7 +182,7 @@ class _Weights:
         codes = codes.astype("u8")
         c1, c2, c3, c4 = classes.T
         near = [codes[:, 0], c1 * np.uint64(128) + c2, c3 * np.uint64(128) + c4]
-        far = [codes[:, 0], mix(codes[:, 0] * np.uint64(3) + np.uint64(1)) + codes[:, 1], c2 * np.uint64(128) + c3]
+        far = [codes[:, 0], mix(codes[:, 0] * np.uint64(3) + np.uint64(1)) + codes[:, 1]]
         salted = lambda parts, kind: [mix(x + (np.uint64(k + kind) << np.uint64(40))) for k, x in enumerate(parts)]
         return np.stack(salted(near, 1)), np.stack(salted(far, 11))
 
