@@ -25,13 +25,13 @@ FEW = 8
 def impacts(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and impacts (doubles that hold integers) of the vectors that take part.
 
-    Left out: rows with a null id, and vectors that are null or empty or hold null, non-finite or, beyond 2**40, huge
-    components, whose products would not fit into a long.
+    Left out: rows with a null id, and vectors that are null or hold null or non-finite components (or such that `scale`
+    times them is). Empty vectors have the score 0 with all others. From 2**52 on every double is an integer.
     """
     x = F.col("embedding").cast("array<double>")
-    fits = F.forall(x, lambda v: F.coalesce((v > -(2.0**40)) & (v < 2.0**40), F.lit(False)))
-    found = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull())
-    return found.filter((F.size("x") > 0) & fits).select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("impacts"))
+    fits = F.forall(x, lambda v: F.coalesce(F.abs(v * scale) < F.lit(float("inf")), F.lit(False)))
+    found = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fits)
+    return found.select("vec_id", F.transform("x", lambda v: F.when(F.abs(v * scale) < 2.0**52, F.floor(v * scale).cast("double")).otherwise(v * scale)).alias("impacts"))
 
 
 def _dense(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -53,10 +53,19 @@ def _segments(index: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
     return found
 
 
-def _exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    if np.abs(query).max(initial=0) * np.abs(rows).max(initial=0) * len(query) < 2.0**53:
-        return (rows @ query).astype("i8")
-    return np.array([sum(int(a) * int(b) for a, b in zip(query, row, strict=True)) for row in rows])
+def _small(query: np.ndarray, rows: np.ndarray) -> bool:
+    """Whether all sums of their products are exact in doubles."""
+    with np.errstate(over="ignore"):
+        return bool(np.abs(query).max(initial=0) * np.abs(rows).max(initial=0) * rows.shape[-1] < 2.0**51)
+
+
+def _best(ids: np.ndarray, query: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k best of some vectors with their exact scores; a score beyond a long counts as its limit."""
+    if _small(query, rows):
+        exact = (rows @ query).astype("i8")
+        return [(int(ids[i]), int(exact[i])) for i in np.lexsort((ids, -exact))[:k]]
+    whole = [max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(query, row, strict=True)))) for row in rows]
+    return [(int(ids[i]), whole[i]) for i in sorted(range(len(whole)), key=lambda i: (-whole[i], ids[i]))[:k]]
 
 
 def top_of_block(ids: np.ndarray, index: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -65,6 +74,9 @@ def top_of_block(ids: np.ndarray, index: np.ndarray, query_ids: np.ndarray, quer
     ids, index = ids[order], index[order]
     own = np.searchsorted(ids, query_ids)
     own_end = np.searchsorted(ids, query_ids, "right")
+    if not _small(queries, index):  # bounds in doubles would prove nothing
+        every = [np.concatenate((np.arange(a), np.arange(b, len(ids)))) for a, b in zip(own, own_end, strict=True)]
+        return [(int(q), *found) for q, row, own in zip(query_ids, queries, every, strict=True) for found in _best(ids[own], row, index[own], k)]
     # rounding in doubles is far below one half as long as scores stay below 2**51
     slack = 0.5 + 1e-9 * float(np.abs(index).max(initial=0)) * float(np.abs(queries).max(initial=0)) * index.shape[1]
     scores = np.zeros((len(queries), len(ids)))
@@ -89,12 +101,7 @@ def top_of_block(ids: np.ndarray, index: np.ndarray, query_ids: np.ndarray, quer
         waiting = np.setdiff1d(waiting, proven)
         if not len(waiting):
             break
-    out = []
-    for q, possible in members.items():
-        exact = _exact(queries[q], index[possible])
-        best = np.lexsort((ids[possible], -exact))[:k]
-        out += [(int(query_ids[q]), int(ids[possible[i]]), int(exact[i])) for i in best]
-    return out
+    return [(int(query_ids[q]), *found) for q, possible in members.items() for found in _best(ids[possible], queries[q], index[possible], k)]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE) -> DataFrame:
@@ -131,7 +138,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE)
 ORACLE = r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.c AS DOUBLE[]), CAST(v.c AS DOUBLE[])) AS BIGINT) AS score
   FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
