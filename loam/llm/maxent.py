@@ -39,7 +39,7 @@ DICTIONARY = 1 << 17
 #: Weights of forks, for few tokens; rows of class weights for each kind of feature of the softmax over classes.
 FORK_WEIGHTS, CLASS_ROWS = 1 << 20, 1 << 12
 #: Examples in a training task, about; every position of a training text is one.
-TASK_EXAMPLES, LEAST_TASKS = 1 << 24, 6
+TASK_EXAMPLES = 1 << 23
 ROUNDS, CLASS_RATE, FORK_RATE = 2, 1.0, 0.15
 BATCH, FLUSH = 2048, 400_000
 
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([sizes.astype("<i4").tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary())], ["sizes", "codes"])
 
     rows = docs.filter(~is_held_out()).select(F.col("text").cast("binary")).mapInArrow(examples, "sizes binary, codes binary")
-    dealt = written(rows.repartition(max(LEAST_TASKS, model.n // TASK_EXAMPLES)), "maxent-examples")
+    dealt = written(rows.repartition(max(1, model.n // TASK_EXAMPLES)), "maxent-examples")
 
     def local_pass(weights: np.ndarray, rows: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
         model = shared.value
