@@ -1,15 +1,17 @@
 """Language model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class, history). Classes are those of the last two bytes of tokens.
-The first factor is a softmax over the classes, the second a chain of two-way softmaxes down the class's tree, in which
-each side of a fork has about half of the counts. Both have hashed n-gram and skip features of the four tokens before,
-by the tokens themselves (whether the dictionary has these or not) and by their classes; a fork's share of the counts is
-its bias, so without features a token has its share. Tokens outside a dictionary of bounded size are one leaf of their
-class, inside which a token's chance is its smoothed count, met in a join.
+P(token | history) = P(group | history) * P(token | group, history). Tokens have a class by their last two bytes, and
+every CLASSES / GROUPS classes are a group. The first factor is a softmax over the groups, the second a chain of two-way
+softmaxes down the group's tree, in which each side of a fork has about half of the counts. Both have hashed n-gram and
+skip features of the four tokens before, by the tokens themselves (whether the dictionary has these or not) and by their
+classes; a fork's share of the counts is its bias, so without features a token has its share. Tokens outside a dictionary
+of bounded size are one leaf of their class, inside which a token's chance is its smoothed count, met in a join.
 
 Counts cover every training document, and so do the gradient steps: every position of every training text gives one,
 the texts being dealt over the rounds; tasks take steps on theirs, and the tasks' weights are averaged between rounds, by
-what each task has seen of a feature. Tables grow with the counted vocabulary. Texts are scored in sparse numpy batches.
+what each task has seen of a feature. Tables grow with the counted vocabulary, up to MOST_TIMES their least size, and
+tasks with the tables, so that moving the weights costs no more than reading the texts. Texts are scored in sparse numpy
+batches.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +33,19 @@ from loam.llm.hashing import chunks, mix
 
 #: The end of a text, as a token; no word is empty.
 END = b""
-CLASSES = 64
+CLASSES, GROUPS = 64, 32
 #: In histories, what stands before a text: no token's code, and a class of its own.
 BEFORE = 1 << 27
 HISTORY = 4
 #: Tokens, at most, whose counts every task holds; the most frequent ones.
 DICTIONARY = 1 << 17
-#: Weights of forks, for few tokens; rows of class weights for each kind of feature of the softmax over classes.
-FORK_WEIGHTS, CLASS_ROWS = 1 << 20, 1 << 12
-#: Examples in a training task, about; every position of a training text is one.
-TASK_EXAMPLES = 1 << 23
-ROUNDS, CLASS_RATE, FORK_RATE = 2, 1.0, 0.15
+#: Weights of forks, for few tokens; rows of group weights for each kind of feature of the softmax over groups.
+FORK_WEIGHTS, GROUP_ROWS = 1 << 20, 1 << 12
+#: How many times as large the tables are for many tokens, at most: 92 MB of weights.
+MOST_TIMES = 16
+#: Examples in a training task, about, and for each weight; every position of a training text is one.
+TASK_EXAMPLES, WEIGHT_EXAMPLES = 1 << 23, 2
+ROUNDS, GROUP_RATE, FORK_RATE = 2, 1.0, 0.15
 BATCH, FLUSH = 2048, 400_000
 
 
@@ -82,11 +87,18 @@ def _code_outside(token: bytes) -> int:
     return -1 - ((zlib.crc32(token) & ((1 << 24) - 1)) * CLASSES + class_of(token))
 
 
+class _Ids(dict):
+    """Ranks of the dictionary's tokens; those of other tokens are negative codes, which are worked out, not kept."""
+
+    def __missing__(self, token: bytes) -> int:
+        return _code_outside(token)
+
+
 @dataclass(frozen=True)
 class Model:
     """ids: dictionary tokens by rank. Leaves are the dictionary's tokens by rank, and then the others of each class."""
 
-    ids: dict[bytes, int]
+    ids: _Ids
     counts: np.ndarray  # by rank
     outside: np.ndarray  # n + number of tokens + 1 of the tokens outside the dictionary, by class
     n: int
@@ -97,21 +109,21 @@ class Model:
 
     def codes(self, tokens: list[bytes]) -> np.ndarray:
         """Ranks of tokens; outside the dictionary their negative codes."""
-        codes = np.fromiter((self.ids.get(t, -1) for t in tokens), "i4", len(tokens))
-        for i in np.flatnonzero(codes < 0).tolist():
-            codes[i] = _code_outside(tokens[i])
-        return codes
+        return np.fromiter(map(self.ids.__getitem__, tokens), "i4", len(tokens))
 
     def leaves(self, codes: np.ndarray) -> np.ndarray:
-        return np.where(codes >= 0, codes, len(self.ids) + (-1 - codes) % CLASSES)
+        leaves = codes.copy()
+        other = codes < 0
+        leaves[other] = len(self.ids) + (-1 - codes[other]) % CLASSES
+        return leaves
 
 
-def _trees(classes: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Trees over the leaves of each class, halving their mass: where each leaf's path begins (one more place at the end),
+def _trees(groups: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trees over the leaves of each group, halving their mass: where each leaf's path begins (one more place at the end),
     the forks and sides (0 or 1) of the paths, and the logarithm of side 1's mass over side 0's for each fork."""
-    order = np.lexsort((-mass, classes))
+    order = np.lexsort((-mass, groups))
     total = np.concatenate(([0.0], np.cumsum(mass[order])))
-    edges = np.flatnonzero(np.diff(classes[order])) + 1
+    edges = np.flatnonzero(np.diff(groups[order])) + 1
     low, high = np.concatenate(([0], edges)), np.concatenate((edges, [len(order)]))
     leaf, fork, side, bias = [], [], [], []
     n = 0
@@ -160,99 +172,111 @@ def _vocabulary(counts: DataFrame) -> Model:
 def model_of(tokens: list[bytes], counts: np.ndarray, outside: np.ndarray, n: int, v: int) -> Model:
     """The model before any step, of dictionary tokens by falling count."""
     classes = np.concatenate((np.array([class_of(t) for t in tokens], "i4"), np.arange(CLASSES, dtype="i4")))
-    return Model({t: i for i, t in enumerate(tokens)}, counts, outside, n, v, classes, _trees(classes, np.concatenate((counts, outside))))
+    return Model(_Ids((t, i) for i, t in enumerate(tokens)), counts, outside, n, v, classes, _trees(classes % GROUPS, np.concatenate((counts, outside))))
 
 
 class _Weights:
-    """The weights: class biases, rows of class weights by kind of feature, and the forks'; and how they are used."""
+    """The weights: group biases, rows of group weights by kind of feature, and the forks'; and how they are used."""
 
     KINDS = 3
 
     def __init__(self, model: Model, weights: np.ndarray) -> None:
         self.model, self.weights = model, weights
-        self.rows = CLASS_ROWS * _times(model)
-        self.bias, flat, self.forks = np.split(weights, [CLASSES, CLASSES + self.KINDS * self.rows * CLASSES])
-        self.table = flat.reshape(-1, CLASSES)
-        self.starts, self.fork, self.side, self.fork_bias = model.forks
+        self.rows = GROUP_ROWS * _times(model)
+        self.bias, flat, self.forks = np.split(weights, [GROUPS, GROUPS + self.KINDS * self.rows * GROUPS])
+        self.table = flat.reshape(-1, GROUPS)
+        self.groups = model.classes % GROUPS
+        self.starts, fork, side, bias = model.forks
+        # of each fork on each leaf's path: the sign of the side to take, the bias towards it, and what its places mix in
+        self.sign = 2 * side.astype("f4") - 1
+        self.path_bias = self.sign * bias[fork]
+        self.salt = mix(fork.astype("u8") + np.uint64(1 << 41)).astype("u4")
+        self.shift = np.uint32(33 - len(self.forks).bit_length())
 
     def _context(self, history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of what features look at, for classes and for forks: a row for each kind."""
-        codes = history.astype("i8")
-        classes = np.where(codes == BEFORE, CLASSES, self.model.classes[np.minimum(self.model.leaves(codes), len(self.model.classes) - 1)]).astype("u8")
-        codes = codes.astype("u8")
-        c1, c2, c3, c4 = classes.T
-        near = [codes[:, 0], c1 * np.uint64(128) + c2, c3 * np.uint64(128) + c4]
-        far = [codes[:, 0], mix(codes[:, 0] * np.uint64(3) + np.uint64(1)) + codes[:, 1]]
+        """Rows of the group weights, and hashes of what the forks' features look at: one for each kind."""
+        codes = history.T.astype("i8")
+        c1, c2, c3, c4 = np.where(codes == BEFORE, CLASSES, self.model.classes[np.minimum(self.model.leaves(codes), len(self.model.classes) - 1)]).astype("u8")
+        codes = codes[:2].astype("u8")
+        near = [codes[0], c1 * np.uint64(128) + c2, c3 * np.uint64(128) + c4]
+        far = [codes[0], mix(codes[0] * np.uint64(3) + np.uint64(1)) + codes[1]]
         salted = lambda parts, kind: [mix(x + (np.uint64(k + kind) << np.uint64(40))) for k, x in enumerate(parts)]
-        return np.stack(salted(near, 1)), np.stack(salted(far, 11))
+        rows = (np.stack(salted(near, 1)) % np.uint64(self.rows)).astype("i8") + np.arange(self.KINDS)[:, None] * self.rows
+        return rows, np.stack(salted(far, 11)).astype("u4")
 
-    def _class_logs(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = (near % np.uint64(self.rows)).astype("i8") + np.arange(self.KINDS)[:, None] * self.rows
+    def _group_logs(self, rows: np.ndarray) -> np.ndarray:
         z = self.table[rows[0]]
         for r in rows[1:]:
             z += self.table[r]
         z += self.bias
         z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z, rows
+        return z
 
-    def _paths(self, leaves: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _paths(self, leaves: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the forks on the leaves' paths: the example, the signed logit, the sign, and the places of their weights."""
-        sizes = self.starts[leaves + 1] - self.starts[leaves]
+        starts = self.starts[leaves]
+        sizes = self.starts[leaves + 1] - starts
         owner = np.repeat(np.arange(len(leaves)), sizes)
-        at = np.arange(len(owner)) + (self.starts[leaves] - (np.cumsum(sizes) - sizes))[owner]
-        fork = self.fork[at]
-        places = far[:, owner]
-        places += fork.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
-        places *= np.uint64(0xD1342543DE82EF95)
-        places = (places >> np.uint64(65 - len(self.forks).bit_length())).astype("i8")
-        sign = (2 * self.side[at] - 1).astype("f4")
-        return owner, sign * (self.fork_bias[fork] + self.forks[places].sum(axis=0)), sign, places, sizes
+        at = np.arange(len(owner)) + (starts - (np.cumsum(sizes) - sizes))[owner]
+        salt, sign = self.salt[at], self.sign[at]
+        places = []
+        for hashes in far:
+            place = hashes[owner] ^ salt
+            place *= np.uint32(0x9E3779B1)
+            places.append((place >> self.shift).astype("i8"))
+        z = self.forks[places[0]]
+        for p in places[1:]:
+            z += self.forks[p]
+        z *= sign
+        z += self.path_bias[at]
+        return owner, z, sign, places
 
     def log_likelihood(self, history: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """Natural logarithm of each leaf's chance."""
         out = np.zeros(len(leaves))
         for a in range(0, len(leaves), BATCH):
             own = slice(a, a + BATCH)
-            near, far = self._context(history[own])
-            logs, _ = self._class_logs(near)
-            owner, z, _, _, _ = self._paths(leaves[own], far)
+            rows, far = self._context(history[own])
+            logs = self._group_logs(rows)
+            owner, z, _, _ = self._paths(leaves[own], far)
             n = len(logs)
-            out[own] = logs[np.arange(n), self.model.classes[leaves[own]]] - np.bincount(owner, np.logaddexp(0, -z), n)
+            lost = np.log1p(np.exp(-np.abs(z))) - np.minimum(z, 0)
+            out[own] = logs[np.arange(n), self.groups[leaves[own]]] - np.bincount(owner, lost, n)
         return out
 
     def step(self, history: np.ndarray, leaves: np.ndarray, seen_rows: np.ndarray, seen_forks: np.ndarray) -> None:
         """One gradient step for some examples; rates fall with the squared gradients that are summed up by row and by fork's weight."""
-        near, far = self._context(history)
-        logs, rows = self._class_logs(near)
-        g = -np.exp(logs)
-        g[np.arange(len(leaves)), self.model.classes[leaves]] += 1
+        rows, far = self._context(history)
+        g = -np.exp(self._group_logs(rows))
+        g[np.arange(len(leaves)), self.groups[leaves]] += 1
         self.bias += 0.002 * g.sum(axis=0)
         own, number = np.unique(rows.ravel(), return_inverse=True)
         # bincount adds rows up several times faster than reduceat or add.at
-        places = (number[:, None] * CLASSES + np.arange(CLASSES)).ravel()
-        sums = np.bincount(places, np.tile(g, (self.KINDS, 1)).ravel(), len(own) * CLASSES).reshape(-1, CLASSES).astype("f4")
+        places = (number[:, None] * GROUPS + np.arange(GROUPS)).ravel()
+        sums = np.bincount(places, np.tile(g, (self.KINDS, 1)).ravel(), len(own) * GROUPS).reshape(-1, GROUPS).astype("f4")
         seen_rows[own] += (sums * sums).sum(axis=1)
-        self.table[own] += sums * (CLASS_RATE / np.sqrt(1 + seen_rows[own]))[:, None]
-        _, z, sign, places, _ = self._paths(leaves, far)
+        self.table[own] += sums * (GROUP_RATE / np.sqrt(1 + seen_rows[own]))[:, None]
+        _, z, sign, places = self._paths(leaves, far)
         g = sign / (1 + np.exp(np.minimum(z, 30)))
+        squares, g = g * g, FORK_RATE * g
         for p in places:
-            np.add.at(seen_forks, p, g * g)
-            np.add.at(self.forks, p, FORK_RATE * g / np.sqrt(np.float32(0.1) + seen_forks[p]))
+            np.add.at(seen_forks, p, squares)
+            np.add.at(self.forks, p, g / np.sqrt(np.float32(0.1) + seen_forks[p]))
 
 
 def _times(model: Model) -> int:
-    """How often the features' tables are as large as for few tokens: as the root of all tokens counted."""
+    """How often the features' tables are as large as for few tokens: as the root of all distinct tokens, MOST_TIMES at most."""
     times = 1
-    while times * times << 18 < model.v:
+    while times < MOST_TIMES and times * times << 18 < model.v:
         times *= 2
     return times
 
 
 def _start(model: Model) -> np.ndarray:
     """Weights under which tokens have their share of the counts."""
-    mass = np.bincount(model.classes, np.concatenate((model.counts, model.outside)), CLASSES)
-    rest = np.zeros(_Weights.KINDS * CLASS_ROWS * _times(model) * CLASSES + FORK_WEIGHTS * _times(model))
+    mass = np.bincount(model.classes % GROUPS, np.concatenate((model.counts, model.outside)), GROUPS)
+    rest = np.zeros(_Weights.KINDS * GROUP_ROWS * _times(model) * GROUPS + FORK_WEIGHTS * _times(model))
     return np.concatenate((np.log(np.maximum(mass, 1e-6)), rest)).astype("f4")
 
 
@@ -283,7 +307,8 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([sizes.astype("<i4").tobytes()], pa.binary()), pa.array([codes.astype("<i4").tobytes()], pa.binary())], ["sizes", "codes"])
 
     rows = docs.filter(~is_held_out()).select(F.col("text").cast("binary")).mapInArrow(examples, "sizes binary, codes binary")
-    dealt = written(rows.repartition(max(1, model.n // TASK_EXAMPLES)), "maxent-examples")
+    start = _start(model)
+    dealt = written(rows.repartition(max(1, model.n // max(TASK_EXAMPLES, WEIGHT_EXAMPLES * len(start)))), "maxent-examples")
 
     def local_pass(weights: np.ndarray, rows: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
         model = shared.value
@@ -297,9 +322,8 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
             for a in range(0, len(codes), BATCH):
                 at = order[a : a + BATCH]
                 own.step(history[at], leaves[at], seen_rows, seen_forks)
-        return weights, np.concatenate((np.full(CLASSES, rows.num_rows), np.repeat(seen_rows, CLASSES), seen_forks))
+        return weights, np.concatenate((np.full(GROUPS, rows.num_rows), np.repeat(seen_rows, GROUPS), seen_forks))
 
-    start = _start(model)
     weights = train_averaged(dealt, start, local_pass, ROUNDS, 1) if model.n else start
     return replace(model, weights=weights)
 
@@ -339,7 +363,7 @@ def score(docs: DataFrame) -> DataFrame:
         for part, texts in chunks(batches):
             tokens, times, digests = [], [], []
             for text, digest in zip(texts, part.column(1).to_pylist(), strict=True):
-                found = Counter(t for t in tokens_of(text) if t not in ids)
+                found = Counter(filterfalse(ids.__contains__, tokens_of(text)))
                 if found:
                     # a row of its own tells how many rows have this text; no word holds a line break
                     tokens += [b"\n" + digest, *found]
