@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, chat, fertility, maxent, mixing, ordinal, parity, pii, substring, topk
+from loam.llm import alignment, bpe, chat, fertility, maxent, mixing, ordinal, packed, parity, phrases, pii, substring, topk
 from loam.llm.common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -63,10 +64,23 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_MODEL, digest=True)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed.pack(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op2_maxent_lm, op3_pii, op4_substring_dedup, op5_byte_bpe, op6_ordinal_quality, op7_exact_topk, op8_mixing, op9_tokeniser_fertility, op10_parity_join)
+    found = (op1_chat_formatting, op2_maxent_lm, op3_pii, op4_substring_dedup, op5_byte_bpe, op6_ordinal_quality, op7_exact_topk, op8_mixing, op9_tokeniser_fertility, op10_parity_join, op11_tokenizer_alignment, op12_phrase_collocations, op13_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op7_exact_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op7_exact_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE, "op12_phrase_collocations": phrases.ORACLE}
