@@ -52,7 +52,7 @@ def test_whole_table(spark):
 
 @pytest.mark.parametrize("length", [1, 7, 1024])
 def test_odd_texts_and_sequences(spark, length):
-    texts = ODD if length > 1 else [None, "a b", ""]
+    texts = ODD if length > 7 else [None, "a b", "", "c d e f g h i j k l m"]
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id bigint, text string, start int").repartition(3)
     by_doc = {i: library_ids(t) for i, t in enumerate(texts)}
     pieces = packed.pack(docs, BYTE_VOCABULARY, length).cache()
@@ -61,10 +61,13 @@ def test_odd_texts_and_sequences(spark, length):
         assert list(struct.unpack(f"<{len(ids)}I", r["ids"])) == ids
     held = packed.sequences(pieces, length).collect()
     assert sum(r["n_ids"] for r in held) == sum(map(len, by_doc.values()))
+    by_sequence = {}
+    for p in sorted(rows, key=lambda p: p["offset"]):
+        by_sequence.setdefault(p["sequence_id"], []).append(p)
     for r in held:
         full = 4 * r["n_ids"] if r["n_ids"] & (r["n_ids"] - 1) == 0 else 4 * length
         assert len(r["ids"]) == full and sum(r["lengths"]) == r["n_ids"]
-        own = sorted((p for p in rows if p["sequence_id"] == r["sequence_id"]), key=lambda p: p["offset"])
+        own = by_sequence[r["sequence_id"]]
         assert r["doc_ids"] == [p["doc_id"] for p in own]
         assert bytes(r["ids"][: 4 * r["n_ids"]]) == b"".join(p["ids"] for p in own) and not any(r["ids"][4 * r["n_ids"] :])
 
