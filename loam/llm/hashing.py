@@ -2,7 +2,8 @@
 
 A word's hash adds up its pieces of eight bytes, each mixed with a salt of its own, so no pattern inside a word (as
 those known to defeat power sums) makes two words meet; long words go through xxhash. Windows are hashed by doubling:
-that of 2w words mixes those of its two halves. Lanes have salts of their own throughout.
+that of 2w words mixes those of its two halves. Lanes have salts of their own throughout. Where unlike words must not
+meet, the salts come from a secret that the driver draws for a run, as words that meet can be found for known salts.
 """
 
 from __future__ import annotations
@@ -35,13 +36,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A row of salts for each lane: for a word's length and pieces, and for windows by the bits of their width.
-_SALTS = mix(np.arange(1, 129, dtype="u8") * _ODD).reshape(2, 64)
 
+def salts_of(secret: int) -> np.ndarray:
+    """A row of salts for each lane: for a word's length and pieces, and for windows by the bits of their width."""
+    start = mix(np.array([secret], "u8"))
+    return mix(mix(np.arange(1, 129, dtype="u8") * _ODD + start) ^ start).reshape(2, 64) if secret else mix(np.arange(1, 129, dtype="u8") * _ODD).reshape(2, 64)
 
-def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+
+_SALTS = salts_of(0)
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int, salts: np.ndarray) -> np.ndarray:
     """Hashes of raw[start:end] for each start and end; raw goes on for eight bytes at least after the last word."""
-    salts, sizes = _SALTS[lane], ends - starts
+    sizes = ends - starts
     pieces = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     found = mix(sizes.astype("u8") + salts[0])
     own = np.arange(len(starts))
@@ -52,7 +59,7 @@ def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: in
         if not len(own):
             break
     for i in own.tolist():
-        found[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), lane + 1)
+        found[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), int(salts[40]))
     return mix(found)
 
 
@@ -64,11 +71,12 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    salts: np.ndarray
     lanes: dict[int, np.ndarray] = field(default_factory=dict)
 
     def hashes(self, lane: int = 0) -> np.ndarray:
         if lane not in self.lanes:
-            self.lanes[lane] = _word_hashes(self.raw, self.starts, self.ends, lane)
+            self.lanes[lane] = _word_hashes(self.raw, self.starts, self.ends, lane, self.salts[lane])
         return self.lanes[lane]
 
     def windows(self, size: int, lane: int = 0) -> np.ndarray:
@@ -81,16 +89,16 @@ class Words:
         while covered < size:
             if size & width:
                 part = level[covered:]
-                so_far = part if so_far is None else mix(so_far[: len(part)] * _ODD + part + _SALTS[lane, 32 + width.bit_length()])
+                so_far = part if so_far is None else mix(so_far[: len(part)] * _ODD + part + self.salts[lane, 32 + width.bit_length()])
                 covered += width
             if covered < size:
-                level = mix(level[:-width] * _ODD + level[width:] + _SALTS[lane, 8 + width.bit_length()])
+                level = mix(level[:-width] * _ODD + level[width:] + self.salts[lane, 8 + width.bit_length()])
                 width *= 2
         found[: n - size + 1] = so_far[: n - size + 1]
         return found
 
 
-def words_of(texts: list[bytes], lower: bool = False) -> Words:
+def words_of(texts: list[bytes], lower: bool = False, secret: int = 0) -> Words:
     raw = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n" * 9, "u1")
     if lower:
         raw = _LOWER[raw]
@@ -98,7 +106,7 @@ def words_of(texts: list[bytes], lower: bool = False) -> Words:
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
     offsets = np.cumsum(np.fromiter((len(t) + 1 for t in texts), "i8", len(texts))) + 1
-    return Words(raw, starts, ends, np.searchsorted(starts, np.concatenate(([1], offsets))))
+    return Words(raw, starts, ends, np.searchsorted(starts, np.concatenate(([1], offsets))), salts_of(secret) if secret else _SALTS)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

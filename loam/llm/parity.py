@@ -11,10 +11,15 @@ Keys' least and greatest texts come from a map-side aggregation, and only texts
 on. Every key's texts are compared with the key's least text first. Components of those links settle nearly all keys
 (a group of near copies needs one star, not all pairs); what is left of a key is compared in bounded tiles, over
 unlike components only, by the Hamming distance of narrow parity sketches. Candidates are verified by their real words.
+
+Texts of the same words are one node, named by a keyed BLAKE2 digest of those words. Hashes and digests are made with a
+secret that the driver draws for each run, so no texts can be made for which hashes meet and words do not.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +44,9 @@ _BLOCK, _CELL = np.uint64(0x9FB21C651E98DF25), 0xC2B2AE3D27D4EB4F
 _FIRST_BLOCKS = 64
 
 
-def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes], secret: int, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: of all its words, if they are fewer than a shingle."""
-    words: Words = words_of(texts, lower=True)
+    words: Words = words_of(texts, lower=True, secret=secret)
     windows = words.windows(size)
     for first, end in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if end - first >= size:
@@ -87,13 +92,17 @@ def block_keys(shingles: np.ndarray, common: np.ndarray, percent: int) -> list[n
     return found
 
 
-def node_of(shingles: np.ndarray) -> bytes:
-    """Names a set: 128 bits."""
-    return xxhash.xxh3_128_digest(shingles.tobytes())
+def key_of(secret: int) -> bytes:
+    return secret.to_bytes(16, "little")
+
+
+def node_of(text: bytes, secret: int) -> bytes:
+    """Names a text's words, in lower case and in order: 128 bits."""
+    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16, key=key_of(secret)).digest()
 
 
 def short_of(node: bytes) -> int:
-    """The first 64 bits of a node's name: enough to find candidates by; sets that share them all become candidates."""
+    """The first 64 bits of a node's name: enough to find candidates by; nodes that share them all become candidates."""
     return int.from_bytes(node[:8], "big", signed=True)
 
 
@@ -111,13 +120,13 @@ def folded(sketch: bytes, n_bytes: int) -> np.ndarray:
     return words
 
 
-def _common_shingles(docs: DataFrame) -> np.ndarray:
+def _common_shingles(docs: DataFrame, secret: int) -> np.ndarray:
     """Shingles that many documents of a bounded sample hold; at most COMMON_MOST of them."""
     share = min(1.0, ORDER_SAMPLE / max(1, docs.count()))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches):
-            sets = list(shingle_sets(texts))
+            sets = list(shingle_sets(texts, secret))
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view("i8"))], ["shingle"])
 
@@ -127,7 +136,7 @@ def _common_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["shingle"] for r in rows], "i8").view("u8"))
 
 
-def _keys(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+def _keys(docs: DataFrame, common: np.ndarray, percent: int, secret: int) -> DataFrame:
     """key and node (its short name) of every text: see block_keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -135,8 +144,8 @@ def _keys(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
         common = shared.value
         for _, texts in chunks(batches):
             keys, nodes, sizes, seen = [], [], [], set()
-            for shingles in shingle_sets(texts):
-                if len(shingles) and (node := short_of(node_of(shingles))) not in seen:
+            for text, shingles in zip(texts, shingle_sets(texts, secret), strict=True):
+                if len(shingles) and (node := short_of(node_of(text, secret))) not in seen:
                     seen.add(node)
                     own = block_keys(shingles, common, percent)
                     keys += own
@@ -148,7 +157,7 @@ def _keys(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "key bigint, node bigint")
 
 
-def _sketched(docs: DataFrame, common: np.ndarray, wanted: Bits, percent: int) -> DataFrame:
+def _sketched(docs: DataFrame, common: np.ndarray, wanted: Bits, percent: int, secret: int) -> DataFrame:
     """doc_id, digest, n_shingles and node of every row; with its short name, sketch and those of its keys that are wanted, if any."""
     shared = docs.sparkSession.sparkContext.broadcast((common, wanted))
 
@@ -156,8 +165,8 @@ def _sketched(docs: DataFrame, common: np.ndarray, wanted: Bits, percent: int) -
         common, wanted = shared.value
         for part, texts in chunks(batches, 1):
             sizes, nodes, shorts, sketches, found = [], [], [], [], []
-            for shingles in shingle_sets(texts):
-                node = node_of(shingles) if len(shingles) else None
+            for text, shingles in zip(texts, shingle_sets(texts, secret), strict=True):
+                node = node_of(text, secret) if len(shingles) else None
                 keys = np.concatenate(block_keys(shingles, common, percent)) if len(shingles) else shingles
                 keys = keys[wanted.has(keys)]
                 sizes.append(len(shingles))
@@ -168,7 +177,7 @@ def _sketched(docs: DataFrame, common: np.ndarray, wanted: Bits, percent: int) -
             arrays = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(shorts, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], ["doc_id", "digest", "n_shingles", "node", "short", "sketch", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), text_digest("text").alias("digest"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), text_digest("text", key_of(secret)).alias("digest"))
     return rows.mapInArrow(tasks, "doc_id bigint, digest binary, n_shingles bigint, node binary, short bigint, sketch binary, keys array<bigint>")
 
 
@@ -177,7 +186,7 @@ def _head(digest: str) -> Column:
     return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("bigint")
 
 
-def _texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, digests: DataFrame, secret: int) -> DataFrame:
     """digest and text of the texts with those digests (and some others), once each."""
     found = written(digests.select(_head("digest").alias("hash")).distinct(), "parity-digests")
     shared = docs.sparkSession.sparkContext.broadcast(bits_of(found, found.count()))
@@ -188,7 +197,7 @@ def _texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
                 heads = np.frombuffer(b"".join(x[:8] for x in batch.column(0).to_pylist()), ">u8").astype("u8")
                 yield batch.filter(pa.array(shared.value.has(heads)))
 
-    return docs.select(text_digest("text").alias("digest"), F.col("text").cast("binary").alias("text")).mapInArrow(tasks, "digest binary, text binary").dropDuplicates(["digest"])
+    return docs.select(text_digest("text", key_of(secret)).alias("digest"), F.col("text").cast("binary").alias("text")).mapInArrow(tasks, "digest binary, text binary").dropDuplicates(["digest"])
 
 
 def similar(one: bytes, two: bytes, percent: int, size: int = SHINGLE) -> bool:
@@ -245,7 +254,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.mapInArrow(tasks, "node binary, other binary, digest_node binary, digest_other binary")
 
 
-def _linked(docs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, near: DataFrame, percent: int, secret: int) -> DataFrame:
     """The linked ones of the written pairs (node, other, digest_node, digest_other), by their words."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +263,7 @@ def _linked(docs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
     digests = near.select(F.explode(F.array("digest_node", "digest_other")).alias("digest"))
-    texts = written(_texts(docs, digests), "parity-texts")
+    texts = written(_texts(docs, digests, secret), "parity-texts")
     both = _with_both(near, texts, "digest", ("text",), ("digest_node", "digest_other"))
     return written(both.select("node", "other", "text_digest_node", "text_digest_other").mapInArrow(tasks, "node binary, other binary"), "parity-links")
 
@@ -323,7 +332,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component_id is their own doc_id. Repeated rows and copies link. Null ids are passed over for a component_id, which
     is null if there is no other. A row out for each row in; an empty table gives no rows; further columns don't matter.
     """
-    rows, labels = _grouped(docs, percent)
+    rows, labels = _grouped(docs, percent, secrets.randbits(64))
     component: Column = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     own = _roots(rows, labels)
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -331,23 +340,23 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, percent: int, secret: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, digest (of the text), n_shingles and node of every row, and the roots of nodes that have links."""
-    common = _common_shingles(docs)
-    ends = _keys(docs, common, percent).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    common = _common_shingles(docs, secret)
+    ends = _keys(docs, common, percent, secret).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     keys = written(ends.filter("lo <> hi"), "parity-keys")
-    rows = written(_sketched(docs, common, bits_of(keys.select(F.col("key").alias("hash")), keys.count()), percent), "parity-rows")
+    rows = written(_sketched(docs, common, bits_of(keys.select(F.col("key").alias("hash")), keys.count()), percent, secret), "parity-rows")
     of_node = [F.first(c).alias(c) for c in ("short", "n_shingles", "sketch", "keys")]
     sets = written(rows.filter("sketch IS NOT NULL").groupBy("node").agg(F.min("digest").alias("digest"), *of_node), "parity-nodes")
     holders = written(sets.select(F.col("short").alias("node"), F.explode("keys").alias("key")), "parity-holders")
     met = written(split_join(holders, keys, "key").filter("node <> lo").select("node", "lo", "hi").distinct(), "parity-met")
     stars = written(met.select("node", F.col("lo").alias("other")).distinct(), "parity-stars")
-    links = _linked(docs, written(_near(stars, sets, percent), "parity-near"), percent)
+    links = _linked(docs, written(_near(stars, sets, percent), "parity-near"), percent, secret)
     labels = components(links)
     for every in (False, True):
         across = written(_across(met, sets, labels, percent, every), "parity-near")
         if not across.isEmpty():
-            links = links.unionByName(_linked(docs, across, percent))
+            links = links.unionByName(_linked(docs, across, percent, secret))
             labels = components(links)
     return rows.select("doc_id", "digest", "n_shingles", "node"), labels
 
@@ -364,14 +373,15 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Of rows that share that id, the one with the least digest of its text stays, and of equal ones any one. Ids that
     are null come last. Rows without shingles (null or blank texts) all stay.
     """
-    rows, labels = _grouped(docs.select("doc_id", "text"), percent)
+    secret = secrets.randbits(64)
+    rows, labels = _grouped(docs.select("doc_id", "text"), percent, secret)
     rooted = rows.filter("node IS NOT NULL").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     each = rooted.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n_rows"))
     best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n_rows")).alias("best"))
     blank = rows.filter("node IS NULL").select(id_key("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.lit(1).cast("bigint").alias("__n")).distinct()
     winners = best.select(id_key("best.doc_id").alias("__id"), F.col("best.digest").alias("__digest"), F.col("best.n_rows").alias("__n")).unionByName(blank)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"__own_id": id_key("doc_id"), "__own_digest": text_digest("text")})
+    keyed = docs.withColumns({"__own_id": id_key("doc_id"), "__own_digest": text_digest("text", key_of(secret))})
     kept = keyed.join(winners, (F.col("__own_id") == F.col("__id")) & (F.col("__own_digest") == F.col("__digest")))
     repeated = kept.filter("__n > 1").dropDuplicates(["__own_id", "__own_digest"])
     return kept.filter("__n = 1").select(*columns).unionByName(repeated.select(*columns))

@@ -4,7 +4,7 @@ Every window of words picks a minimiser, the least of the short runs of words in
 ones. Partitions count the minimisers of their documents into count-min sketches, which are merged; a count there is
 never below the number of documents with any window that picks the minimiser, so it overestimates that of the window's
 own documents too. A second pass groups exactly the windows whose minimiser is estimated to be in two documents or more,
-by 96 bits of two hashes with words and windows salted apart. Collisions in the sketch let more windows through and lose
+by 96 bits of two hashes with words and windows salted apart by a secret of the run. Collisions in the sketch let more windows through and lose
 none. A third pass takes only the windows of groups that hold two documents, and cuts.
 
 The sketch has eight counters for each minimiser that the corpus may have, by its bytes, and 2 * MOST_COUNTERS bits at
@@ -13,6 +13,7 @@ most; fuller ones filter less, and what they let through is still judged exactly
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +66,7 @@ def counters_for(docs: DataFrame, window: int) -> int:
     return counters
 
 
-def repeated_minimisers(docs: DataFrame, window: int = WINDOW) -> list[np.ndarray]:
+def repeated_minimisers(docs: DataFrame, window: int = WINDOW, secret: int = 0) -> list[np.ndarray]:
     """For each row of the merged sketch, a bitmap of the counters that reach two."""
     counters = counters_for(docs, window)
     size = counters // BLOCKS
@@ -88,7 +89,7 @@ def repeated_minimisers(docs: DataFrame, window: int = WINDOW) -> list[np.ndarra
 
         total = 0
         for _, texts in chunks(batches):
-            words = words_of(texts)
+            words = words_of(texts, secret=secret)
             at, text = _starts(words, window)
             least = _minimisers(words, window)[at]
             first = np.ones(len(at), bool)
@@ -121,7 +122,7 @@ def repeated_minimisers(docs: DataFrame, window: int = WINDOW) -> list[np.ndarra
     return found
 
 
-def _repeated_windows(docs: DataFrame, sketch: list[np.ndarray], window: int, known: Bits | None = None) -> DataFrame:
+def _repeated_windows(docs: DataFrame, sketch: list[np.ndarray], window: int, secret: int, known: Bits | None = None) -> DataFrame:
     """a and b (hash), doc_id, own (hash of the row) and at (the first word) of each different window of a text that may be repeated.
 
     With `known`, only those whose a it has.
@@ -131,7 +132,7 @@ def _repeated_windows(docs: DataFrame, sketch: list[np.ndarray], window: int, kn
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = shared.value
         for part, texts in chunks(batches, 1):
-            words = words_of(texts)
+            words = words_of(texts, secret=secret)
             at, text = _starts(words, window)
             least = _minimisers(words, window)[at]
             maybe = np.ones(len(at), bool)
@@ -166,12 +167,13 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     all others, and rows of it take nothing from each other. Repeated rows share their id, so they are treated alike.
     A row out for each row in; an empty table gives no rows; further columns don't matter.
     """
-    sketch = repeated_minimisers(docs, window)
+    secret = secrets.randbits(64)
+    sketch = repeated_minimisers(docs, window, secret)
     holders = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max(F.col("doc_id").isNull()).alias("no_id")]
-    groups = _repeated_windows(docs, sketch, window).groupBy("a", "b").agg(*holders).filter("first_id < last_id OR (no_id AND first_id IS NOT NULL)")
+    groups = _repeated_windows(docs, sketch, window, secret).groupBy("a", "b").agg(*holders).filter("first_id < last_id OR (no_id AND first_id IS NOT NULL)")
     repeated = written(groups.select("a", F.col("b").alias("b_group"), "first_id"), "substring-groups")
     known = bits_of(repeated.select(F.col("a").alias("hash")), repeated.count())
-    windows = written(_repeated_windows(docs, sketch, window, known), "substring-windows")
+    windows = written(_repeated_windows(docs, sketch, window, secret, known), "substring-windows")
     gone = split_join(windows, repeated, "a").filter("b = b_group AND (doc_id IS NULL OR doc_id > first_id)")
     places = gone.groupBy(id_key("doc_id").alias("__id"), "own").agg(F.sort_array(F.collect_set("at")).alias("places"))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), id_key("doc_id").alias("__own_id"), _own().alias("__own"))
@@ -179,7 +181,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, 1):
-            words = words_of(texts)
+            words = words_of(texts, secret=secret)
             hashes = words.windows(window)
             n_words, n_removed, kept = [], [], []
             for text, first, end, places in zip(texts, words.first[:-1].tolist(), words.first[1:].tolist(), part.column(2), strict=True):

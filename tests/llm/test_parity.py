@@ -86,7 +86,7 @@ def test_sketch_distance_never_exceeds_the_symmetric_difference():
     import numpy as np
 
     for n in (10, 700, 3000):
-        one, two = (next(parity.shingle_sets([" ".join(f"w{i + d * (i % 9 == 0)}" for i in range(n + 300 * d)).encode()])) for d in (0, 1))
+        one, two = (next(parity.shingle_sets([" ".join(f"w{i + d * (i % 9 == 0)}" for i in range(n + 300 * d)).encode()], 0)) for d in (0, 1))
         far = parity._hamming(parity.parity_sketch(one), parity.parity_sketch(two))
         assert 0 < far <= len(np.setxor1d(one, two))
 
@@ -117,3 +117,28 @@ def test_verification_counts_words_themselves():
     for a, b in (("a b c d e f", "a b c d e f g"), ("x", "x"), ("x", "y"), ("a b c d e", "A B C D E"), ("a a a a a a a a", "a a a a a"), ("a b", "a b c d e f")):
         one, two = shingles(a), shingles(b)
         assert parity.similar(a.encode(), b.encode(), 75) == (100 * len(one & two) >= 75 * len(one | two))
+
+
+#: Two words that meet for salts without a secret.
+MEETING = ("alpha123beta4567", "4fc6kt9ta~4g8(;9")
+
+
+def test_words_whose_public_hashes_meet_are_told_apart(spark):
+    one, two = (next(parity.shingle_sets([w.encode()], 0)) for w in MEETING)
+    other_one, other_two = (next(parity.shingle_sets([w.encode()], 77)) for w in MEETING)
+    assert one.tolist() == two.tolist() and other_one.tolist() != other_two.tolist()
+    tails = ["", " b c d e", " " + " ".join(f"t{i}" for i in range(30))]
+    rows = [(10 * k + i, word + tail) for k, tail in enumerate(tails) for i, word in enumerate(MEETING)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_force(rows)
+    assert found(parity.jaccard_components(docs)) == want
+    kept = sorted(r["doc_id"] for r in parity.one_of_each_group(docs).collect())
+    assert kept == sorted({c for _, _, c in want}) and {0, 1, 10, 11} <= set(kept)
+
+
+def test_same_shingles_in_another_order_link(spark):
+    turn = " ".join("abcdefgh" * 3)
+    rows = [(1, turn), (2, turn[2:] + " a"), (3, turn[4:] + " a b"), (4, "z y x w v u")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(parity.jaccard_components(docs)) == brute_force(rows)
+    assert {c for _, _, c in brute_force(rows)} == {1, 4}
