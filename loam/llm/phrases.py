@@ -31,7 +31,7 @@ LEAST = 10
 INSIDE_PERCENT = 50
 TOP = 2000
 #: Words of a shard, about; it holds whole documents.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 19
 NO_LANG = "und"
 _SEED = 42
 _BREAK = b"."
@@ -55,8 +55,8 @@ class Numbers(dict):
         return found
 
     def of(self, text: bytes) -> np.ndarray:
-        found = np.fromiter(map(self.__getitem__, pieces_of(text)), "i8")
-        return np.append(found[found >= 0], 0)
+        found = np.fromiter(map(self.__getitem__, pieces_of(text)), "i4")
+        return np.append(found[found >= 0], np.int32(0))
 
     def words(self) -> pa.Array:
         return pa.array(list(self)[1:], pa.binary())
@@ -79,14 +79,14 @@ class Automaton:
     @classmethod
     def of(cls, words: np.ndarray, depth: int) -> Automaton:
         self = cls(words, [], [], [], [])
-        suffix = np.where(words > 0, 0, -1)  # the class of the empty phrase, whose endpos set is every word
+        suffix = np.where(words > 0, 0, -1).astype("i4")  # the class of the empty phrase, whose endpos set is every word
         for d in range(depth):
-            before = np.concatenate((np.zeros(d, "i8"), words[: len(words) - d]))
+            before = np.concatenate((np.zeros(d, "i4"), words[: len(words) - d]))
             places = np.flatnonzero((suffix >= 0) & (before > 0))
-            key = suffix[places] * (int(words.max(initial=0)) + 1) + before[places]
+            key = suffix[places].astype("i8") * (int(words.max(initial=0)) + 1) + before[places]
             order = np.argsort(key, kind="stable")
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), np.diff(key[order]) != 0)))
-            number = np.full(len(words), -1, "i8")
+            number = np.full(len(words), -1, "i4")
             number[places[order]] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
             self.at.append(number)
             self.count.append(np.diff(np.append(first, len(key))))
