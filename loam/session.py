@@ -30,12 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share; one of our own only in local sessions."""
+    sc = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+    return folder or "file://" + tempfile.mkdtemp(prefix="loam-checkpoint-")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage by files in the folder that spark.checkpoint.dir names; one of our own only in local sessions."""
+    """df cut off from its lineage by files in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="loam-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
