@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json as parser
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of objects and arrays that leaves goes down.
-LEVELS = 8
-
 
 def canonical(text: Column) -> Column:
     """JSON with sorted keys and no blanks; null for what is no JSON."""
@@ -29,23 +30,48 @@ def merged(base: Column, more: Column) -> Column:
     return F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), F.coalesce(more, F.create_map().cast("map<string,string>")))
 
 
+class _Number(str):
+    """A number as it is written."""
+
+    __slots__ = ()
+
+
+def _leaves_of(text: str | None) -> list[tuple[str, str | None]]:
+    """(path, value) of the leaves of one JSON text, in order."""
+    try:
+        top = parser.loads(text or "", parse_int=_Number, parse_float=_Number, parse_constant=_Number)
+    except ValueError:
+        return [("", text)]
+    found, open_ = [], [("", top)]
+    while open_:
+        path, value = open_.pop()
+        inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+        below = [(f"{path}.{name}" if path else str(name), x) for name, x in inner]
+        if below:
+            open_.extend(reversed(below))
+        else:
+            found.append((path, value if value is None or isinstance(value, str) else parser.dumps(value)))
+    return found
+
+
 def leaves(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """key, path (names and places from 0, joined by dots) and value of every leaf of JSON texts, LEVELS deep.
+    """key, path (names and places from 0, joined by dots) and value (as text) of every leaf of JSON texts, however deep.
 
-    One explode a level. Empty objects and arrays are leaves; a string that looks like an object counts as one.
+    Empty objects and arrays are leaves; strings stay strings, whatever they hold; numbers are as they are written. A text
+    that is no JSON, or null, is one leaf without a path. One scan; a text nested deeper than the parser goes (some
+    thousand levels) is an error.
     """
-    level = rows.select(key, F.lit("").alias("path"), F.col(json).alias("value"))
-    found = None
-    for depth in range(LEVELS):
-        inner = lambda mark: F.col("value").rlike(rf"^\s*\{mark}\s*[^\s\]}}]")
-        is_object, is_array = inner("{"), inner("[")
-        done = level.filter(~F.coalesce(is_object | is_array, F.lit(False)))
-        found = done if found is None else found.unionByName(done)
-        below = F.when(is_object, F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))).otherwise(
-            F.transform(F.from_json("value", "array<string>"), lambda x, i: F.struct(i.cast("string").alias("name"), x.alias("value")))
-        )
-        level = level.filter(is_object | is_array).select(key, "path", F.explode(below).alias("e")).select(key, F.when(F.col("path") == "", F.col("e.name")).otherwise(F.concat_ws(".", "path", "e.name")).alias("path"), F.col("e.value").alias("value"))
-    return found.unionByName(level)
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = [_leaves_of(x) for x in part.column(1).to_pylist()]
+                keys = part.column(0).take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
+                flat = [x for own in found for x in own]
+                yield pa.RecordBatch.from_arrays([keys, pa.array([p for p, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.string())], [key, "path", "value"])
+
+    return rows.select(key, F.col(json).cast("string").alias("json")).mapInArrow(tasks, f"`{key}` {rows.schema[key].dataType.simpleString()}, path string, value string")
 
 
 def match_fraction(one: DataFrame, two: DataFrame, key: str) -> DataFrame:

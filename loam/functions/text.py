@@ -6,10 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def focus_tokens(text: Column, stop: list[str], limit: int) -> Column:
-    """The first distinct lower-case ASCII words of three letters or more that are no stop-words; none: an empty array."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop))), 1, limit)
+def focus_tokens(text: Column, stop: list[str], limit: int = 12) -> Column:
+    """The first distinct lower-case tokens (ASCII letters, digits and _ . / % -, without . and _ at their ends) that are no stop-words."""
+    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_./%-]+)"), F.lit(1))
+    bare = F.transform(found, lambda w: F.regexp_replace(w, "^[._]+|[._]+$", ""))
+    return F.slice(F.array_distinct(F.filter(bare, lambda w: (w != "") & ~w.isin(*stop))), 1, limit)
+
+
+def lead_words(text: Column, stop: list[str], limit: int = 8) -> Column:
+    """The first words (an ASCII letter, then letters, digits, _ ' -) of three characters or more that are no stop-words; repeats stay."""
+    found = F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9_'-]*)"), F.lit(1))
+    return F.slice(F.filter(F.transform(found, F.lower), lambda w: (F.length(w) > 2) & ~w.isin(*stop)), 1, limit)
 
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
@@ -36,8 +43,8 @@ def slug(text: Column) -> Column:
 
 
 def normalised_tokens(text: Column, least: int = 3) -> Column:
-    """Lower-case words of ASCII letters and digits, of `least` characters or more."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) >= least)
+    """Lower-case words of letters and digits, of any script, of `least` characters or more."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: F.length(w) >= least)
 
 
 def shared_count(one: Column, two: Column) -> Column:
@@ -62,16 +69,17 @@ def common_depth(one: Column, two: Column) -> Column:
 
 
 def numeric_fragments(text: Column) -> Column:
-    """Numbers in a text, with a decimal part, a denominator or a percent sign if they have one; commas inside don't count."""
-    return F.regexp_extract_all(F.regexp_replace(text, "([0-9]),([0-9])", "$1$2"), F.lit(r"([0-9]+(?:\.[0-9]+)?(?:/[0-9]+)?%?)"), F.lit(1))
+    """Numbers in a text that don't follow a letter, with sign, decimal part or denominator, and a percent sign or x behind; all commas go first."""
+    return F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(r"(?<![A-Za-z])([-+]?(?:[0-9]+\.[0-9]+|[0-9]+/[0-9]+|[0-9]+)(?:%|x)?)"), F.lit(1))
 
 
 def fragment_value(fragment: Column) -> Column:
-    """A fragment as a number: fractions divided (null by zero), percents as hundredths."""
-    plain = F.regexp_replace(fragment, "%", "")
+    """A fragment as a number: x behind it dropped, fractions divided (null by zero), percents as hundredths."""
+    bare = F.regexp_replace(F.trim(fragment), "[xX]+$", "")
+    plain = F.regexp_replace(bare, "%$", "")
     parts = F.split(plain, "/")
-    value = F.when(F.size(parts) == 2, F.try_divide(F.element_at(parts, 1).cast("double"), F.try_element_at(parts, F.lit(2)).cast("double"))).otherwise(plain.cast("double"))
-    return F.when(F.endswith(fragment, F.lit("%")), value / 100).otherwise(value)
+    value = F.when(F.size(parts) == 2, F.try_divide(F.element_at(parts, 1).try_cast("double"), F.try_element_at(parts, F.lit(2)).try_cast("double"))).otherwise(plain.try_cast("double"))
+    return F.when(F.endswith(bare, F.lit("%")), value / 100).otherwise(value)
 
 
 def header_fields(record: Column) -> Column:

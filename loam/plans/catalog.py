@@ -18,7 +18,7 @@ LANGUAGES = ["en", "de"]
 TAGS = [("apache", "apache"), ("licensed", "licence"), ("idiot", "insult"), ("the", "english")]
 KEYWORDS = ["the", "tion", "ung", "que"]
 STOP = ["the", "and", "that"]
-PERMUTED, BATCH, RANKS = 10_000, 64, 4
+BATCH, RANKS = 64, 4
 
 _UNIT = "(('0x' || substr(sha256('{seed}:' || {id}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
 _SPLIT = f"(CASE WHEN {_UNIT.format(seed=0, id='doc_id')} < 0.1 THEN 'val' ELSE 'train' END)"
@@ -63,13 +63,21 @@ def _user_steps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("previous", last)
 
 
+def _batches(docs: DataFrame) -> DataFrame:
+    """The documents of an epoch by batch, rank and slot: items are documents in order of doc_id, placed by ranges of ids."""
+    placed = packing.numbered(docs.select("doc_id"), "doc_id").cache()
+    n = placed.count()
+    epoch = packing.batches(placed.select(F.col("number").alias("position")), n, BATCH, RANKS)
+    return epoch.join(placed, F.col("item") == F.col("number")).select("doc_id", "batch_id", "rank", "slot")
+
+
 def _correct() -> Column:
     return F.col("value") > 5
 
 
 _STEPS = ("conv_id", "turn", "role")
 _REPEATS = "SELECT CAST(doc_id AS VARCHAR) AS base, {s} AS split, unnest(range(CASE WHEN {s} = 'train' THEN 3 ELSE 1 END)) AS i FROM documents".format(s=_SPLIT)
-_M, _S = packing.permutation(PERMUTED, 0, 0)
+_DIGEST = packing.epoch_numbers(0, 0)
 
 #: name: (query, SQL or None)
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -140,8 +148,11 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         SELECT doc_id, w AS "window", w * 1024 AS start, least(2049, n - w * 1024) AS n_real, 2049 - least(2049, n - w * 1024) AS n_pad FROM e""",
     ),
     "permuted_batches": (
-        lambda s, d: packing.batches(s.range(PERMUTED).withColumnRenamed("id", "position"), PERMUTED, BATCH, RANKS),
-        f"SELECT i AS position, (i * {_M} + {_S}) % {PERMUTED} AS item, i // {BATCH} AS batch_id, (i % {BATCH}) // {BATCH // RANKS} AS rank, i % {BATCH // RANKS} AS slot FROM range({PERMUTED}) AS t(i)",
+        lambda s, d: _batches(_docs(s, d)),
+        f"""WITH c AS (SELECT count(*) AS n FROM documents), m AS (SELECT n, {_DIGEST[0]}::UBIGINT % n AS m0, CAST({_DIGEST[1]}::UBIGINT % n AS BIGINT) AS s FROM c),
+        k AS (SELECT n, s, list_filter(list_transform(range(0, n), lambda i: CASE WHEN m0 = 0 THEN i + 1 ELSE (m0::BIGINT - 1 + i) % n + 1 END), lambda x: gcd(x, n) = 1)[1] AS m FROM m),
+        i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), j AS (SELECT (i * m + s) % n AS item, i FROM i, k)
+        SELECT doc_id, j.i // {BATCH} AS batch_id, (j.i % {BATCH}) // {BATCH // RANKS} AS rank, j.i % {BATCH // RANKS} AS slot FROM j JOIN i ON i.i = j.item""",
     ),
     "bigram_nll": (
         lambda s, d: packing.bigram_nll(_docs(s, d), 0.5),
@@ -250,8 +261,14 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "shortest_hops_whole": (lambda s, d: graphs.shortest_all(_whole_edges(s, d), 2), None),
     "neighbour_lists_whole": (lambda s, d: graphs.neighbours(_whole_edges(s, d)), None),
     "focus_tokens": (
-        lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.focus_tokens(F.col("text"), STOP, 8), " ").alias("tokens")),
-        "SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(t, lambda x: x IS NOT NULL)[1:8], lambda x: x), ' '), '') AS tokens FROM (SELECT doc_id, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(a) AS w, generate_subscripts(a, 1) AS i) WHERE w NOT IN ('the', 'and', 'that') GROUP BY w)) AS t FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS a FROM documents))",
+        lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.focus_tokens(F.col("text"), STOP), " ").alias("tokens")),
+        """WITH a AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9_./%-]+'), lambda x: trim(x, '._')) AS a FROM documents), w AS (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM a),
+        f AS (SELECT doc_id, w, min(i) AS i FROM w WHERE w <> '' AND w NOT IN ('the', 'and', 'that') GROUP BY 1, 2), k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f) WHERE k <= 12 GROUP BY 1)
+        SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN k USING (doc_id)""",
+    ),
+    "lead_words": (
+        lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.lead_words(F.col("text"), STOP), " ").alias("words")),
+        """SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]*'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'that'))[1:8], ' ') AS words FROM documents""",
     ),
     "keyword_tags": (
         lambda s, d: _docs(s, d).select("doc_id", texts.keyword_hits(F.col("text"), KEYWORDS).alias("hits"), texts.first_tag(F.col("text"), TAGS, "none").alias("tag")),

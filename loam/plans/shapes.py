@@ -138,11 +138,11 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     ),
     "normalised_tokens": (
         lambda s, d: table(s, d, "documents").select("doc_id", _long(F.size(texts.normalised_tokens(F.col("text")))).alias("n"), F.array_join(F.slice(texts.normalised_tokens(F.col("text")), 1, 5), " ").alias("first")),
-        "SELECT doc_id, len(w) AS n, array_to_string(w[1:5], ' ') AS first FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3) AS w FROM documents)",
+        "SELECT doc_id, len(w) AS n, array_to_string(w[1:5], ' ') AS first FROM (SELECT doc_id, list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) >= 3) AS w FROM documents)",
     ),
     "shared_tokens": (
         lambda s, d: _shared(table(s, d, "documents")),
-        """WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS w FROM documents)
+        """WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) >= 3)) AS w FROM documents)
         SELECT a.doc_id, len(list_intersect(a.w, b.w)) AS shared FROM t AS a JOIN t AS b ON b.doc_id = a.doc_id + 1""",
     ),
     "path_prefixes": (
@@ -156,8 +156,9 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     ),
     "numeric_fragments": (
         lambda s, d: _numbers(table(s, d, "documents")),
-        r"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([0-9]),([0-9])', '\1\2', 'g'), '[0-9]+(?:\.[0-9]+)?(?:/[0-9]+)?%?') AS f FROM documents),
-        u AS (SELECT doc_id, unnest(f) AS x FROM t), v AS (SELECT doc_id, CASE WHEN contains(x, '/') THEN split_part(replace(x, '%', ''), '/', 1)::DOUBLE / nullif(split_part(replace(x, '%', ''), '/', 2)::DOUBLE, 0) ELSE replace(x, '%', '')::DOUBLE END / CASE WHEN x LIKE '%\%' ESCAPE '\' THEN 100 ELSE 1 END AS value FROM u)
+        # a number may not follow a letter, so the sign or digit behind one goes first
+        r"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(replace(text, ',', ''), '([A-Za-z])[-+0-9]', '\1 ', 'g'), '[-+]?(?:[0-9]+\.[0-9]+|[0-9]+/[0-9]+|[0-9]+)(?:%|x)?') AS f FROM documents),
+        u AS (SELECT doc_id, rtrim(unnest(f), 'x') AS x FROM t), v AS (SELECT doc_id, CASE WHEN contains(x, '/') THEN split_part(rtrim(x, '%'), '/', 1)::DOUBLE / nullif(split_part(rtrim(x, '%'), '/', 2)::DOUBLE, 0) ELSE rtrim(x, '%')::DOUBLE END / CASE WHEN x LIKE '%\%' ESCAPE '\' THEN 100 ELSE 1 END AS value FROM u)
         SELECT doc_id, count(*) AS n, coalesce(round(max(value) FILTER (value < 1e9), 4), -1) AS most FROM v GROUP BY 1""",
     ),
     "record_headers": (

@@ -38,9 +38,11 @@ def test_malformed_lines_are_errors(spark, tmp_path):
 def test_text_columns_and_choices(spark, tmp_path):
     rows = spark.createDataFrame([(None, "b", 1), ("a", "c", 2)], "content string, document string, n int")
     assert [r["t"] for r in rows.select(records.text_column(rows).alias("t")).collect()] == ["b", "a"]
+    assert [r["t"] for r in rows.select(records.text_column(rows, "document").alias("t")).collect()] == ["b", "c"]
+    assert [r["t"] for r in rows.select(records.text_column(rows, "content").alias("t")).collect()] == ["b", "a"]
     with pytest.raises(KeyError):
         records.text_column(rows.select("n"))
-    (tmp_path / "anatomy_test.csv").write_text('"What, and ""why""?",a,b,c,d,B\n')
+    (tmp_path / "anatomy_test.csv").write_text('"What, and ""why""?",a, b ,c,d, b\nshort,a,b\nbad,a,b,c,d,E\n')
     (row,) = records.read_choices(spark, str(tmp_path)).collect()
     assert (row["question"], row["choices"], row["answer"], row["subject"]) == ('What, and "why"?', ["a", "b", "c", "d"], "B", "anatomy")
 
@@ -63,13 +65,54 @@ def test_packed_rows_by_hand(spark):
     assert row["inputs"][1:] == row["targets"][:-1]
 
 
-def test_manifest_problems():
-    manifest = {"seq_len": 2048, "tokenizer": {"kind": "k", "task": "generic", "vocab_size": 8192}, "splits": {"train": {"document_count": 1000, "sequence_count": 250000}}, "document_manifest_corpus_counts": {"train": {"scope": 1200, "scope_reasoning": 2400, "web": 500000}}}
-    check = lambda m, *required: records.manifest_problems(m, ("k", "generic"), 2048, 100_000, list(required))
-    assert check(manifest, "scope", "web", "scope_*") == []
-    del manifest["document_manifest_corpus_counts"]["train"]["web"]
-    assert check(manifest, "scope", "web") == ["Missing required train corpora: web"]
-    assert len(check({}, "web")) == 4
+def test_manifest_problems(spark):
+    """A manifest made from what packing says of a table."""
+    rows = packing.summary(spark.createDataFrame([(i, "x" * 90) for i in range(400)], "doc_id bigint, text string"), 32).collect()
+    own = {"seq_len": 32, "tokenizer": {"kind": "byte", "task": "text"}, "splits": {r["split"]: {"sequence_count": r["n_sequences"]} for r in rows}, "document_manifest_corpus_counts": {"train": {"notes": 300, "notes_long": 60, "letters": 0}}}
+    n = own["splits"]["train"]["sequence_count"]
+    check = lambda least, *corpora, m=own: records.manifest_problems(m, ("byte", "text"), 32, least, list(corpora))
+    assert n > 900 and check(n, "notes", "notes_*") == []
+    assert check(n, "notes", "letters") == ["Missing required train corpora: letters"]
+    assert check(n + 1, "notes") == [f"Only {n} train sequences, not {n + 1}"]
+    assert len(check(1, "notes", m=own | {"seq_len": 64, "tokenizer": {"kind": "byte", "task": "code"}})) == 2
+    assert len(check(1, "notes", m={})) == 4
+
+
+def test_counters_of_one_pass(spark, tmp_path):
+    rows = [("web" if i % 3 else "mail", ["train", "val"][i % 2], f"d{i}", None, None, "x", "é" * i, i, 2 * i, {0: "", 1: None, 2: "bench"}[i % 4 % 3]) for i in range(40)]
+    docs = spark.createDataFrame(rows, records.DOCUMENT).repartition(3)
+    found = records.write_counted(docs, str(tmp_path / "out"), {"corpus": ["web"], "target": ["train", "val"], "band": ["pgen"]})
+    target = lambda r: f"holdout-{r[9]}" if r[9] else r[1]
+    sums = lambda keep: {"n_docs": len(keep), "n_chars": sum(r[7] for r in keep), "n_bytes": sum(r[8] for r in keep)}
+    assert found["all"][""] == sums(rows)
+    assert found["corpus"] == {"web": sums([r for r in rows if r[0] == "web"]), "other": sums([r for r in rows if r[0] != "web"])}
+    assert found["target"] == {t: sums([r for r in rows if (target(r) if target(r) in ("train", "val") else "other") == t]) for t in ("train", "val", "other")}
+    assert found["band"] == {"pgen": sums([]), "other": sums(rows)}
+    assert sorted(os.listdir(tmp_path / "out"))[-3:] == ["target=holdout-bench", "target=train", "target=val"]
+    assert records.read_documents(spark, str(tmp_path / "out")).count() == 40
+
+
+def test_metadata_is_read(spark, tmp_path):
+    (tmp_path / "rows.jsonl").write_text('{"doc_id": "1", "text": "a", "metadata": {"url": "u", "n": [1, 2]}}\n{"doc_id": "2", "text": "b"}\n')
+    rows = records.read_documents(spark, str(tmp_path / "rows.jsonl"))
+    found = {r["doc_id"]: (r["u"], r["n"]) for r in rows.select("doc_id", F.try_variant_get("metadata", "$.url", "string").alias("u"), F.try_variant_get("metadata", "$.n[1]", "int").alias("n")).collect()}
+    assert found == {"1": ("u", 2), "2": (None, None)}
+
+
+def test_words_and_numbers_by_rule(spark):
+    rows = spark.createDataFrame([("Größe über alles niño, x2 日本語テ 12", "._v1.2_ the A/B 50% the a/b -x- __"), (None, None)], "t string, u string")
+    r = rows.select(texts.normalised_tokens(F.col("t")).alias("n"), texts.focus_tokens(F.col("u"), ["the"]).alias("f"), texts.lead_words(F.lit("The don't Don't ab x1_y-z the"), ["the"], 3).alias("l")).collect()
+    assert r[0]["n"] == ["größe", "über", "alles", "niño", "日本語テ"] and r[0]["f"] == ["v1.2", "a/b", "50%", "-x-"] and r[0]["l"] == ["don't", "don't", "x1_y-z"]
+    assert r[1]["n"] is None and r[1]["f"] is None
+    found = spark.range(1).select(F.transform(texts.numeric_fragments(F.lit("-1,200.5 a12 b-5 3x4 +1/2% 7x, 8/0")), lambda x: F.struct(x.alias("x"), texts.fragment_value(x).alias("v"))).alias("n")).first()["n"]
+    assert [(x["x"], x["v"]) for x in found] == [("-1200.5", -1200.5), ("2", 2.0), ("5", 5.0), ("3x", 3.0), ("+1/2%", 0.005), ("7x", 7.0), ("8/0", None)]
+
+
+def test_leaves_of_any_depth(spark):
+    deep = "[" * 60 + "1.50" + "]" * 60
+    rows = spark.createDataFrame([(1, '{"a": "{\\"b\\": 1}", "t": true, "e": []}'), (2, deep), (3, "[1e400, -0]")], "id bigint, j string")
+    found = {(r["id"], r["path"], r["value"]) for r in nested.leaves(rows, "id", "j").collect()}
+    assert found == {(1, "a", '{"b": 1}'), (1, "t", "true"), (1, "e", "[]"), (2, ".".join("0" * 60), "1.50"), (3, "0", "1e400"), (3, "1", "-0")}
 
 
 PAGES = [
