@@ -92,8 +92,8 @@ def padded(grid: Column, side: int = 30) -> Column:
 
 
 def filled_cells(grid: Column, background: Column) -> Column:
-    """Places (row * 64 + column) that don't have the background's colour."""
-    return F.flatten(F.transform(places(height(grid)), lambda r: F.transform(F.filter(places(width(grid)), lambda c: cell(grid, r, c) != background), lambda c: r * 64 + c)))
+    """Places (row * 2^32 + column) that don't have the background's colour."""
+    return F.flatten(F.transform(places(height(grid)), lambda r: F.transform(F.filter(places(width(grid)), lambda c: cell(grid, r, c) != background), lambda c: r.cast("bigint") * (1 << 32) + c)))
 
 
 def overlap(one: Column, two: Column) -> Column:

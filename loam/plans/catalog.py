@@ -29,6 +29,9 @@ _LINKS = """SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM
   UNION SELECT 's' || s_suppkey, 'r' || n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
 
 
+_WHOLE = "SELECT 2 * l_partkey AS source, 2 * l_suppkey + 1 AS target FROM lineitem UNION SELECT 2 * l_suppkey + 1, 2 * l_partkey FROM lineitem"
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -57,6 +60,15 @@ def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(F.explode(F.array(F.struct(F.col("part").alias("source"), F.col("supplier").alias("target")), F.struct(F.col("supplier").alias("source"), F.col("part").alias("target")))).alias("e")).select("e.*")
 
 
+def _shortcuts(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers to their parts, parts to their orders, and other suppliers to these orders at once."""
+    name = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
+    lines = table(spark, d, "lineitem")
+    part, order = name("p", F.col("l_partkey")), name("o", F.col("l_orderkey"))
+    ends = [(name("s", F.col("l_suppkey")), part), (part, order), (name("s", F.expr("l_suppkey div 2 + 1")), order)]
+    return lines.select(F.explode(F.array(*[F.struct(a.alias("source"), b.alias("target")) for a, b in ends])).alias("e")).select("e.*").distinct()
+
+
 def _user_steps(spark: SparkSession, d: str) -> DataFrame:
     """events, each with the user's event_type before it."""
     last = F.lag("event_type", 1, "<start>").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -255,11 +267,22 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         lambda s, d: graphs.neighbours(_links(s, d)),
         f"WITH e AS ({_LINKS}) SELECT source, count(*) AS degree, string_agg(CAST(target AS VARCHAR), ',' ORDER BY target) AS targets FROM e GROUP BY 1",
     ),
-    # parts and suppliers that share a line, both ways; no SQL, as paths grow with the square of the degrees: brute force on small edges
+    # parts and suppliers that share a line, both ways; two-hop paths grow with the square of the degrees, so these have no SQL
     "two_hop_paths_whole": (lambda s, d: graphs.two_hops(_whole_edges(s, d)), None),
-    "reduced_edges_whole": (lambda s, d: graphs.reduced(_whole_edges(s, d)), None),
-    "shortest_hops_whole": (lambda s, d: graphs.shortest_all(_whole_edges(s, d), 2), None),
-    "neighbour_lists_whole": (lambda s, d: graphs.neighbours(_whole_edges(s, d)), None),
+    "reduced_edges_whole": (
+        lambda s, d: graphs.reduced(_shortcuts(s, d)),
+        """WITH e AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem UNION SELECT 's' || (l_suppkey // 2 + 1), 'o' || l_orderkey FROM lineitem)
+        SELECT source, target FROM e ANTI JOIN (SELECT DISTINCT a.source, b.target FROM e AS a JOIN e AS b ON a.target = b.source) AS p USING (source, target)""",
+    ),
+    "shortest_hops_whole": (
+        lambda s, d: graphs.shortest_all(_whole_edges(s, d), 2),
+        f"""WITH RECURSIVE e AS ({_WHOLE}), r(node, hops) USING KEY (node) AS (SELECT 2::BIGINT, 0 UNION SELECT e.target, r.hops + 1 FROM r JOIN e ON e.source = r.node WHERE e.target NOT IN (SELECT node FROM recurring.r))
+        SELECT node, CAST(hops AS INTEGER) AS hops FROM r""",
+    ),
+    "neighbour_lists_whole": (
+        lambda s, d: graphs.neighbours(_whole_edges(s, d)),
+        f"SELECT source, count(*) AS degree, string_agg(CAST(target AS VARCHAR), ',' ORDER BY target) AS targets FROM ({_WHOLE}) GROUP BY 1",
+    ),
     "focus_tokens": (
         lambda s, d: _docs(s, d).select("doc_id", F.array_join(texts.focus_tokens(F.col("text"), STOP), " ").alias("tokens")),
         """WITH a AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9_./%-]+'), lambda x: trim(x, '._')) AS a FROM documents), w AS (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM a),

@@ -139,11 +139,21 @@ def test_percentiles_of_odd_groups(spark):
     assert (found["b"]["p95"], found["b"]["median"], found[None]["median"], found["c"]["n"], found["c"]["p95"]) == (3.0, 3.0, 1.5, 0, None)
 
 
+def test_percentiles_with_an_outlier(spark):
+    values = [i / 20_000 for i in range(20_000)] + [1e12]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    (r,) = evals.percentiles(df, "g", "v").collect()
+    assert (r["p95_rank"], r["median"], r["most"]) == (values[19_000], values[10_000], 1e12)
+    # what is put in order is a small part of the group
+    cuts = df.agg(F.percentile_approx("v", [p + d / evals.ACCURACY for p in (0.5, 0.95) for d in (-2, 2)], evals.ACCURACY).alias("c")).first()["c"]
+    assert max(sum(a <= v < b for v in values) for a, b in ((cuts[0], cuts[1]), (cuts[2], cuts[3]))) < 40
+
+
 def test_choice_letters_grids_and_json(spark):
     rows = spark.createDataFrame([("1", 4), ("b", 4), ("9", 4), (" D ", 4), (None, 4)], "a string, n int")
     assert [r["x"] for r in rows.select(texts.choice_letter(F.col("a"), 4).alias("x")).collect()] == ["B", "B", None, "D", None]
     grid = spark.createDataFrame([([[1]], [[1, 0]])], "a array<array<int>>, b array<array<int>>")
-    r = grid.select(grids.similarity(F.col("a"), F.col("b")).alias("s"), grids.overlap(grids.filled_cells(F.col("a"), F.lit(1)), F.array().cast("array<int>")).alias("o"), grids.grid_of_runs(F.array(F.lit("0.1.5.2")), F.lit(1), F.lit(3), F.lit(0)).alias("bad")).first()
+    r = grid.select(grids.similarity(F.col("a"), F.col("b")).alias("s"), grids.overlap(grids.filled_cells(F.col("a"), F.lit(1)), F.array().cast("array<bigint>")).alias("o"), grids.grid_of_runs(F.array(F.lit("0.1.5.2")), F.lit(1), F.lit(3), F.lit(0)).alias("bad")).first()
     assert (r["s"], r["o"], r["bad"]) == (1.0, 1.0, None)
     odd = spark.createDataFrame([(1, '{"b": {}, "a": [1, {"c": null}]}'), (2, "no json"), (3, None)], "id bigint, j string")
     assert {(x["id"], x["path"], x["value"]) for x in nested.leaves(odd, "id", "j").collect()} == {(1, "b", "{}"), (1, "a.0", "1"), (1, "a.1.c", None), (2, "", "no json"), (3, "", None)}
