@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from loam.plans import catalog, scenes, shapes, structure
+from loam.plans import benchmarks, catalog, scenes, shapes, structure
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-CATALOG = catalog.CATALOG | shapes.CATALOG | structure.CATALOG | scenes.CATALOG
+CATALOG = catalog.CATALOG | shapes.CATALOG | structure.CATALOG | scenes.CATALOG | benchmarks.CATALOG
 #: Queries whose rare cases only show on more rows.
 MORE = ("focus_tokens", "numeric_fragments", "score_buckets", "path_prefixes", "p95_stats")
 
