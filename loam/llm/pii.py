@@ -3,8 +3,10 @@
 Around every digit or @ lies a region of tokens. The field scores whole candidate spans of a region by features of the
 span (its shape, length, checksums, the words beside it), and dynamic programming over spans of bounded length chooses
 boundaries and kinds together. Its weights are fitted by gradient steps on regions of a bounded sample whose spans the
-patterns, and those of secrets, mark. What the patterns find always stays; the field's spans are added where they don't
-overlap it.
+patterns, and those of secrets, mark, and on the same regions with made-up entities put in: keys in many contexts,
+telephone numbers without a plus, numbers of persons and accounts, long addresses, and what looks like them but is none,
+as hashes of commits, dates and versions. What the patterns find always stays; the field's spans are added where they
+don't overlap it, if they have LEAST_CHARS characters or more and the field gives them CERTAIN of the probability.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.sql import types as T
 from loam.llm.averaging import BLOCK, train_averaged
 from loam.llm.common import checkpoint
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "id")
 #: Tokens in a span at most; hashed features; documents of the fit's sample, about, and the regions of each that it
 #: sees at most, those of least hash over the whole text. Both bound the fit alone; every region of every text is searched.
 SPAN_TOKENS, SIZE, SAMPLE, REGIONS, LONGEST = 16, 1 << 12, 20_000, 3, 2000
 ROUNDS, EPOCHS, TASKS = 5, 4, 6
+#: Share of the sample's regions that are seen once more with something put in.
+PLANTED = 0.8
 #: Characters that a region reaches beyond its first and last seed, and on to the end of a word.
 BEYOND = 72
 #: Characters in a span that the field considers, at least.
@@ -44,8 +48,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|token)\s?=\s?\"?([A-Za-z0-9]{8,64})(?![A-Za-z0-9])")
-#: Words that secrets follow.
-_MARKS = ("password", "token", "key")
+#: Parts of words that stand before entities, or before what only looks like one, by class.
+_CUES = {
+    "mark": ("pass", "pwd", "token", "key", "secret", "bearer", "auth", "credential", "api"),
+    "hash": ("commit", "sha", "md5", "hash", "checksum", "digest", "revision", "rev", "blob", "etag", "uuid", "build", "version", "isbn"),
+    "call": ("phone", "tel", "call", "fax", "mobile", "dial"),
+    "person": ("ssn", "social", "security", "iban", "account", "passport", "bank"),
+    "host": ("host", "ip", "addr", "server", "ping"),
+}
 _SEED = re.compile("[0-9@]")
 _TOKEN = re.compile(r"[^\W_]+|[^\s\w]|_")
 Span = tuple[str, int, int]
@@ -141,14 +151,22 @@ def _shape(text: str) -> str:
 def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> tuple[int, ...]:
     """Hashed features of the span of tokens i up to j of a region's text."""
     start, end = tokens[i][0], tokens[j - 1][1]
-    before = text[tokens[i - 1][0] : tokens[i - 1][1]].lower() if i else "^"
-    two = text[tokens[i - 2][0] : tokens[i - 2][1]].lower() if i > 1 else "^"
-    before = before[:12] if not before.isalnum() or before in _MARKS else "word"
-    return _span_features(text[start:end], text[max(0, start - 1) : start], before, two[:12] if two in (*_MARKS, "=") else "", text[end : end + 1] or "$")
+    words = [text[a:b].lower() for a, b in tokens[max(0, i - 4) : i]]
+    before = words[-1] if words else "^"
+    two = words[-2] if len(words) > 1 else "^"
+    cue = next(filter(None, map(_cue, reversed(words))), "")
+    before = _cue(before) or ("word" if before.isalnum() else before[:12])
+    return _span_features(text[start:end], text[max(0, start - 1) : start], before, _cue(two) or ("=" if two == "=" else ""), cue, text[end : end + 1] or "$")
+
+
+@lru_cache(1 << 14)
+def _cue(word: str) -> str:
+    """The class of a word that tells what may follow."""
+    return next((name for name, parts in _CUES.items() if any(p in word if len(p) > 3 else word.startswith(p) for p in parts)), "") if word.isalnum() else ""
 
 
 @lru_cache(1 << 16)
-def _span_features(span: str, left: str, before: str, two: str, after: str) -> tuple[int, ...]:
+def _span_features(span: str, left: str, before: str, two: str, cue: str, after: str) -> tuple[int, ...]:
     digits = _digits(span)
     shape, n = _shape(span), len(span)
     plain = span.isalnum()
@@ -160,6 +178,8 @@ def _span_features(span: str, left: str, before: str, two: str, after: str) -> t
         f"digits {min(len(digits), 20)} plain {plain}",
         f"luhn {12 <= len(digits) <= 19 and _luhn(digits)} {shape[:3]}",
         f"before {before} {two} {plain}",
+        f"cue {cue} {plain} {shape[:3]} {len(digits) * 4 // max(1, n)}",
+        f"cue {cue} {lengths if not plain else min(n, 64) // 8}",
         f"edges {_shape(left) or '^'} {_shape(after)} {shape[:2]}",
         f"case {span.isupper()} {span.islower()} {len(digits) * 4 // max(1, n)} {min(n, 48) // 4} {plain}",
     ]
@@ -182,7 +202,7 @@ def _candidates(text: str, tokens: list[tuple[int, int]]) -> tuple[np.ndarray, n
             if seeded and text[s].isalnum() and e - a >= LEAST_CHARS:
                 spans.append((i, j, _features(text, tokens, i, j)))
     if not spans:
-        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros((0, 8), "i8")
+        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros((0, 10), "i8")
     return np.array([s[0] for s in spans]), np.array([s[1] for s in spans]), np.array([s[2] for s in spans])
 
 
@@ -259,6 +279,52 @@ def _varied(text: str, rng: np.random.Generator) -> str | None:
     return text[:a] + text[a:end] + text[b:]
 
 
+_HEX, _BASE62 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: Kinds with forms: # a digit, and {name} what _made makes. The entity stands between the bars. None: no entity.
+_FORMS: dict[str | None, tuple[str, ...]] = {
+    "secret": ("api_key: |{key}|", "apikey=|{key}|", 'key = "|{key}|"', "secret: |{key}|", "Authorization: Bearer |{key}|", "pwd=|{key}|", "credentials |{key}|", "|sk_live_{key}|", "auth |gh_{key}|", "token |{key}|", "passphrase: |{hex}|", "secret = '|{hex}|'"),
+    "phone": ("call |(###) ###-####|", "tel: |###-###-####|", "phone |0## #### ####|", "|(###) ###-####|", "fax |###.###.####|", "mobile |0### #######|"),
+    "id": ("SSN |###-##-####|", "ssn: |###-##-####|", "|###-##-####|", "id number |###-##-####|", "passport |###-##-####|", "IBAN |{cc}## #### #### #### #### ##|", "account |{cc}## #### #### #### #### ####|", "IBAN: |{cc}####################|"),
+    "ip": ("from host |{v6}|", "ping |{v6}|", "address |{v6}|", "server |{v6}|"),
+    None: ("commit {hex}", "sha256 {hex}{hex}", "md5: {hex}", "checksum {hex}", "revision {hex}", "etag {hex}", "hash of {hex}", "blob {hex}", "in commit {hex}", "version #.#.##", "build ####.##.#", "20##-0#-1#", "pages ###-###", "order ########", "$#,###.##", "1#:##:##", "ISBN 978-#-####-####-#", "room ###", "(19##) ##-##", "No. ###.###", "chapter ##.#.#"),
+}
+
+
+def _made(form: str, rng: np.random.Generator) -> tuple[str, tuple[int, int] | None]:
+    """A text of this form, and the entity's place in it, if it has bars."""
+    pick = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+    def part(m: re.Match) -> str:
+        name = m.group()
+        if name == "#":
+            return pick("0123456789", 1)
+        if name == "{cc}":
+            return pick("ABCDEFGHIKLMNOPRST", 2)
+        if name == "{hex}":
+            return pick(_HEX, int(rng.choice([7, 8, 12, 32, 40, 40]))) if "|" not in form else pick(_HEX, int(rng.integers(20, 49)))
+        if name == "{v6}":
+            return ":".join([pick(_HEX, int(rng.integers(2, 5))) for _ in range(int(rng.integers(2, 7)))]) + rng.choice(["::", ":"]) + pick(_HEX, 1) + pick("123456789", 1)
+        return pick(rng.choice([_BASE62, _HEX, _BASE62[26:]]), int(rng.integers(14, 49)))
+
+    text = re.sub(r"#|{\w+}", part, form)
+    if "|" not in text:
+        return text, None
+    a, b = text.index("|"), text.rindex("|") - 1
+    return text.replace("|", ""), (a, b)
+
+
+def _planted(text: str, rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """A region with a made-up entity, or with what only looks like one, between two of its words, and its spans."""
+    kinds = list(_FORMS)
+    kind = kinds[int(rng.choice(len(kinds), p=[0.22, 0.12, 0.2, 0.06, 0.4]))]
+    made, own = _made(str(rng.choice(_FORMS[kind])), rng)
+    gaps = [m.start() for m in re.finditer(" ", text)]
+    at = gaps[int(rng.integers(len(gaps)))] + 1 if gaps else 0
+    whole = f"{text[:at]}{made} {text[at:]}"
+    gold = [s for s in _gold(whole) if s[2] <= at or s[1] >= at + len(made) or own is None and s[0] != "secret"]
+    return whole, sorted([*gold, *([(kind, at + own[0], at + own[1])] if own else [])], key=lambda s: s[1])
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights by kind and feature, fitted on a sample of about `sample` documents. Without regions: all zero."""
     share = min(1.0, sample / max(1, docs.count()))
@@ -278,15 +344,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         weights = w.reshape(len(KINDS), SIZE)
         seen = np.full(weights.shape, 1.0)
         rng = np.random.default_rng(number)
-        texts = rows["region"].to_pylist()
-        texts += [t for t in (_varied(text, rng) for text in texts for _ in range(2)) if t is not None]
+        own = rows["region"].to_pylist()
+        texts = [(t, _gold(t)) for t in own]
+        texts += [(t, _gold(t)) for t in (_varied(text, rng) for text in own for _ in range(2)) if t is not None]
+        texts += [_planted(text, rng) for text in own if rng.random() < PLANTED]
         for k in np.concatenate([rng.permutation(len(texts)) for _ in range(EPOCHS)]):
-            text = texts[k]
+            text, spans = texts[k]
             tokens, first, end, features, scores, _, forward, backward = _chart(weights, text)
             if not len(first):
                 continue
             expected = np.exp(np.minimum(0, forward[first][:, None] + scores + backward[end][:, None] - forward[len(tokens)]))
-            gold = {(a, b): KINDS.index(kind) for kind, a, b in _gold(text)}
+            gold = {(a, b): KINDS.index(kind) for kind, a, b in spans}
             for s, (i, j) in enumerate(zip(first.tolist(), end.tolist(), strict=True)):
                 if (kind := gold.get((tokens[i][0], tokens[j - 1][1]))) is not None:
                     expected[s, kind] -= 1
@@ -298,7 +366,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         return weights.ravel(), np.full(-(-weights.size // BLOCK), len(texts))
 
     start = np.zeros((len(KINDS), SIZE), "f8")
-    start[:, zlib.crc32(b"bias") % SIZE] = -2.0
+    start[:, zlib.crc32(b"bias") % SIZE] = -2.0  # few spans are entities
     return np.asarray(train_averaged(examples, start.ravel(), local_pass, ROUNDS), "f8").reshape(len(KINDS), SIZE)
 
 

@@ -61,7 +61,7 @@ def test_the_field_finds_secrets_and_leaves_plain_numbers(spark):
 def test_nulls_empty_and_clashing_columns(spark):
     import numpy as np
 
-    weights = np.full((5, pii.SIZE), -1.0)
+    weights = np.full((len(pii.KINDS), pii.SIZE), -1.0)
     docs = spark.createDataFrame([(1, None, 3, "a"), (None, "mail x@y.de now", 5, "b"), (1, "", 0, "c")], "doc_id bigint, text string, n_chars bigint, row string")
     assert sorted((str(r["doc_id"]), r["spans"]) for r in pii.find(docs, weights).collect()) == [("1", ""), ("1", ""), ("None", "email:5:11")]
     assert sorted(tuple(map(str, r)) for r in pii.mask(docs, weights).collect()) == [("1", "", "0", "c"), ("1", "None", "None", "a"), ("None", "mail [EMAIL] now", "16", "b")]
@@ -119,3 +119,58 @@ def test_mask_keeps_rows_and_columns(spark):
     assert [r["text"] for r in out.filter("doc_id = 2").collect()] == ["x [EMAIL] y"] * 2
     assert out.filter("doc_id = 1 AND text IS NULL AND row = 'a'").count() == 1
     assert pii.mask(docs.limit(0), pii.fit(docs.limit(0))).collect() == []
+
+
+def test_forms_and_contexts_that_the_fit_has_not_seen(spark):
+    """Keys, numbers of persons and telephone numbers in contexts that _FORMS lacks; and hashes, which stay."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").repartition(8)
+    weights = pii.fit(docs.filter("doc_id % 5 <> 0"), 4000)
+    prose = [r["text"][:300].rsplit(" ", 1)[0] for r in docs.filter("doc_id % 5 = 0 AND length(text) > 400").limit(50).collect()]
+    key = lambda i: hashlib.sha256(f"k{i}".encode()).hexdigest()[: 24 + i % 17]
+    number = lambda i, n: str(int(hashlib.md5(f"n{i}{n}".encode()).hexdigest(), 16))[:n]
+    forms = {
+        "access_token: ": key,
+        "x-api-key: ": key,
+        'client_secret="': key,
+        "Authentication Bearer ": key,
+        "my social security number is ": lambda i: f"{number(i, 3)}-{number(i + 1, 2)}-{number(i + 2, 4)}",
+        "telephone ": lambda i: f"({number(i, 3)}) {number(i + 1, 3)}-{number(i + 2, 4)}",
+        "bank details ": lambda i: f"GB{number(i, 2)} {number(i, 4)} {number(i + 1, 4)} {number(i + 2, 4)} {number(i + 3, 4)} {number(i + 4, 2)}",
+    }
+    for before, make in forms.items():
+        hits = 0
+        for i, p in enumerate(prose):
+            text = f"{p} {before}{make(i)} {p[:60]}"
+            a = text.index(make(i), len(p))
+            hits += any(s == a and e == a + len(make(i)) for _, s, e in pii.all_spans(weights, text)[1])
+        assert hits >= 0.9 * len(prose), (before, hits, len(prose))
+    for before in ("commit ", "see commit ", "the digest ", "at revision "):
+        wrong = sum(any(s < len(text) - 60 and e > len(p) for _, s, e in pii.all_spans(weights, text)[1]) for i, p in enumerate(prose) for text in [f"{p} {before}{hashlib.sha1(str(i).encode()).hexdigest()} {p[:60]}"])
+        assert wrong <= 0.1 * len(prose), (before, wrong, len(prose))
+
+
+def test_the_dynamic_programme_equals_an_enumeration_of_segmentations():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for text in ("tel 555-1234 x", "a1b2c3d4 @ z9y8x7w6", "1234 5678 9012", "word"):
+        weights = rng.normal(size=(len(pii.KINDS), pii.SIZE))
+        tokens, first, end, _, scores, _, forward, backward = pii._chart(weights, text)
+
+        def every(at):
+            """All ways to lay spans with kinds from a token on, with their scores."""
+            if at >= len(tokens):
+                yield (), 0.0
+                return
+            yield from every(at + 1)
+            for s in np.flatnonzero(first == at):
+                for rest, value in every(int(end[s])):
+                    for kind in range(len(pii.KINDS)):
+                        yield ((int(s), kind), *rest), value + scores[s, kind]
+
+        ways = list(every(0))
+        assert np.isclose(forward[-1], np.logaddexp.reduce([v for _, v in ways])) and np.isclose(backward[0], forward[-1])
+        best = max(ways, key=lambda w: w[1])[0]
+        share = {k: np.exp(np.logaddexp.reduce([v for w, v in ways if k in w]) - forward[-1]) for k in best}
+        want = [(pii.KINDS[kind], tokens[first[s]][0], tokens[end[s] - 1][1]) for s, kind in best if share[s, kind] >= pii.CERTAIN]
+        assert pii.decode(weights, text) == want
