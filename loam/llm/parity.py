@@ -101,6 +101,11 @@ def node_of(text: bytes, secret: int) -> bytes:
     return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16, key=key_of(secret)).digest()
 
 
+def digest_of(text: bytes, secret: int) -> bytes:
+    """What text_digest gives of a text under the secret's key."""
+    return hashlib.sha256(key_of(secret) + text).digest()[:16]
+
+
 def short_of(node: bytes) -> int:
     """The first 64 bits of a node's name: enough to find candidates by; nodes that share them all become candidates."""
     return int.from_bytes(node[:8], "big", signed=True)
@@ -174,10 +179,11 @@ def _sketched(docs: DataFrame, common: np.ndarray, wanted: Bits, percent: int, s
                 shorts.append(short_of(node) if len(keys) else None)
                 sketches.append(parity_sketch(shingles) if len(keys) else None)
                 found.append(keys.view("i8") if len(keys) else None)
+            digests = pa.array([digest_of(x, secret) for x in texts], pa.binary())
             arrays = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(shorts, pa.int64()), pa.array(sketches, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], ["doc_id", "digest", "n_shingles", "node", "short", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), digests, *arrays], ["doc_id", "digest", "n_shingles", "node", "short", "sketch", "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), text_digest("text", key_of(secret)).alias("digest"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"))
     return rows.mapInArrow(tasks, "doc_id bigint, digest binary, n_shingles bigint, node binary, short bigint, sketch binary, keys array<bigint>")
 
 
@@ -192,12 +198,13 @@ def _texts(docs: DataFrame, digests: DataFrame, secret: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits_of(found, found.count()))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                heads = np.frombuffer(b"".join(x[:8] for x in batch.column(0).to_pylist()), ">u8").astype("u8")
-                yield batch.filter(pa.array(shared.value.has(heads)))
+        for _, texts in chunks(batches):
+            digests = [digest_of(x, secret) for x in texts]
+            own = np.flatnonzero(shared.value.has(np.frombuffer(b"".join(x[:8] for x in digests), ">u8").astype("u8")))
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in own.tolist()], pa.binary()) for x in (digests, texts)], ["digest", "text"])
 
-    return docs.select(text_digest("text", key_of(secret)).alias("digest"), F.col("text").cast("binary").alias("text")).mapInArrow(tasks, "digest binary, text binary").dropDuplicates(["digest"])
+    return docs.select(F.col("text").cast("binary")).mapInArrow(tasks, "digest binary, text binary").dropDuplicates(["digest"])
 
 
 def similar(one: bytes, two: bytes, percent: int, size: int = SHINGLE) -> bool:
