@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import Bits, bits_of, id_key, split_join, written
+from loam.llm.common import HOT_KEYS, HOT_ROWS, Bits, bits_of, id_key, written
 from loam.llm.hashing import Words, chunks, mix, words_of
 
 WINDOW = 50
@@ -159,6 +159,20 @@ def _own() -> Column:
     return F.xxhash64(F.col("text").cast("binary"))
 
 
+def _met(windows: DataFrame, groups: DataFrame) -> DataFrame:
+    """windows with first_id of their group; groups (a, b, first_id, n: their rows, written) with many rows are split over tasks.
+
+    What groups hold in all tells which are large, so windows are read once and never written. Groups of HOT_ROWS rows or
+    more, and at least one in HOT_KEYS of all, are split: HOT_KEYS groups at most, which is what is broadcast.
+    """
+    bar = max(HOT_ROWS, (groups.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    salts = F.ceil(F.col("n") / bar).cast("int")
+    hot = groups.filter(F.col("n") >= bar).select("a", "b", salts.alias("salts"))
+    dealt = windows.join(F.broadcast(hot), ["a", "b"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "own", "at"), F.col("salts")), F.lit(0)).cast("int"))
+    every = F.when(F.col("n") >= bar, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.drop("salts").join(groups.select("a", "b", "first_id", F.explode(every).alias("salt")), ["a", "b", "salt"])
+
+
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words joined by a space) of every row of docs (doc_id, text).
 
@@ -169,12 +183,11 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     secret = secrets.randbits(64)
     sketch = repeated_minimisers(docs, window, secret)
-    holders = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max(F.col("doc_id").isNull()).alias("no_id")]
+    holders = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.count("*").alias("n")]
     groups = _repeated_windows(docs, sketch, window, secret).groupBy("a", "b").agg(*holders).filter("first_id < last_id OR (no_id AND first_id IS NOT NULL)")
-    repeated = written(groups.select("a", F.col("b").alias("b_group"), "first_id"), "substring-groups")
+    repeated = written(groups.select("a", "b", "first_id", "n"), "substring-groups")
     known = bits_of(repeated.select(F.col("a").alias("hash")), repeated.count())
-    windows = written(_repeated_windows(docs, sketch, window, secret, known), "substring-windows")
-    gone = split_join(windows, repeated, "a").filter("b = b_group AND (doc_id IS NULL OR doc_id > first_id)")
+    gone = _met(_repeated_windows(docs, sketch, window, secret, known), repeated).filter("doc_id IS NULL OR doc_id > first_id")
     places = gone.groupBy(id_key("doc_id").alias("__id"), "own").agg(F.sort_array(F.collect_set("at")).alias("places"))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary"), id_key("doc_id").alias("__own_id"), _own().alias("__own"))
     rows = keyed.join(places, (F.col("__own_id") == F.col("__id")) & (F.col("__own") == F.col("own")), "left").select("doc_id", "text", "places")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from loam.llm import substring
 from loam.llm.queries import op4_substring_dedup
 from loam.llm.substring import cut_repeats
 from loam.session import table
@@ -62,3 +63,10 @@ def test_patterned_words_are_told_apart(spark, length):
     rows = [(1, f"{one} {common}"), (2, f"{two} {common}"), (3, f"{common} {one}"), (4, f"{' '.join([one, two] * 40)}"), (5, f"{' '.join([two, one] * 40)}")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted((tuple(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, r)) for r in cut_repeats(docs).collect()), key=str) == brute_force(rows, 50)
+
+
+def test_large_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_ROWS", 3)
+    rows = [(i, f"q{i} a b c d e f g h z{i % 5}") for i in range(60)] + [(None, "a b c d e f"), (7, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"])) for r in cut_repeats(docs, 4).collect()), key=str) == brute_force(rows, 4)

@@ -1,10 +1,12 @@
 """Byte-level BPE and tokeniser fertility against plain versions."""
 
 import hashlib
+import math
 import re
 import struct
 
 import public_tokenizers
+import sentencepiece
 import tiktoken
 
 from loam.llm import bpe, fertility
@@ -73,3 +75,37 @@ def test_rules_keep_labelled_good_documents(spark):
     joined = op9_tokeniser_fertility(spark, sf).filter("NOT base_failed").join(table(spark, sf, "labels"), "doc_id")
     good = joined.filter("quality = 1 AND toxic = 0")
     assert good.filter("kept").count() >= 0.97 * good.count()
+
+
+def figures(text, lang, rules, bytes_, pieces):
+    """Fertility figures and the verdict of a text that base rules pass, token by token."""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    ids = [i for w in words for i in pieces.encode(w)]
+    n_bytes = sum(len(bytes_.encode_ordinary(" " + w)) for w in words)
+    chars = sum(map(len, words))
+    shares = [ids.count(i) / len(ids) for i in set(ids)]
+    found = chars / len(ids), chars / n_bytes, sum(pieces.is_byte(i) for i in ids) / len(ids), -sum(p * math.log2(p) for p in shares)
+    band = rules.languages.get(lang) or rules.scripts["latin" if sum(c < "ɐ" for c in text if c.isalpha()) * 2 >= sum(c.isalpha() for c in text) else "other"]
+    inside = lambda x, edges: edges[0] <= x <= edges[1]
+    return found, inside(found[0], band.piece_chars) and inside(found[1], band.byte_chars) and found[2] <= band.max_fallback and found[3] >= band.min_entropy
+
+
+def test_figures_and_verdicts_equal_plain_ones(spark):
+    rules = fertility.Rules(PIECE_MODEL, BYTE_RANKS, public_tokenizers.PATTERN)
+    bytes_ = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BYTE_RANKS), special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    texts = {r["doc_id"]: (r["text"], r["lang"]) for r in table(spark, SMALL, "documents").collect() if len(r["text"]) < 5000}
+    prose = max((t for t, lang in texts.values() if lang == "en"), key=len)
+    poor = {-1: (" ".join(f"{w}#*{w[:1]}|$%" for w in prose.split()), "en"), -2: (" ".join(f"xq{i}zj{i * 7919}kw" for i in range(200)), "en"), -3: ("один два три четыре пять " * 1 + " ".join(f"слово{i}" for i in range(60)), None), -4: (" ".join("ab" * (i % 3 + 1) for i in range(80)), "en")}
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in (texts | poor).items()], "doc_id bigint, text string, lang string")
+    checked = 0
+    for r in fertility.apply_rules(docs, rules).collect():
+        text, lang = (texts | poor)[r["doc_id"]]
+        if r["n_words"]:
+            found, good = figures(text, lang, rules, bytes_, pieces)
+            assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(found, (r["piece_chars"], r["byte_chars"], r["fallback_share"], r["token_entropy"]), strict=True))
+            assert r["kept"] == (good and not r["base_failed"])
+            checked += 1
+        if r["doc_id"] in (-1, -2, -4):
+            assert not r["kept"], r
+    assert checked > 50
