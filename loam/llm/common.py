@@ -27,8 +27,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows and bytes of a batch that goes to a task's Python process, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's tasks get whole texts in batches of these sizes at most: what they hold is bounded."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(key, "0") or "0"
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with files in the shared folder, so a lost executor costs no recomputation."""
+    small_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
@@ -57,6 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: later uses don't compute it anew."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_dir(spark)}/loam-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
