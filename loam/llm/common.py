@@ -33,10 +33,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 def small_batches(spark: SparkSession) -> None:
     """From now on the session's tasks get whole texts in batches of these sizes at most: what they hold is bounded."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        held = spark.conf.get(key, "0") or "0"
-        if not held.isdigit() or not 0 < int(held) <= most:
-            spark.conf.set(key, str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
