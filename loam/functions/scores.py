@@ -14,8 +14,13 @@ def bucket(value: Column, edges: list[float], names: list[str]) -> Column:
     return F.when(value.isNotNull(), found)
 
 
+# The edges and names of reward buckets.
+REWARD_EDGES = [0.25, 0.45, 0.65, 0.82]
+REWARD_NAMES = ["lowest", "low", "medium", "high", "highest"]
+
+
 def reward_bucket(score: Column) -> Column:
-    return bucket(score, [0.25, 0.45, 0.65, 0.82], ["lowest", "low", "medium", "high", "highest"])
+    return bucket(score, REWARD_EDGES, REWARD_NAMES)
 
 
 def quartile_bucket(value: Column, most: Column) -> Column:
