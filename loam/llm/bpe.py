@@ -15,6 +15,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -176,6 +177,17 @@ def _packed(ids: list[int]) -> bytes:
     return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+@lru_cache(maxsize=1)
+def _dictionary(block: bytes) -> dict[str, bytes]:
+    """The packed ids of each word of a block (an Arrow stream of word and ids); made once in a process."""
+    folded = pa.ipc.open_stream(block).read_all().combine_chunks()
+    if not folded.num_rows:
+        return {}
+    ids = folded["ids"].combine_chunks()
+    places, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4").tobytes()
+    return {w: flat[4 * a : 4 * b] for w, a, b in zip(folded["word"].to_pylist(), places[:-1].tolist(), places[1:].tolist(), strict=True)}
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, n_tokens, tokens (ids as an array) and ids (little-endian unsigned 32-bit integers) of every whole text of docs.
 
@@ -183,17 +195,20 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
     table gives no rows; further columns don't matter.
     """
     counts = written(count_words(docs, pattern), "words")  # read twice: for the cut and for the words above it
-    folded = fold_merges(frequent(counts, dictionary), ranks).toArrow().combine_chunks()
-    ids = folded["ids"].combine_chunks()
-    places, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4").tobytes()
-    known = {w: flat[4 * a : 4 * b] for w, a, b in zip(folded["word"].to_pylist(), places[:-1].tolist(), places[1:].tolist(), strict=True)}
-    shared = docs.sparkSession.sparkContext.broadcast((known, ranks))
+    folded = fold_merges(frequent(counts, dictionary), ranks).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, folded.schema) as stream:
+        stream.write_table(folded.combine_chunks())
+    # as one block of bytes: the driver holds no object for each word
+    shared = docs.sparkSession.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks))
+    del folded, sink
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        known, ranks = shared.value
+        block, ranks = shared.value
+        known = _dictionary(block)
         rare: dict[str, bytes] = {}
 
         def ids_of(word: str) -> bytes:
