@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 
 import public_tokenizers
+import regex
 import sentencepiece
 import tiktoken
 
@@ -109,3 +111,20 @@ def test_figures_and_verdicts_equal_plain_ones(spark):
         if r["doc_id"] in (-1, -2, -4):
             assert not r["kept"], r
     assert checked > 50
+
+
+def test_matches_by_kinds_of_characters_equal_the_pattern():
+    find, want = bpe.finder(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(" \n\t'  streldvm''ab1²½!-é日 　\x1c𝒳") for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for text in [*texts, "'", " 's", "x's're", "a'll'l", "!'s", "a \n \n b", "a  ", "'t"]:
+        assert find(text) == want(text), text
+    assert bpe.finder("[a-z]+")("ab, cd") == ["ab", "cd"]
+
+
+def test_short_words_merge_as_long_ones(monkeypatch):
+    ranks = bpe.read_ranks(BYTE_RANKS)
+    words = {w.encode() for t in ("aaaaaaaaa banana interoperability's ßü日本語", "x" * 48) for w in t.split()}
+    short = {w: bpe.merge_word(w, ranks) for w in words}
+    monkeypatch.setattr(bpe, "FOLD_BYTES", 0)
+    assert short == {w: bpe.merge_word(w, ranks) for w in words}
