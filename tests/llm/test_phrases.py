@@ -77,3 +77,20 @@ def test_scores_do_not_overflow(spark):
     cut = phrases._cuts(frame, 2).first()
     assert (cut["head"], cut["tail"], cut["a"]) == ("p", "q", a)
     assert spark.range(1).select(phrases.exact_score(*(phrases.F.lit(x) for x in (a, a + 7, a + 9))).alias("s")).first()["s"] == 1000000 * a * a // ((a + 7) * (a + 9))
+
+
+def test_phrase_bits_hold_all_phrases_of_a_level(spark):
+    level = [("en", "a b"), ("en", "b ü"), ("und", "a b"), ("en", "x y z"), ("en", "")]
+    bits = phrases.phrase_bits(spark.createDataFrame(level, "lang string, phrase string"))
+    for lang, phrase in level:
+        own = phrases.joined_hashes(phrases.word_hashes([w], lang) for w in phrase.encode().split(b" "))
+        assert bits.has(own).all()
+    others = phrases.joined_hashes(phrases.word_hashes(w, "en") for w in ([b"b"] * 3, [b"a", b"x", b"y"]))
+    assert not bits.has(others).all()
+
+
+def test_sorting_as_one_number_or_two():
+    for most in (5, 1 << 40, 1 << 62):
+        key, places = np.random.default_rng(most).integers(0, most, 500) // 3 * 3, np.arange(500)
+        order = np.lexsort((places, key))
+        assert all((a == b).all() for a, b in zip(phrases._sorted(key, places), (key[order], places[order]), strict=True))
