@@ -115,8 +115,10 @@ def split_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
     left is read twice, so it should be a written table. A key with HOT_ROWS rows or more, and at least one in HOT_KEYS
     of all, has its rows on the left dealt over salts and its rows on the right repeated for each; there are HOT_KEYS
-    such keys at most, which is what is broadcast.
+    such keys at most, which is what is broadcast. Without any key of HOT_ROWS rows it is a plain join.
     """
+    if left.groupBy(key).count().filter(F.col("count") >= HOT_ROWS).isEmpty():
+        return left.join(right, key)
     bar = max(HOT_ROWS, left.count() // HOT_KEYS)
     hot = left.groupBy(key).count().filter(F.col("count") >= bar).select(F.col(key).alias("__hot"), F.ceil(F.col("count") / bar).cast("int").alias("__salts"))
     salts = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
