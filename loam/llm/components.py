@@ -13,9 +13,9 @@ MOST_ROUNDS = 60
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node that links reach) of every node of links (node, other), of any orderable type.
 
-    Each round links the larger neighbours of a node, then the smaller ones, to its smallest neighbour, until nothing
-    changes: the logarithm of a component's size in rounds, whatever its shape. Minima are combined before they are
-    shuffled, and no node's neighbours are ever collected.
+    Each round links the larger neighbours of a node, then the smaller ones, to its smallest neighbour, until all
+    components are stars: the logarithm of a component's size in rounds, whatever its shape. Minima are combined before
+    they are shuffled, and no node's neighbours are ever collected.
     """
 
     def linked_to_least(edges: DataFrame, larger: bool) -> DataFrame:
@@ -25,19 +25,17 @@ def components(links: DataFrame) -> DataFrame:
         kept = moved if larger else moved.unionByName(least.select(F.col("u").alias("a"), F.col("least").alias("b")))
         return kept.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    def are_stars(edges: DataFrame) -> bool:
+        """Whether every node has one smaller neighbour, which has none, or has no smaller one."""
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
 
     edges = written(links.filter("node <> other").select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), "edges")
-    before = state(edges)
     for _ in range(MOST_ROUNDS):
-        if not before[0]:
+        if are_stars(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         edges = written(linked_to_least(linked_to_least(both, True), False), "edges")
-        if (after := state(edges)) == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

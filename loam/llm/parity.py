@@ -358,13 +358,14 @@ def _grouped(docs: DataFrame, percent: int, secret: int) -> tuple[DataFrame, Dat
     holders = written(sets.select(F.col("short").alias("node"), F.explode("keys").alias("key")), "parity-holders")
     met = written(split_join(holders, keys, "key").filter("node <> lo").select("node", "lo", "hi").distinct(), "parity-met")
     stars = written(met.select("node", F.col("lo").alias("other")).distinct(), "parity-stars")
-    links = _linked(docs, written(_near(stars, sets, percent), "parity-near"), percent, secret)
-    labels = components(links)
+    labels = components(_linked(docs, written(_near(stars, sets, percent), "parity-near"), percent, secret))
     for every in (False, True):
         across = written(_across(met, sets, labels, percent, every), "parity-near")
-        if not across.isEmpty():
-            links = links.unionByName(_linked(docs, across, percent, secret))
-            labels = components(links)
+        if across.isEmpty():  # of unlike components no pair may be linked, so there is none of every pair either
+            break
+        more = _linked(docs, across, percent, secret)
+        if not more.isEmpty():  # the stars of the components so far stand for their links
+            labels = components(more.unionByName(labels.select("node", F.col("root").alias("other"))))
     return rows.select("doc_id", "digest", "n_shingles", "node"), labels
 
 
