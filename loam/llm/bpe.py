@@ -2,9 +2,10 @@
 
 The distinct words (matches of the split pattern) of the corpus are counted, and Spark's higher-order functions fold
 the ranked merges over the byte arrays of the frequent ones, against a literal rank map. That dictionary has a bounded
-number of entries and goes to every task. The words outside it are merged where they occur, by the same rule with a heap:
-folding them in Spark, too, took twice the CPU time that the limits allow (figures in the README). Decoding looks up the
-binary pieces of the ids in a literal array and concatenates them, in Spark.
+number of entries and goes to every task. The words outside it are merged where they occur, by the same rule for many
+words at once (a long one by a heap): folding them in Spark, too, took twice the CPU time that the limits allow (figures
+in the README). Decoding takes the binary pieces of the ids, which lie one after another then. A literal array of all
+pieces, looked up in Spark, made plans of megabytes, which the driver keeps.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +230,95 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@dataclass
+class Merges:
+    """Merges many words at once: a step takes the best pair of each word, the leftmost one of the lowest rank."""
+
+    ranks: dict[bytes, int]
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash table of the pairs of ids whose tokens make a token, and of that token's id."""
+        ranks = self.ranks
+        found = [(ranks[t[:i]] << 32 | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        left, values = np.array(found, "i8").reshape(-1, 2).T
+        size = 1 << (8 * len(left) + 1).bit_length()
+        keys, ids = np.full(size, -1, "i8"), np.full(size, NO_RANK, "i4")
+        at = self._place(left, size)
+        while len(left):
+            free = keys[at] < 0
+            keys[at[free]] = left[free]
+            held = keys[at] == left
+            ids[at[held]] = values[held]
+            left, values, at = left[~held], values[~held], (at[~held] + 1) & (size - 1)
+        return keys, ids
+
+    @cached_property
+    def bytes(self) -> np.ndarray:
+        return np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], "i4")
+
+    @staticmethod
+    def _place(keys: np.ndarray, size: int) -> np.ndarray:
+        return (keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype("i8")
+
+    def _joined(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The ids of the tokens that pairs of ids make; NO_RANK where they make none."""
+        keys, ids = self.pairs
+        wanted = one.astype("i8") << 32 | two
+        at = self._place(wanted, len(keys))
+        found = np.where(keys[at] == wanted, ids[at], NO_RANK)
+        open_ = np.flatnonzero((keys[at] != wanted) & (keys[at] >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(keys) - 1)
+            held = keys[at[open_]]
+            same = held == wanted[open_]
+            found[open_[same]] = ids[at[open_[same]]]
+            open_ = open_[~same & (held >= 0)]
+        return found
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word; none is empty. Words go on until they have no pair that makes a token."""
+        sizes = np.fromiter(map(len, words), "i8", len(words))
+        parts = self.bytes[np.frombuffer(b"".join(words), "u1")]
+        if (parts < 0).any():
+            raise KeyError("a byte without a rank")
+        owner = np.repeat(np.arange(len(words)), sizes)
+        pair = np.append(self._joined(parts[:-1], parts[1:]), NO_RANK) if len(parts) else parts
+        pair[np.cumsum(sizes) - 1] = NO_RANK
+        done_owner, done_parts = [], []
+        while len(parts):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            sizes = np.diff(np.append(starts, len(owner)))
+            least = np.minimum.reduceat(pair, starts)
+            going = np.repeat(least < NO_RANK, sizes)
+            if not going.all():
+                done_owner.append(owner[~going])
+                done_parts.append(parts[~going])
+                parts, owner, pair = parts[going], owner[going], pair[going]
+                sizes, least = sizes[least < NO_RANK], least[least < NO_RANK]
+            hits = np.flatnonzero(pair == np.repeat(least, sizes))
+            first = hits[np.concatenate(([True], owner[hits[1:]] != owner[hits[:-1]]))] if len(hits) else hits
+            parts[first] = least
+            kept = np.ones(len(parts), bool)
+            kept[first + 1] = False
+            ended = first + 2 >= len(parts)
+            ended[~ended] = owner[first[~ended] + 2] != owner[first[~ended]]
+            pair[first] = NO_RANK
+            parts, owner, pair = parts[kept], owner[kept], pair[kept]
+            at = first - np.arange(len(first))
+            right = at[~ended]
+            pair[right] = self._joined(parts[right], parts[right + 1])
+            left = at[at > 0]
+            left = left[owner[left - 1] == owner[left]]
+            pair[left - 1] = self._joined(parts[left - 1], parts[left])
+        if not done_owner:
+            return []
+        owner = np.concatenate(done_owner)
+        flat = np.concatenate(done_parts)[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 @lru_cache(maxsize=1)
 def _dictionary(block: bytes) -> dict[str, bytes]:
     """The packed ids of each word of a block (an Arrow stream of word and ids); made once in a process."""
@@ -251,50 +342,65 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
     with pa.ipc.new_stream(sink, folded.schema) as stream:
         stream.write_table(folded.combine_chunks())
     # as one block of bytes: the driver holds no object for each word
-    shared = docs.sparkSession.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks))
+    shared = docs.sparkSession.sparkContext.broadcast((sink.getvalue().to_pybytes(), Merges(ranks)))
     del folded, sink
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder(pattern)
-        block, ranks = shared.value
+        block, merges = shared.value
         known = _dictionary(block)
         rare: dict[str, bytes] = {}
 
-        def ids_of(word: str) -> bytes:
-            if (found := rare.get(word)) is None:
-                if len(rare) > MEMORY:
-                    rare.clear()
-                found = _packed(merge_word(word.encode(), ranks))
-                if len(word) <= FOLD_BYTES:
-                    rare[word] = found
-            return found
+        def learn(words: set[str]) -> None:
+            """The ids of words outside the dictionary come to be known, until forget."""
+            short, raw = [], []
+            for word in words:
+                own = word.encode()
+                if own in merges.ranks or len(own) > FOLD_BYTES:
+                    rare[word] = _packed(merge_word(own, merges.ranks))
+                else:
+                    short.append(word)
+                    raw.append(own)
+            rare.update(zip(short, merges.of(raw), strict=True))
+
+        def forget() -> None:
+            if len(rare) > MEMORY:
+                rare.clear()
+            for word in [w for w in rare if len(w) > FOLD_BYTES]:
+                del rare[word]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = []
-                for text in part.column(1).to_pylist():
-                    found = find(text) if text else []
-                    coded = list(map(known.get, found))
-                    if None in coded:
-                        coded = [ids_of(w) if c is None else c for w, c in zip(found, coded, strict=True)]
-                    rows.append(b"".join(coded))
-                places = pa.array(np.cumsum([0, *(len(x) // 4 for x in rows)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(places, pa.array(np.frombuffer(b"".join(rows), "<i4")))], ["doc_id", "tokens"])
-
-    coded = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tasks, "doc_id bigint, tokens array<int>")
-    packed = _looked_up(F.col("tokens"), [i.to_bytes(4, "little") for i in range(max(ranks.values(), default=0) + 1)])
-    return coded.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens", packed.alias("ids"))
-
+                every = [find(text) if text else [] for text in part.column(1).to_pylist()]
+                rows = [list(map(known.get, found)) for found in every]
+                learn({w for found, row in zip(every, rows, strict=True) if None in row for w, c in zip(found, row, strict=True) if c is None and w not in rare})
+                ids = [b"".join([rare[w] if c is None else c for w, c in zip(found, row, strict=True)] if None in row else row) for found, row in zip(every, rows, strict=True)]
+                del every, rows
+                forget()
+                packed = pa.array(ids, pa.binary())
+                places = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
+                tokens = pa.ListArray.from_arrays(places, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), tokens, packed], ["doc_id", "n_tokens", "tokens", "ids"])
 
-def _looked_up(tokens: Column, pieces: list[bytes]) -> Column:
-    """The pieces of the tokens, which are places in the list, one after another."""
-    table = F.from_json(F.lit(json.dumps([x.hex() for x in pieces])), T.ArrayType(T.StringType()))
-    return _with(table, lambda digits: F.unhex(F.array_join(F.transform(tokens, lambda i: F.element_at(digits, i + 1)), "")))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(tasks, "doc_id bigint, n_tokens bigint, tokens array<int>, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """The columns of encoded and decoded: the bytes of its tokens (an array of ids), one after another. Null tokens: null."""
     by_rank = {rank: token for token, rank in ranks.items()}
-    pieces = [by_rank.get(i, b"") for i in range(max(by_rank, default=0) + 1)]
-    return encoded.withColumn("decoded", _looked_up(F.col("tokens"), pieces))
+    shared = encoded.sparkSession.sparkContext.broadcast([by_rank.get(i, b"") for i in range(max(by_rank, default=-1) + 1)])
+    place = encoded.columns.index("tokens")
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(shared.value, pa.binary())
+        for batch in batches:
+            tokens = batch.column(place)
+            flat = pieces.take(tokens.flatten())  # without those of null rows
+            ends = np.cumsum(np.concatenate(([0], np.nan_to_num(tokens.value_lengths().to_numpy(zero_copy_only=False)).astype("i8"))))
+            taken = np.frombuffer(flat.buffers()[1], "<i4") if len(flat) else np.zeros(1, "<i4")
+            decoded = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [pa.array(tokens.is_valid()).buffers()[1], pa.py_buffer(taken[ends].tobytes()), flat.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
+
+    return encoded.mapInArrow(tasks, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -128,3 +128,23 @@ def test_short_words_merge_as_long_ones(monkeypatch):
     short = {w: bpe.merge_word(w, ranks) for w in words}
     monkeypatch.setattr(bpe, "FOLD_BYTES", 0)
     assert short == {w: bpe.merge_word(w, ranks) for w in words}
+
+
+def test_many_words_merge_as_each_alone():
+    ranks, rng = bpe.read_ranks(BYTE_RANKS), random.Random(2)
+    words = [bytes(rng.choice(b"abett \xc3\xa9'") for _ in range(rng.randint(1, 48))) for _ in range(2000)]
+    words = [w for w in words if w not in ranks] + [b"a", "interoperability's".encode()]
+    found = bpe.Merges(ranks).of(words)
+    assert [[x[0] for x in struct.iter_unpack("<I", ids)] for ids in found] == [bpe.merge_word(w, ranks) for w in words]
+    assert bpe.Merges(ranks).of([]) == []
+
+
+def test_plans_hold_no_vocabulary(spark):
+    ranks = bpe.read_ranks(BYTE_RANKS)
+    docs = spark.createDataFrame([(1, "ab c")], "doc_id bigint, text string")
+    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    assert len(decoded._jdf.queryExecution().executedPlan().toString()) < 100_000
+    tokens = spark.createDataFrame([([5, 6],), (None,), ([],), ([7],)], "tokens array<int>").coalesce(1)
+    by_rank = {rank: token for token, rank in ranks.items()}
+    want = [by_rank[5] + by_rank[6], None, b"", by_rank[7]]
+    assert [r["decoded"] if r["decoded"] is None else bytes(r["decoded"]) for r in bpe.decode(tokens, ranks).collect()] == want
