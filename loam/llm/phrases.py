@@ -1,6 +1,7 @@
 """Phrase collocations by suffix automata of bounded depth.
 
-Words become numbers, and the documents of a language that a task holds become shards of them. A shard's generalised
+Words become numbers, and the documents of a language that a task holds become shards of them, which are written once:
+texts are read and their words numbered one time, whatever the length of phrases. A shard's generalised
 suffix automaton, cut at a depth, has as states the classes of phrases that end at the same places. Suffix links lead
 from a phrase to that without its first word, so the places that share a phrase of d words split into those of d + 1 by
 the word before: refining the places word by word gives states, links and sizes of endpos sets, for all documents at once.
@@ -32,7 +33,7 @@ LEAST = 10
 INSIDE_PERCENT = 50
 TOP = 2000
 #: Words of a shard, about; it holds whole documents.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 20
 NO_LANG = "und"
 _SEED = 42
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,8 +61,9 @@ class Numbers(dict):
         found = np.fromiter(map(self.__getitem__, pieces_of(text)), "i4")
         return np.append(found[found >= 0], np.int32(0))
 
-    def words(self) -> pa.Array:
-        return pa.array(list(self)[1:], pa.binary())
+    def words(self) -> bytes:
+        """The words by number, _BREAK first, with spaces between."""
+        return b" ".join(list(self)[1:])
 
 
 def _sorted(key: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,48 +154,60 @@ def phrase_bits(level: DataFrame) -> Bits:
     return bits_of(level.select("lang", F.col("phrase").cast("binary")).mapInArrow(tasks, "hash bigint"), level.count())
 
 
-def shard_phrases(words: pa.Array, numbers: np.ndarray, lang: str, d: int, frequent: list[Bits]) -> tuple[pa.Array, np.ndarray]:
+def shard_phrases(words: list[bytes], numbers: np.ndarray, lang: str, d: int, frequent: list[Bits]) -> tuple[pa.Array, np.ndarray]:
     """Phrases of d words of a shard and their counts, of those whose parts may all be frequent (frequent: by words)."""
     automaton, may = Automaton.of(numbers, d), None
-    hashes = word_hashes(words.to_pylist(), lang) if d > 1 else None
+    hashes = word_hashes(words, lang) if d > 1 else None
     for k in range(1, d):
         which = np.arange(len(automaton.count[k - 1])) if may is None else np.flatnonzero(may[automaton.link[k - 1]] & may[automaton.prefix(k)])
         may = np.zeros(len(automaton.count[k - 1]), bool)
         may[which] = _may_be(hashes, automaton, k, which, frequent[k - 1])
     which = np.arange(len(automaton.count[d - 1])) if may is None else np.flatnonzero(may[automaton.link[d - 1]] & may[automaton.prefix(d)])
-    return _phrases(words, automaton, d, which), automaton.count[d - 1][which]
+    return _phrases(pa.array(words, pa.binary()), automaton, d, which), automaton.count[d - 1][which]
 
 
-def count_phrases(docs: DataFrame, d: int, frequent: list[Bits]) -> DataFrame:
-    """lang, phrase and f of the phrases of d words; with d of 1, also '' for the words of a language in all."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def number_shards(docs: DataFrame) -> DataFrame:
+    """lang, words (by number) and numbers (32 bits each) of shards of docs (lang, text)."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, shards, held = Numbers(), {}, 0
+        shards: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
+        held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = known.words()
-            for lang, texts in shards.items():
-                numbers = np.concatenate(texts)
-                phrases, counts = shard_phrases(words, numbers, lang, d, shared.value)
-                if d == 1 and len(phrases):
-                    phrases, counts = pa.concat_arrays([phrases, pa.array([b""], pa.binary())]), np.append(counts, counts.sum())
-                for at in range(0, len(phrases), 1 << 16):
-                    part = phrases.slice(at, 1 << 16).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part, pa.array(counts[at : at + (1 << 16)])], ["lang", "phrase", "n"])
+            for lang, (known, texts) in shards.items():
+                row = [lang], [known.words()], [np.concatenate(texts).astype("<i4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "words", "numbers"])
+            shards.clear()
 
         for part, texts in chunks(batches, 1):
             for lang, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                found = known.of(text)
-                shards.setdefault(lang, []).append(found)
-                held += len(found)
+                known, own = shards.setdefault(lang, (Numbers(), []))
+                own.append(known.of(text))
+                held += len(own[-1])
             if held > SHARD_WORDS:
                 yield from flush()
-                known, shards, held = Numbers(), {}, 0
+                held = 0
         yield from flush()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(tasks, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return rows.mapInArrow(tasks, "lang string, words binary, numbers binary")
+
+
+def count_phrases(shards: DataFrame, d: int, frequent: list[Bits]) -> DataFrame:
+    """lang, phrase and f of the phrases of d words of shards; with d of 1, also '' for the words of a language in all."""
+    shared = shards.sparkSession.sparkContext.broadcast(frequent)
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, words, numbers in zip(*batch.columns, strict=True):
+                phrases, counts = shard_phrases(words.as_py().split(b" "), np.frombuffer(numbers.as_buffer(), "<i4"), lang.as_py(), d, shared.value)
+                if d == 1 and len(phrases):
+                    phrases, counts = pa.concat_arrays([phrases, pa.array([b""], pa.binary())]), np.append(counts, counts.sum())
+                for at in range(0, len(phrases), 1 << 16):
+                    part = phrases.slice(at, 1 << 16).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(part)), part, pa.array(counts[at : at + (1 << 16)])], ["lang", "phrase", "n"])
+
+    return shards.mapInArrow(tasks, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def _part(first: int, n: int) -> Column:
@@ -222,12 +236,14 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in
     occurrences are left out. The first `top` by score, then a, then phrase stay. Null languages are `und`, null texts
     empty; repeated rows count as often as they come; further columns don't matter. An empty table gives no rows.
 
-    Texts are read once for each length. Every length's frequent phrases are written; a bitmap of them goes to the tasks.
+    Texts are read once; shards of their words' numbers are written, and read for each length. Every length's frequent
+    phrases are written; a bitmap of them goes to the tasks.
     """
+    shards = written(number_shards(docs), "phrase-shards")
     levels: list[DataFrame] = []
     bits: list[Bits] = []
     for d in range(1, longest + 1):
-        counted = count_phrases(docs, d, bits)
+        counted = count_phrases(shards, d, bits)
         level = written(counted.filter((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases-{d}")
         levels.append(level.filter("phrase <> ''"))
         if d == 1:

@@ -94,3 +94,13 @@ def test_sorting_as_one_number_or_two():
         key, places = np.random.default_rng(most).integers(0, most, 500) // 3 * 3, np.arange(500)
         order = np.lexsort((places, key))
         assert all((a == b).all() for a, b in zip(phrases._sorted(key, places), (key[order], places[order]), strict=True))
+
+
+def test_texts_are_numbered_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", "b a. b"), (None, "a"), ("en", "a c")], "lang string, text string").coalesce(1)
+    shards = {r["lang"]: (bytes(r["words"]).split(b" "), np.frombuffer(r["numbers"], "<i4").tolist()) for r in phrases.number_shards(docs).collect()}
+    assert shards == {"en": ([b".", b"b", b"a", b"c"], [1, 2, 0, 1, 0, 2, 3, 0]), "und": ([b".", b"a"], [1, 0])}
+    calls, number = [], phrases.number_shards
+    monkeypatch.setattr(phrases, "number_shards", lambda rows: calls.append(rows) or number(rows))
+    phrases.collocations(docs, 3, 1)
+    assert len(calls) == 1
