@@ -43,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows (the mix repeats documents), null ids and null texts: a row out for each row in.
     """
     ranks = bpe.read_ranks(BYTE_RANKS)
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

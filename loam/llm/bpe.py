@@ -330,12 +330,39 @@ def _dictionary(block: bytes) -> dict[str, bytes]:
     return {w: flat[4 * a : 4 * b] for w, a, b in zip(folded["word"].to_pylist(), places[:-1].tolist(), places[1:].tolist(), strict=True)}
 
 
+Tasks = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_ENCODED = "doc_id bigint, n_tokens bigint, tokens array<int>, ids binary"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, n_tokens, tokens (ids as an array) and ids (little-endian unsigned 32-bit integers) of every whole text of docs.
 
     Null and empty texts have no tokens. Null or repeated ids and repeated rows: a row out for each row in. An empty
     table gives no rows; further columns don't matter.
     """
+    return _rows(docs).mapInArrow(_encoder(docs, ranks, pattern, dictionary), _ENCODED)
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: int = DICTIONARY) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded, as decode gives them of what encode gives, in one Python process for each task.
+
+    One after the other they keep two processes busy for each task, and these stay with their memory for later stages.
+    """
+    coded, decoded = _encoder(docs, ranks, pattern, dictionary), _decoder(docs, ranks, 2)
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decoded(coded(batches)):
+            yield batch.select(["doc_id", "n_tokens", "ids", "decoded"])
+
+    return _rows(docs).mapInArrow(tasks, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+
+
+def _encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: int) -> Tasks:
+    """What encode does in tasks, by the words of docs."""
     counts = written(count_words(docs, pattern), "words")  # read twice: for the cut and for the words above it
     folded = fold_merges(frequent(counts, dictionary), ranks).toArrow()
     sink = pa.BufferOutputStream()
@@ -383,15 +410,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
                 tokens = pa.ListArray.from_arrays(places, pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), tokens, packed], ["doc_id", "n_tokens", "tokens", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(tasks, "doc_id bigint, n_tokens bigint, tokens array<int>, ids binary")
+    return tasks
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """The columns of encoded and decoded: the bytes of its tokens (an array of ids), one after another. Null tokens: null."""
+    tasks = _decoder(encoded, ranks, encoded.columns.index("tokens"))
+    return encoded.mapInArrow(tasks, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+
+
+def _decoder(rows: DataFrame, ranks: dict[bytes, int], place: int) -> Tasks:
+    """What decode does in tasks of the session of rows, with tokens in the column at `place`."""
     by_rank = {rank: token for token, rank in ranks.items()}
-    shared = encoded.sparkSession.sparkContext.broadcast([by_rank.get(i, b"") for i in range(max(by_rank, default=-1) + 1)])
-    place = encoded.columns.index("tokens")
+    shared = rows.sparkSession.sparkContext.broadcast([by_rank.get(i, b"") for i in range(max(by_rank, default=-1) + 1)])
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(shared.value, pa.binary())
@@ -403,4 +434,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             decoded = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [pa.array(tokens.is_valid()).buffers()[1], pa.py_buffer(taken[ends].tobytes()), flat.buffers()[2]])
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(tasks, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return tasks

@@ -11,6 +11,7 @@ import regex
 import sentencepiece
 import tiktoken
 
+import corpus_pipeline
 from loam.llm import bpe, fertility
 from loam.llm.queries import BYTE_RANKS, PIECE_MODEL, op5_byte_bpe, op9_tokeniser_fertility
 from loam.session import table
@@ -148,3 +149,17 @@ def test_plans_hold_no_vocabulary(spark):
     by_rank = {rank: token for token, rank in ranks.items()}
     want = [by_rank[5] + by_rank[6], None, b"", by_rank[7]]
     assert [r["decoded"] if r["decoded"] is None else bytes(r["decoded"]) for r in bpe.decode(tokens, ranks).collect()] == want
+
+
+def test_encoding_keeps_one_python_process_for_each_task(spark):
+    """Of two in a task, both stay with their memory for the stages after."""
+    ranks = bpe.read_ranks(BYTE_RANKS)
+    docs = spark.createDataFrame([*enumerate(ODD), (None, "a b"), (1, "a b")], "doc_id bigint, text string")
+    want = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks).drop("tokens")
+    found = bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
+    assert found.columns == want.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    assert bpe.encode_and_decode(docs.limit(0), ranks, public_tokenizers.PATTERN).collect() == []
+    for query in (op5_byte_bpe(spark, SMALL), corpus_pipeline.encode(spark, docs, SMALL)):
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"\bMapInArrow\b", plan)) == 1
