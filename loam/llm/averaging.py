@@ -53,4 +53,5 @@ def train_averaged(examples: DataFrame, start: np.ndarray, local_pass: Callable[
         weights = weights.copy()
         for r in spread.mapInArrow(average, "block int, weights binary").collect():
             weights[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["weights"], "<f4")
+        shared.destroy()  # else each round's weights stay on every disk
     return weights

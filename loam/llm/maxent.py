@@ -10,8 +10,8 @@ of bounded size are one leaf of their class, inside which a token's chance is it
 Counts cover every training document, and so do the gradient steps: every position of every training text gives one,
 the texts being dealt over the rounds; tasks take steps on theirs, and the tasks' weights are averaged between rounds, by
 what each task has seen of a feature. Tables grow with the counted vocabulary, up to MOST_TIMES their least size, and
-tasks with the tables, so that moving the weights costs no more than reading the texts. Texts are scored in sparse numpy
-batches.
+tasks with the tables, so that moving the weights costs no more than reading the texts; small tables leave many tasks,
+so that no core has all of the steps. Texts are scored in sparse numpy batches.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ FORK_WEIGHTS, GROUP_ROWS = 1 << 20, 1 << 12
 #: How many times as large the tables are for many tokens, at most: 92 MB of weights.
 MOST_TIMES = 16
 #: Examples in a training task, about, and for each weight; every position of a training text is one.
-TASK_EXAMPLES, WEIGHT_EXAMPLES = 1 << 23, 2
+TASK_EXAMPLES, WEIGHT_EXAMPLES = 1 << 22, 1
 ROUNDS, GROUP_RATE, FORK_RATE = 2, 1.0, 0.15
 BATCH, FLUSH = 2048, 400_000
 
@@ -273,6 +273,12 @@ def _times(model: Model) -> int:
     return times
 
 
+def _training_tasks(n: int, n_weights: int, cores: int) -> int:
+    """Tasks that share n examples, in whole waves over the cores, so that no core waits for a last few."""
+    tasks = max(1, -(-n // max(TASK_EXAMPLES, WEIGHT_EXAMPLES * n_weights)))
+    return tasks if tasks < cores else tasks // cores * cores
+
+
 def _start(model: Model) -> np.ndarray:
     """Weights under which tokens have their share of the counts."""
     mass = np.bincount(model.classes % GROUPS, np.concatenate((model.counts, model.outside)), GROUPS)
@@ -308,7 +314,8 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
 
     rows = docs.filter(~is_held_out()).select(F.col("text").cast("binary")).mapInArrow(examples, "sizes binary, codes binary")
     start = _start(model)
-    dealt = written(rows.repartition(max(1, model.n // max(TASK_EXAMPLES, WEIGHT_EXAMPLES * len(start)))), "maxent-examples")
+    n_tasks = _training_tasks(model.n, len(start), docs.sparkSession.sparkContext.defaultParallelism)
+    dealt = written(rows.repartition(n_tasks), "maxent-examples")
 
     def local_pass(weights: np.ndarray, rows: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
         model = shared.value
@@ -325,6 +332,7 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
         return weights, np.concatenate((np.full(GROUPS, rows.num_rows), np.repeat(seen_rows, GROUPS), seen_forks))
 
     weights = train_averaged(dealt, start, local_pass, ROUNDS, 1) if model.n else start
+    shared.destroy()
     return replace(model, weights=weights)
 
 

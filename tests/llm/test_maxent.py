@@ -135,3 +135,22 @@ def test_averages_keep_what_only_one_task_has_learned(spark):
     examples = spark.createDataFrame([(k,) for k in (0, 1, BLOCK + 2)], "k bigint").repartition(3)
     found = train_averaged(examples, np.zeros(BLOCK + 5), local_pass, 2, 1)
     assert (found[0], found[1], found[2], found[BLOCK + 2]) == (2, 4, 0, 2 * (BLOCK + 3))
+
+
+def test_small_tables_leave_many_training_tasks():
+    """Tables of 5.8 million weights and 23 million positions on 6 cores: no single task; more tasks than cores: whole waves."""
+    assert maxent._training_tasks(22_800_000, 5_767_200, 6) == 4
+    assert maxent._training_tasks(114_000_000, 11_534_368, 6) == 6
+    assert maxent._training_tasks(1_000_000_000, 23_068_704, 6) == 42
+    assert [maxent._training_tasks(n, 2_883_616, 6) for n in (0, 1, 1 << 22, (1 << 22) + 1)] == [1, 1, 1, 2]
+
+
+def test_several_tasks_still_learn_held_out_texts(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "TASK_EXAMPLES", 1 << 17)
+    monkeypatch.setattr(maxent, "WEIGHT_EXAMPLES", 0)
+    dealt = []
+    trained = maxent.train_averaged
+    monkeypatch.setattr(maxent, "train_averaged", lambda examples, *rest: dealt.append(examples.inputFiles()) or trained(examples, *rest))
+    held = op2_maxent_lm(spark, "/root/testdata/sf0.01").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert len(dealt[0]) > 1
+    assert held["sum(score)"] > held["sum(base_score)"] + 0.05 * abs(held["sum(base_score)"])
