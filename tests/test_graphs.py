@@ -45,3 +45,20 @@ def test_small_graph_by_brute_force(spark):
     paths = {(a, b, d) for a, b in edges for c, d in edges if b == c}
     assert rows(graphs.two_hops(df), "source", "middle", "target") == paths
     assert rows(graphs.reduced(df), "source", "target") == set(edges) - {(a, c) for a, _, c in paths}
+
+
+def test_two_hops_of_hubs_and_repeated_edges(spark):
+    edges = [(i, 100) for i in range(23)] + [(100, i) for i in range(31)] + [(100, 100), (5, 6), (6, 5), (6, 5), (None, 100), (100, None), (7, None), (None, 8)]
+    df = spark.createDataFrame(edges, "source bigint, target bigint")
+    paths = {(a, b, d) for a, b in edges for c, d in edges if b == c and b is not None}
+    for block in (4, 2000):
+        assert rows(graphs.two_hops(df, block), "source", "middle", "target") == paths
+    assert graphs.two_hops(df.limit(0)).collect() == []
+
+
+def test_paths_of_two_edges_are_not_moved(spark):
+    """The paths are as many as the squares of the degrees: no exchange may lie above the join that makes them."""
+    df = spark.createDataFrame([(1, 2), (2, 3)], "source bigint, target bigint")
+    plan = graphs.two_hops(df)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert not any("Aggregate" in line or "Exchange" in line for line in plan[:join])
