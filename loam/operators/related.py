@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.session import kept
+
 #: Rows of one key that meet each other in one task, about, and keys that are split, at most.
 BLOCK_ROWS, HOT_KEYS = 2000, 10_000
 NO_GROUP = "unknown"
@@ -53,6 +55,50 @@ def nearest(pairs: DataFrame, titles: DataFrame, doc: str, title: str, most: int
     return (placed if most is None else placed.filter(F.col("place") <= most)).drop("__title")
 
 
+def _few(rows: DataFrame, by: list[str], order: list[str | Column], most: int) -> DataFrame:
+    """The first rows of each key, which each task cuts before rows move."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__k") <= most).drop("__k")
+
+
+def nearest_related(docs: DataFrame, doc: str, group: Column, concepts: Column, title: str, most: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """`nearest` of `related` with `most` for each document, without the pairs of documents, which grow with their square.
+
+    What a document's order is depends on its groups and its set of concepts alone, so sets meet, not documents, and of the
+    documents of one set only the first `most` by title and id can be wanted, and one more, as a document isn't its own
+    neighbour. They are found three times: among all documents (by number of shared concepts), among those of a group
+    (likewise), and those of a group whatever they share. A document that has `most` others before it in such a list to
+    which it belongs has them before it in the whole order too, so these lists hold all that can be wanted.
+    """
+    few = most + 1
+    rows = docs.select(F.col(doc).alias("a"), F.coalesce(group.cast("string"), F.lit(NO_GROUP)).alias("group"), concepts.alias("concepts"), F.lower(title).alias("title")).filter("a IS NOT NULL")
+    all_concepts = F.sort_array(F.array_distinct(F.filter(F.flatten(F.collect_set("concepts")), lambda c: c.isNotNull())))
+    one = kept(rows.groupBy("a").agg(F.sort_array(F.collect_set("group")).alias("groups"), all_concepts.alias("concepts"), F.min("title").alias("title")))
+    # the scope '' has all documents, '=' and a group's name that group's
+    scopes = F.explode(F.concat(F.array(F.lit("")), F.transform("groups", lambda g: F.concat(F.lit("="), g)))).alias("scope")
+    entry = F.struct("title", F.col("a").alias("b"), "groups", "concepts").alias("e")
+    best = _few(one.select(scopes, "concepts", "title", "a", "groups"), ["scope", "concepts"], ["title", "a"], few)
+    lists = kept(best.groupBy("scope", "concepts").agg(F.sort_array(F.collect_list(entry)).alias("best")))
+
+    met_sets = met(lists.select("scope", F.explode("concepts").alias("key"), "concepts"), ["scope", "key"], "concepts", block).groupBy("scope", "a", "b").agg(F.count("*").alias("n"))
+    own = lists.filter(F.size("concepts") > 0).select("scope", F.col("concepts").alias("a"), F.col("concepts").alias("b"), F.size("concepts").cast("bigint").alias("n"))
+    heads = lists.select("scope", F.col("concepts").alias("b"), F.col("best")[0]["title"].alias("title"), F.col("best")[0]["b"].alias("first"))
+    sets = _few(met_sets.unionByName(own).join(heads, ["scope", "b"]), ["scope", "a"], [F.col("n").desc(), "title", "first"], few)
+    by_concept = sets.join(lists.select("scope", F.col("concepts").alias("b"), "best"), ["scope", "b"]).select("scope", F.col("a").alias("concepts"), "n", F.explode("best").alias("e"))
+    by_concept = _few(by_concept, ["scope", "concepts"], [F.col("n").desc(), "e.title", "e.b"], few).groupBy("scope", "concepts").agg(F.collect_list("e").alias("near"))
+    by_group = _few(lists.filter("scope <> ''").select("scope", F.explode("best").alias("e")), ["scope"], ["e.title", "e.b"], few).groupBy("scope").agg(F.collect_list("e").alias("beside"))
+
+    none = F.array().cast(by_group.schema["beside"].dataType)
+    kinds = one.select("groups", "concepts").distinct()
+    offered = kinds.select("groups", "concepts", scopes).join(by_concept, ["scope", "concepts"], "left").join(by_group, "scope", "left")
+    offered = offered.groupBy("groups", "concepts").agg(F.flatten(F.collect_list(F.concat(F.coalesce("near", none), F.coalesce("beside", none)))).alias("es"))
+    shared = lambda e: F.array_intersect("concepts", e["concepts"])
+    ranked = lambda e: F.struct((-F.size(shared(e))).alias("less"), (~F.arrays_overlap("groups", e["groups"])).alias("other"), e["title"].alias("title"), e["b"].alias("b"), shared(e).alias("shared"))
+    orders = offered.select("groups", "concepts", F.slice(F.sort_array(F.array_distinct(F.transform("es", ranked))), 1, few).alias("order"))
+    others = F.slice(F.filter("order", lambda e: e["b"] != F.col("a")), 1, most)
+    placed = one.join(orders, ["groups", "concepts"]).select("a", F.posexplode(others).alias("__i", "e"))
+    return placed.select("a", F.col("e.b").alias("b"), (~F.col("e.other")).alias("same_group"), F.col("e.shared").alias("shared"), (F.col("__i") + 1).alias("place"))
+
+
 def concepts_of(text: Column, rules: dict[str, list[str]]) -> Column:
     """The concepts with a keyword inside the text, in lower case, in the order of rules."""
     low = F.lower(F.coalesce(text, F.lit("")))

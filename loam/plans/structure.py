@@ -46,8 +46,7 @@ def _outline_steps(spark: SparkSession, d: str) -> DataFrame:
 
 def _related_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    pairs = related.related(docs, "doc_id", F.concat_ws("/", "source", "lang"), related.concepts_of(F.col("text"), CONCEPTS))
-    near = related.nearest(pairs, docs, "doc_id", "source", 10)
+    near = related.nearest_related(docs, "doc_id", F.concat_ws("/", "source", "lang"), related.concepts_of(F.col("text"), CONCEPTS), "source", 10)
     return near.select("a", "b", "same_group", F.array_join("shared", ",").alias("shared"), F.col("place").cast("bigint").alias("place"))
 
 

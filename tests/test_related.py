@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from loam.operators import asof, related
+from loam.plans.structure import CATALOG
 
 
 def test_related_equals_brute_force_with_hot_keys(spark):
@@ -28,6 +29,41 @@ def test_related_equals_brute_force_with_hot_keys(spark):
     assert related.related(df.limit(0), "id", F.col("grp"), F.col("tags")).collect() == []
 
 
+def test_nearest_without_pairs_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["g", "g", "h", "k", None]), rng.choice([[], None, sorted({rng.choice("aaabcdefgh") for _ in range(rng.randint(1, 4))}), ["a"]]), rng.choice(["T1", "t1", "u", None])) for i in range(90)]
+    rows += [(i, rng.choice(["h", "m"]), ["b", None, "z"], "S") for i in range(0, 90, 7)] + [(200, "alone", ["only"], "x"), (None, "g", ["a"], "t")]
+    df = spark.createDataFrame(rows, "id int, grp string, tags array<string>, title string")
+    of = {}
+    for i, g, tags, title in rows:
+        if i is not None:
+            groups, concepts, titles = of.setdefault(i, (set(), set(), []))
+            groups.add(g or "unknown")
+            concepts.update(t for t in tags or () if t)
+            titles += [title.lower()] if title else []
+    for most, block in ((1, 2000), (3, 2), (40, 2000)):
+        found = related.nearest_related(df, "id", F.col("grp"), F.col("tags"), "title", most, block).collect()
+        assert len({(r["a"], r["place"]) for r in found}) == len(found)
+        got = {}
+        for r in sorted(found, key=lambda r: (r["a"], r["place"])):
+            got.setdefault(r["a"], []).append((r["b"], r["same_group"], r["shared"]))
+        for a, (groups, concepts, _) in of.items():
+            others = [(b, bool(groups & g), sorted(concepts & c), min(t) if t else "") for b, (g, c, t) in of.items() if b != a and (groups & g or concepts & c)]
+            order = sorted(others, key=lambda o: (-len(o[2]), not o[1], o[3], o[0]))[:most]
+            assert got.get(a, []) == [o[:3] for o in order]
+    assert 200 not in got
+    assert related.nearest_related(df.limit(0), "id", F.col("grp"), F.col("tags"), "title", 3).collect() == []
+
+
+def test_related_documents_pairs_sets_of_concepts_not_documents(spark, tmp_path, monkeypatch):
+    """Documents of the same group and concepts: what meets doesn't grow with them."""
+    spark.range(3000).selectExpr("id AS doc_id", "'password http' AS text", "'src' || id % 2 AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    met, sizes = related.met, []
+    monkeypatch.setattr(related, "met", lambda index, *rest: (sizes.append(index.count()), met(index, *rest))[1])
+    assert CATALOG["related_documents"][0](spark, str(tmp_path)).count() == 30_000
+    assert max(sizes) < 20
+
+
 def test_partner_of_another_side(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice(["m", "n", None]), rng.choice(["p", "q", "r"]), rng.choice([1.0, 2.0, 2.0, None])) for i in range(60)] + [(99, "alone", "p", 3.0)]
