@@ -93,7 +93,8 @@ def nearest_related(docs: DataFrame, doc: str, group: Column, concepts: Column,
     offered = offered.groupBy("groups", "concepts").agg(F.flatten(F.collect_list(F.concat(F.coalesce("near", none), F.coalesce("beside", none)))).alias("es"))
     shared = lambda e: F.array_intersect("concepts", e["concepts"])
     ranked = lambda e: F.struct((-F.size(shared(e))).alias("less"), (~F.arrays_overlap("groups", e["groups"])).alias("other"), e["title"].alias("title"), e["b"].alias("b"), shared(e).alias("shared"))
-    orders = offered.select("groups", "concepts", F.slice(F.sort_array(F.array_distinct(F.transform("es", ranked))), 1, few).alias("order"))
+    # kept, so that both sides of the join below are plain exchanges, of which Spark splits those with many rows of one key
+    orders = kept(offered.select("groups", "concepts", F.slice(F.sort_array(F.array_distinct(F.transform("es", ranked))), 1, few).alias("order")))
     others = F.slice(F.filter("order", lambda e: e["b"] != F.col("a")), 1, most)
     placed = one.join(orders, ["groups", "concepts"]).select("a", F.posexplode(others).alias("__i", "e"))
     return placed.select("a", F.col("e.b").alias("b"), (~F.col("e.other")).alias("same_group"), F.col("e.shared").alias("shared"), (F.col("__i") + 1).alias("place"))
